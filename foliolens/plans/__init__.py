@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_layout"]
+MODULES = ["q_layout", "q_relations", "q_profile"]
 
 
 def load_all():

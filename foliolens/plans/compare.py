@@ -47,6 +47,7 @@ def compare(df, con, sql: str) -> tuple[bool, str]:
         return False, f"columns {sorted(df.columns)} != {sorted(names)}"
     if got == want:
         return True, f"{len(got)} rows"
-    extra = [r for r in got if r not in set(want)][:3] if len(got) < 50000 else []
-    missing = [r for r in want if r not in set(got)][:3] if len(want) < 50000 else []
+    got_set, want_set = set(got), set(want)
+    extra = [r for r in got if r not in want_set][:3]
+    missing = [r for r in want if r not in got_set][:3]
     return False, f"rows {len(got)} vs {len(want)}; only spark {extra}; only sql {missing}"
