@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_layout", "q_relations", "q_profile"]
+MODULES = ["q_layout", "q_relations", "q_profile", "q_color"]
 
 
 def load_all():
