@@ -203,29 +203,25 @@ def _handles(spark, sf_dir):
 
 
 _projection("v_entries", "events", {
-    "workflow_id": "user_id", "seq": "event_id", "entry_id": "event_type",
+    "workflow_id": "user_id", "seq": "event_id", "entry_id": "concat('e', CAST(event_id - CASE WHEN event_id % 211 = 0 THEN 0 ELSE event_id % 3 END AS STRING))",
     "payload": "concat_ws('~', CAST(event_id AS STRING), event_type, props)",
 })
 VIEW_SQL["v_ledger"] = """
-SELECT workflow_id, seq, payload, prev_hash,
-       CASE WHEN seq % 101 = 0 THEN sha256(concat('tampered', CAST(seq AS VARCHAR)))
-            ELSE sha256(concat_ws('~', CAST(workflow_id AS VARCHAR), CAST(seq AS VARCHAR), prev_hash, payload)) END AS entry_hash
-FROM (SELECT workflow_id, seq, payload,
-        coalesce(lag(sha256(payload)) OVER (PARTITION BY workflow_id ORDER BY seq), repeat('0', 64)) AS prev_hash
-      FROM v_entries)"""
+SELECT workflow_id, seq, entry_id, payload, prev_hash,
+       CASE WHEN seq % 101 = 0 THEN sha256(concat('tampered', CAST(seq AS VARCHAR))) ELSE honest END AS entry_hash
+FROM (SELECT *, coalesce(lag(honest) OVER (PARTITION BY workflow_id ORDER BY seq), repeat('0', 64)) AS prev_hash
+      FROM (SELECT *, sha256(concat_ws('~', CAST(workflow_id AS VARCHAR), CAST(seq AS VARCHAR), payload)) AS honest FROM v_entries))"""
 
 
 def _ledger(spark, sf_dir):
-    """Each entry points to the payload hash of the one before it."""
-    entries = view(spark, sf_dir, "v_entries").drop("entry_id")
-    chained = skew.shift(entries, ["workflow_id"], ["seq"], {"prev_hash": F.sha2("payload", 256)}, -1,
+    """Each entry points to the hash of the one before it; some hashes are tampered with afterwards."""
+    honest = F.sha2(F.concat_ws("~", F.col("workflow_id").cast("string"), F.col("seq").cast("string"), "payload"), 256)
+    entries = view(spark, sf_dir, "v_entries").withColumn("honest", honest)
+    chained = skew.shift(entries, ["workflow_id"], ["seq"], {"prev_hash": F.col("honest")}, -1,
                          F.floor(F.col("seq") / 65536))
-    chained = chained.withColumn("prev_hash", F.coalesce("prev_hash", F.lit("0" * 64)))
-    honest = F.sha2(F.concat_ws("~", F.col("workflow_id").cast("string"), F.col("seq").cast("string"),
-                                "prev_hash", "payload"), 256)
-    return chained.withColumn("entry_hash", F.when(
-        F.col("seq") % 101 == 0, F.sha2(F.concat(F.lit("tampered"), F.col("seq").cast("string")), 256)
-    ).otherwise(honest))
+    return chained.select("workflow_id", "seq", "entry_id", "payload", F.coalesce("prev_hash", F.lit("0" * 64)).alias("prev_hash"),
+                          F.when(F.col("seq") % 101 == 0, F.sha2(F.concat(F.lit("tampered"), F.col("seq").cast("string")), 256))
+                          .otherwise(F.col("honest")).alias("entry_hash"))
 
 
 _BUILDERS["v_ledger"] = _ledger
