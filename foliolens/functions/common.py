@@ -77,3 +77,8 @@ def multiset_digest(row_hash: Column) -> Column:
 def status_from_rank(rank: Column, names: list[str]) -> Column:
     """Turn an integer rank back into its name."""
     return F.element_at(F.array(*[F.lit(n) for n in names]), rank + 1)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate an expression once and use it several times inside an array function."""
+    return F.element_at(F.transform(F.array(value), body), 1)
