@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_layout", "q_relations", "q_profile", "q_color", "q_findings", "q_evidence", "q_text"]
+MODULES = ["q_layout", "q_relations", "q_profile", "q_color", "q_findings", "q_evidence", "q_text", "q_sources"]
 
 
 def load_all():
