@@ -33,6 +33,7 @@ INLINE_PROTECTED = (r"(?U)`[^`]*`|!?\[[^\]]*\]\([^)]*\)|https?://[^\s<>()]+"
 LINE_PREFIX = r"(?U)^(\s*(?:#{1,6}\s+|(?:[-*+] |\d+[.)] )))"
 FENCE = r"(?U)^\s*(`{3,}|~{3,})"
 BLOCKQUOTE, PIPE_TABLE, MEDIA_LINE = r"(?U)^\s*>", r"(?Ud)^\s*\|[^\n]*\|\s*$", r"(?U)^\s*MEDIA:"
+PROTECTED_LINE = r"(?Ud)^\s*(?:>|MEDIA:|\|[^\n]*\|\s*$)"
 SENTENCE = "[^。．!?！？]+[。．!?！？]?"
 LINE_END = r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
 REWRITE_HINT = "必要なら|必要であれば|これは単なる|というより|だけでは|のみでは"
@@ -143,12 +144,15 @@ def inline_parts(line: Column) -> Column:
 
 def segments(lines: Column, spans: Column) -> Column:
     """Flat array of (line_no, protected, text) whose texts join back to the document."""
-    def of_line(line: Column, i: Column) -> Column:
-        whole = F.exists(spans, lambda s: (s["lo"] <= i) & (i <= s["hi"])) | (line_kind(line) != "normal")
-        alone = F.array(F.struct(i.alias("line_no"), F.lit(True).alias("protected"), line.alias("text")))
-        split = F.transform(inline_parts(line), lambda p: F.struct(i.alias("line_no"), p["protected"].alias("protected"), p["text"].alias("text")))
-        return F.when(whole, alone).otherwise(split)
-    return F.flatten(F.transform(lines, of_line))
+    def with_spans(sp: Column) -> Column:
+        def of_line(line: Column, i: Column) -> Column:
+            whole = F.exists(sp, lambda s: (s["lo"] <= i) & (i <= s["hi"])) | line.rlike(PROTECTED_LINE)
+            alone = F.array(F.struct(i.alias("line_no"), F.lit(True).alias("protected"), line.alias("text")))
+            split = F.transform(inline_parts(line), lambda p: F.struct(i.alias("line_no"), p["protected"].alias("protected"), p["text"].alias("text")))
+            return F.when(whole, alone).otherwise(split)
+        return F.flatten(F.transform(lines, of_line))
+    # bound once: an array column used inside a lambda would otherwise be rebuilt per element
+    return let(spans, with_spans)
 
 
 # ---- sentence rules ------------------------------------------------------------------------
@@ -272,15 +276,21 @@ def _count(c: Column, ch: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
 
 
-def boundary_aliases(left: Column, right: Column) -> Column:
+def only_brackets(c: Column) -> Column:
+    return F.regexp_replace(c, "[^" + "".join("\\" + x if x in "[]" else x for pair in BRACKETS for x in pair) + "]", "")
+
+
+def boundary_aliases(left: Column, right: Column, trimmed: bool = False, brackets: tuple[Column, Column] | None = None) -> Column:
     """Specific rule ids of a join: digits, words, URLs, noun+suru, polite and verb endings, split brackets."""
-    left, right = strip_right(left), strip_left(right)
+    if not trimmed:
+        left, right = strip_right(left), strip_left(right)
     last, first = F.right(left, F.lit(1)), F.left(right, F.lit(1))
     url = F.concat(left, right).rlike(r"(?U)^https?://[^\s]+$")
     letters = last.rlike("^[A-Za-z]$") & first.rlike("^[A-Za-z]$")
     polite = _starts(right, POLITE[0]) | _ends(left, POLITE[1])
     verb = _starts(right, VERB_AUX[0]) | _ends(left, VERB_AUX[1])
-    pair = any_of([(_count(left, o) > _count(left, c)) & (_count(right, c) > _count(right, o)) for o, c in BRACKETS])
+    bl, br = (only_brackets(left), only_brackets(right)) if brackets is None else brackets
+    pair = (bl != "") & (br != "") & any_of([(_count(bl, o) > _count(bl, c)) & (_count(br, c) > _count(br, o)) for o, c in BRACKETS])
     found = reasons(
         (last.rlike(r"(?U)^\d$") & first.rlike(r"(?U)^\d$"), "SAFE-WRAP-DIGIT-SPLIT-01"),
         (url, "SAFE-WRAP-URL-SPLIT-01"), (letters & ~url, "SAFE-WRAP-ENGLISH-SPLIT-01"),
@@ -290,6 +300,20 @@ def boundary_aliases(left: Column, right: Column) -> Column:
     return F.when((left == "") | (right == ""), F.array().cast("array<string>")).otherwise(found)
 
 
+def token_spans(text: Column) -> Column:
+    """(start, end) of every protected token of a text."""
+    marked = F.regexp_replace(text, PROTECTED_TOKEN.replace("(?U)", "(?U)(", 1) + ")", f"{OPEN}$1{CLOSE}")
+    kind = "struct<at:int,spans:array<struct<lo:int,hi:int>>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int>>").alias("spans")).cast(kind)
+
+    def step(acc: Column, p: Column) -> Column:
+        token = F.startswith(p, F.lit(OPEN))
+        end = acc["at"] + F.length(p) - F.when(token, 2).otherwise(0)
+        more = F.when(token, F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("lo"), end.alias("hi"))))).otherwise(acc["spans"])
+        return F.struct(end.alias("at"), more.alias("spans")).cast(kind)
+    return F.aggregate(F.split(marked, f"(?={OPEN})|(?<={CLOSE})"), start, step, lambda acc: acc["spans"])
+
+
 def inside_protected(text: Column, index: Column) -> Column:
     """Whether a position lies strictly inside a protected token."""
     marked = F.regexp_replace(text, PROTECTED_TOKEN.replace("(?U)", "(?U)(", 1) + ")", f"{OPEN}$1{CLOSE}")
@@ -329,15 +353,16 @@ def boundary_kind(text: Column, index: Column, left: Column | None = None, right
             .otherwise("ambiguous"))
 
 
-def boundary_details(kind: Column, left: Column, right: Column) -> tuple[Column, Column, Column]:
+def boundary_details(kind: Column, left: Column, right: Column, trimmed: bool = False,
+                     aliases: Column | None = None) -> tuple[Column, Column, Column]:
     """(allowed, rule ids, preference) of a kind at a join of two texts."""
     allowed = kind.isin(list(PREFERENCE))
     table = F.create_map(*[F.lit(x) for kv in RULE_IDS.items() for x in kv])
-    aliases = boundary_aliases(left, right)
+    aliases = boundary_aliases(left, right) if aliases is None else aliases
     own = F.array(table[kind])
     both = F.when(kind.isin(ALIASED) & (F.size(aliases) > 0), aliases).otherwise(F.array_distinct(F.concat(aliases, own)))
     prefer = F.create_map(*[x for k, v in PREFERENCE.items() for x in (F.lit(k), F.lit(v))])
-    attributive = (kind == "particle-ending") & (F.regexp_extract(strip_right(left), "(" + "|".join(PARTICLES) + ")$", 1) == "の")
+    attributive = (kind == "particle-ending") & (F.regexp_extract(left if trimmed else strip_right(left), "(" + "|".join(PARTICLES) + ")$", 1) == "の")
     score = F.when(attributive, F.lit(6.0)).otherwise(F.coalesce(prefer[kind], F.lit(30.0)))
     return allowed, F.when(allowed, F.array().cast("array<string>")).otherwise(both), score
 
@@ -353,14 +378,19 @@ def classify_join(left: Column, right: Column) -> Column:
     return let(boundary_kind(text, index), outcome)
 
 
-def with_join(df: DataFrame, left: Column, right: Column) -> DataFrame:
-    """Add ``allowed, kind, rule_ids, preference`` in stages, so that each text is trimmed once."""
+def with_join(df: DataFrame, left: Column, right: Column, inside: Column | None = None) -> DataFrame:
+    """Add ``allowed, kind, rule_ids, preference`` in stages, so that each text is trimmed once.
+
+    ``inside`` may give the answer of ``inside_protected`` where it is known; null means unknown.
+    """
     out = df.withColumn("_l", strip_right(left)).withColumn("_r", strip_left(right))
-    out = out.withColumn("_t", F.concat("_l", "_r")).withColumn("_x", F.length("_l"))
-    out = out.withColumn("_in", inside_protected(F.col("_t"), F.col("_x")))
+    out = out.withColumns({"_t": F.concat("_l", "_r"), "_x": F.length("_l"), "_bl": only_brackets(F.col("_l")), "_br": only_brackets(F.col("_r"))})
+    own = inside_protected(F.col("_t"), F.col("_x"))
+    out = out.withColumn("_in", own if inside is None else F.coalesce(inside, own))
     out = out.withColumn("kind", boundary_kind(F.col("_t"), F.col("_x"), F.col("_l"), F.col("_r"), F.col("_in")))
-    allowed, rules, score = boundary_details(F.col("kind"), F.col("_l"), F.col("_r"))
-    return out.withColumns({"allowed": allowed, "rule_ids": rules, "preference": score}).drop("_l", "_r", "_t", "_x", "_in")
+    out = out.withColumn("_al", boundary_aliases(F.col("_l"), F.col("_r"), True, (F.col("_bl"), F.col("_br"))))
+    allowed, rules, score = boundary_details(F.col("kind"), F.col("_l"), F.col("_r"), True, aliases=F.col("_al"))
+    return out.withColumns({"allowed": allowed, "rule_ids": rules, "preference": score}).drop("_l", "_r", "_t", "_x", "_in", "_bl", "_br", "_al")
 
 
 def single_meaning(text: Column) -> Column:

@@ -110,18 +110,23 @@ REVIEW_KEY = ["artifact_id", "rule", "nx0", "ny0", "nx1", "ny1", "band1", "band2
 def _grouped(keyed: DataFrame, keys: list[str], member: str, examples: int) -> DataFrame:
     """First member by page then id, counts and the first example ids of each group.
 
-    Null keys are compared through a digest, so groups join back on one column.
+    Keys may be null and are compared null-safe.
     """
-    marked = keyed.withColumn("group_id", F.substring(F.sha2(identity_text(keys), 256), 1, 16))
-    main = marked.groupBy("group_id", *keys).agg(
-        F.min(F.struct("page", member)).alias("first"), F.count(F.lit(1)).alias("affected_count"),
-        F.countDistinct("page").alias("affected_pages"), F.max("page").alias("last_page"))
-    order = Window.partitionBy("group_id").orderBy(member)
-    few = marked.select("group_id", member).distinct().withColumn("rn", F.row_number().over(order)).where(
-        F.col("rn") <= examples).groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_list(member)), ",").alias("examples"))
-    return main.join(few, "group_id").select(
-        "group_id", *keys, F.col("first.page").alias("page"), F.col("first." + member).alias(member), "affected_count",
-        "affected_pages", "last_page", "examples")
+    per_member = keyed.groupBy(*keys, member).agg(
+        F.count(F.lit(1)).alias("n"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    stats = per_member.groupBy(*keys).agg(
+        F.min(F.struct(F.col("first_page").alias("page"), member)).alias("first"), F.sum("n").alias("affected_count"), F.max("last_page").alias("last_page"))
+    pages = keyed.select(*keys, "page").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("affected_pages"))
+    order = Window.partitionBy(*keys).orderBy(member)
+    few = per_member.select(*keys, member, F.row_number().over(order).alias("rn")).where(F.col("rn") <= examples).groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_list(member)), ",").alias("examples"))
+
+    def named(df: DataFrame, p: str) -> DataFrame:
+        return df.withColumnsRenamed({k: p + k for k in keys})
+
+    same = lambda p: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(p + k)) for k in keys])
+    return stats.join(named(few, "f_"), same("f_")).join(named(pages, "p_"), same("p_")).select(
+        *keys, F.col("first.page").alias("page"), F.col("first." + member).alias(member), "affected_count", "affected_pages", "last_page", "examples")
 
 
 def coalesce_reviews(findings: DataFrame, pages: DataFrame) -> DataFrame:
@@ -157,8 +162,10 @@ def nth_position(df: DataFrame, keys: list[str], order: list[str], n: int, name:
 def cap_groups(groups: DataFrame, maximum: int, order: list[str]) -> DataFrame:
     """Keep ``maximum - 1`` groups per artifact and fold the rest into one overflow row when there are more."""
     keys = ["artifact_id"]
-    over = nth_position(groups, keys, order, maximum + 1, "beyond").select(*keys)
-    cut = nth_position(groups, keys, order, maximum, "cut").join(over, keys, "left_semi")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    top = groups.select(*keys, *order, F.row_number().over(w).alias("_rn")).where(F.col("_rn") <= maximum + 1)
+    cut = top.groupBy(*keys).agg(F.max(F.when(F.col("_rn") == maximum, F.struct(*order))).alias("cut"), F.max("_rn").alias("_n")).where(
+        F.col("_n") > maximum).drop("_n")
     placed = groups.join(cut, keys, "left")
     spilled = F.coalesce(F.struct(*order) >= F.col("cut"), F.lit(False))
     kept = placed.where(~spilled).select("artifact_id", "rule", "page", "element_id", "affected_count", F.lit(1).cast("long").alias("group_count"))

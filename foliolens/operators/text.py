@@ -136,11 +136,18 @@ def break_lint(paragraphs: DataFrame) -> DataFrame:
     ``paragraphs``: ``paragraph_id, segments`` (array of texts, null for a break).
     """
     breaks = F.filter(F.sequence(F.lit(0), F.size("segments") - 1), lambda i: F.element_at("segments", i + 1).isNull())
-    rows = paragraphs.where(F.exists("segments", lambda s: s.isNull())).select("paragraph_id", "segments", F.explode_outer(breaks).alias("break_index"))
+    whole = F.array_join("segments", "")
+    rows = paragraphs.where(F.exists("segments", lambda s: s.isNull())).withColumn("tokens", tx.token_spans(whole)).select(
+        "paragraph_id", "segments", "tokens", F.explode_outer(breaks).alias("break_index"))
     n = F.size("segments")
-    rows = rows.withColumn("left", tx.strip_right(F.array_join(F.slice("segments", F.lit(1), F.col("break_index")), ""))).withColumn(
-        "right", tx.strip_left(F.array_join(F.when(F.col("break_index") + 1 < n, F.slice("segments", F.col("break_index") + 2, n)), "")))
-    rows = tx.with_join(rows.where((F.col("left") != "") & (F.col("right") != "")), F.col("left"), F.col("right"))
+    rows = rows.withColumn("left", F.array_join(F.slice("segments", F.lit(1), F.col("break_index")), "")).withColumn(
+        "right", F.array_join(F.when(F.col("break_index") + 1 < n, F.slice("segments", F.col("break_index") + 2, n)), "")).drop("segments")
+    # without blanks at the break the joined text is the paragraph itself, whose tokens are known
+    blank = F.col("left").rlike(r"(?U)\s\z") | F.col("right").rlike(r"(?U)^\s")
+    at = F.length("left")
+    known = F.when(~blank, tx.let(at, lambda x: F.exists("tokens", lambda t: (t["lo"] < x) & (x < t["hi"]))))
+    rows = rows.where((tx.strip_right(F.col("left")) != "") & (tx.strip_left(F.col("right")) != "")).withColumn("known", known).drop("tokens")
+    rows = tx.with_join(rows, F.col("left"), F.col("right"), F.col("known"))
     has = lambda *ids: F.arrays_overlap(F.col("rule_ids"), F.array(*map(F.lit, ids)))
     circled = F.right("left", F.lit(1)).rlike(f"[{CIRCLED}]") | F.left("right", F.lit(1)).rlike(f"[{CIRCLED}]")
     rule = first_reason(

@@ -118,7 +118,7 @@ def grouped_sql(keys: str, src: str) -> str:
 
 @query("f7_coalesce_reviews", f"WITH {KEYED} {grouped_sql(RK, 'k')}")
 def f7(spark, d):
-    return fi.coalesce_reviews(view(spark, d, "v_findings"), view(spark, d, "v_pages").selectExpr(*_split(FPAGES))).drop("group_id")
+    return fi.coalesce_reviews(view(spark, d, "v_findings"), view(spark, d, "v_pages").selectExpr(*_split(FPAGES)))
 
 
 SPACE = ("CASE WHEN line_index % 6 = 4 THEN 'content_block_spacing_candidate' WHEN line_index % 6 = 5 THEN 'content_block_vertical_association_unspecified' ELSE 'content_block_geometry_relation_ambiguous' END")
@@ -133,7 +133,7 @@ m AS (SELECT *, CASE WHEN va THEN relation_id WHEN ga THEN relation_type ELSE sc
   CASE WHEN ga THEN reason_code WHEN NOT va THEN lower_role END AS k3, CASE WHEN NOT va AND NOT ga THEN {bandsql('gap', '0.5')} END AS band1 FROM k)
 {grouped_sql('artifact_id, rule, k1, k2, k3, band1', 'm')}""")
 def f8(spark, d):
-    return fi.coalesce_spacing(view(spark, d, "v_boxes").selectExpr(*_split(SP_COLS))).drop("group_id")
+    return fi.coalesce_spacing(view(spark, d, "v_boxes").selectExpr(*_split(SP_COLS)))
 
 
 @query("f9_overflow_group", f"""

@@ -15,8 +15,17 @@ VIEW_SQL: dict[str, str] = {}
 _BUILDERS = {}
 
 
+# tables whose rows are long texts: their work is spread even when a small file is one split
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
