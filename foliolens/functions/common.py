@@ -23,6 +23,9 @@ def py_round(value: Column, digits: int) -> Column:
     nearest = F.rint(scaled)
     clear = (F.abs(scaled) < 1e12) & (F.abs(scaled - nearest) < 0.4999)
     exact = F.regexp_replace(F.format_number(value, digits), ",", "").cast("double")
+    # the formatter takes half of the last place for an exact tie even where the binary value is above it
+    half = float(f"5e-{digits + 1}")
+    exact = F.when(F.abs(value) == F.lit(half), F.signum(value) * F.lit(float(round(half, digits)))).otherwise(exact)
     return F.when(clear, nearest / scale).otherwise(exact) + F.lit(0.0)
 
 
