@@ -112,14 +112,14 @@ def _grouped(keyed: DataFrame, keys: list[str], member: str, examples: int) -> D
 
     Keys may be null and are compared null-safe.
     """
-    per_member = keyed.groupBy(*keys, member).agg(
-        F.count(F.lit(1)).alias("n"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
-    stats = per_member.groupBy(*keys).agg(
-        F.min(F.struct(F.col("first_page").alias("page"), member)).alias("first"), F.sum("n").alias("affected_count"), F.max("last_page").alias("last_page"))
-    pages = keyed.select(*keys, "page").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("affected_pages"))
+    # all three branches read the same aggregate with the same columns, so its shuffle is done once
+    base = keyed.groupBy(*keys, member, "page").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").alias("n")
+    stats = base.groupBy(*keys).agg(F.min(F.struct("page", member)).alias("first"), F.sum("n").alias("affected_count"), F.max("page").alias("last_page"))
+    pages = base.groupBy(*keys, "page").agg(total).where("n > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("affected_pages"))
     order = Window.partitionBy(*keys).orderBy(member)
-    few = per_member.select(*keys, member, F.row_number().over(order).alias("rn")).where(F.col("rn") <= examples).groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list(member)), ",").alias("examples"))
+    few = base.groupBy(*keys, member).agg(total).where("n > 0").select(*keys, member, F.row_number().over(order).alias("rn")).where(
+        F.col("rn") <= examples).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(member)), ",").alias("examples"))
 
     def named(df: DataFrame, p: str) -> DataFrame:
         return df.withColumnsRenamed({k: p + k for k in keys})

@@ -93,11 +93,13 @@ def rewrite_documents(docs: DataFrame, mode: str = "document", limit: int = tx.M
 
 def rewrite_report(docs: DataFrame, mode: str = "document") -> DataFrame:
     """Report per document and the gate: clean at once, or clean after applying the rewrites."""
-    first = rewrite_documents(docs, mode).withColumn("changed", F.col("text") != F.col("before"))
-    again = rewrite_documents(first.drop("before").withColumnsRenamed({"rules": "rules1", "protected": "protected1"}), mode)
+    first = rewrite_documents(docs, mode).withColumn("changed", F.col("text") != F.col("before")).withColumnsRenamed(
+        {"rules": "rules1", "protected": "protected1", "text": "final_text"}).drop("before")
+    # only what changed is looked at again
+    again = rewrite_documents(first.withColumn("text", F.when(F.col("changed"), F.col("final_text")).otherwise("")), mode)
     gate = F.when(~F.col("changed"), "clean").when(F.col("text") == F.col("before"), "clean_after_apply").otherwise("still_changing")
     return again.select("doc_id", "changed", F.size("rules1").alias("rewrite_count"), F.col("rules1").alias("rules"),
-                        F.col("protected1").alias("protected"), F.col("before").alias("text"), gate.alias("gate"))
+                        F.col("protected1").alias("protected"), F.col("final_text").alias("text"), gate.alias("gate"))
 
 
 def rule_stats(report: DataFrame, dims: list[str]) -> DataFrame:
