@@ -6,6 +6,8 @@ box; a missing box or page means that the block has no measured rendering.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,25 +60,26 @@ def largest_gap(policy: dict) -> float:
     return float(max(values))
 
 
-def closure(blocks: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(block, ancestor) pairs of the parent forest, up to ``max_depth`` steps, cycle safe.
+def closure(blocks: DataFrame) -> DataFrame:
+    """(block, ancestor) pairs of the parent forest, of any depth and cycle safe.
 
     Path doubling: every round joins the paths found so far with themselves,
-    so a chain of 64 needs six rounds. Each round is written out when a
-    checkpoint folder is set, which keeps the plan short.
+    so a chain of a million needs twenty rounds; it ends when a round adds
+    nothing. Rounds are checkpointed, which keeps the plan short and survives
+    lost executors.
     """
-    base = blocks.where(F.col("parent_id").isNotNull()).select(
-        F.col("block_id").alias("node"), F.col("parent_id").alias("ancestor"))
-    reached = base.distinct()
     context = blocks.sparkSession.sparkContext
-    span = 1
-    while span < max_depth:
+    if not context.getCheckpointDir():
+        # only where the session names no shared folder, as in tests
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    reached = blocks.where(F.col("parent_id").isNotNull()).select(
+        F.col("block_id").alias("node"), F.col("parent_id").alias("ancestor")).distinct().checkpoint()
+    known, before = reached.count(), -1
+    while known != before:
         step = reached.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
         longer = reached.join(step, "ancestor").select("node", F.col("further").alias("ancestor"))
-        reached = reached.unionByName(longer).distinct()
-        if context.getCheckpointDir():
-            reached = reached.checkpoint()
-        span *= 2
+        reached = reached.unionByName(longer).distinct().checkpoint()
+        known, before = reached.count(), known
     return reached
 
 

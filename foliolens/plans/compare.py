@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import os
 import pathlib
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
+EXACT = bool(os.environ.get("COMPARE_EXACT"))  # compare doubles to the last bit
 
 
 def duck(sf_dir: str):
@@ -24,7 +26,7 @@ def _norm(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return float(f"{value:.9g}") + 0.0
+        return value + 0.0 if EXACT else float(f"{value:.9g}") + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(_norm(v) for v in value)
     if isinstance(value, (str, int)):

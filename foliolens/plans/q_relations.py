@@ -72,7 +72,7 @@ WITH RECURSIVE up AS (SELECT block_id AS node, parent_id AS ancestor FROM v_bloc
   UNION SELECT up.node, b.parent_id FROM up JOIN v_blocks b ON b.block_id = up.ancestor WHERE b.parent_id IS NOT NULL)
 SELECT node, ancestor FROM up""")
 def g31(spark, d):
-    return bl.closure(view(spark, d, "v_blocks"), 32)
+    return bl.closure(view(spark, d, "v_blocks"))
 
 
 @query("g32_relation_summary", f"""

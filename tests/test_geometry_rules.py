@@ -112,7 +112,7 @@ def test_relations(spark):
 
 def test_closure_survives_cycles(spark):
     blocks = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, None)], "block_id int, parent_id int")
-    got = {(r.node, r.ancestor) for r in bl.closure(blocks, 16).collect()}
+    got = {(r.node, r.ancestor) for r in bl.closure(blocks).collect()}
     assert got == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3)} | {(4, 1), (4, 2), (4, 3)}
 
 
