@@ -40,10 +40,6 @@ def first_reason(*pairs: tuple[Column, str], default: str | None = None) -> Colu
     return F.coalesce(*cases, F.lit(default))
 
 
-def code_points(first: int, last: int) -> str:
-    return f"[\\x{{{first:x}}}-\\x{{{last:x}}}]"
-
-
 def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds)
 
@@ -52,11 +48,6 @@ def all_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds)
 
 
-def one_of_chars(column: Column, characters: str) -> Column:
-    """True when a one-character string is one of ``characters``."""
-    return (F.length(column) == 1) & (F.instr(F.lit(characters), column) > 0)
-
-
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return all_of([left[k] == right[k] for k in keys])
 
@@ -84,11 +75,6 @@ def multiset_digest(row_hash: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.count(row_hash).cast("string"), *limbs), 256)
 
 
-def status_from_rank(rank: Column, names: list[str]) -> Column:
-    """Turn an integer rank back into its name."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]), rank + 1)
-
-
 def let(value: Column, body) -> Column:
     """Evaluate an expression once and use it several times inside an array function."""
     return F.element_at(F.transform(F.array(value), body), 1)

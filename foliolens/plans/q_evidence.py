@@ -384,11 +384,6 @@ def _role(spark, d, role: int):
     return view(spark, d, "v_leaves").where(f"role = {role}")
 
 
-DIFF = """(SELECT doc_id, role, pointer, CASE WHEN NOT ib THEN 'added' WHEN NOT io THEN 'removed' ELSE 'changed' END AS change, bv AS base_value, ov AS value FROM (
- SELECT coalesce(b.doc_id, o.doc_id) AS doc_id, r.role, coalesce(b.pointer, o.pointer) AS pointer, b.doc_id IS NOT NULL AS ib, o.doc_id IS NOT NULL AS io, b.value AS bv, o.value AS ov
- FROM (VALUES (1), (2)) r(role), LATERAL (SELECT 1) z,
- LATERAL (SELECT 1) y, (SELECT 1) q, v_leaves b FULL JOIN v_leaves o ON false WHERE false)
-)"""
 DIFF = """(SELECT * FROM (
  SELECT coalesce(b.doc_id, o.doc_id) AS doc_id, 1 AS role, coalesce(b.pointer, o.pointer) AS pointer, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN o.doc_id IS NULL THEN 'removed' WHEN b.value IS DISTINCT FROM o.value THEN 'changed' END AS change, b.value AS base_value, o.value AS value
  FROM (SELECT * FROM v_leaves WHERE role = 0) b FULL JOIN (SELECT * FROM v_leaves WHERE role = 1) o ON b.doc_id = o.doc_id AND b.pointer = o.pointer

@@ -81,7 +81,6 @@ def g6(spark, d):
 
 FRAMES = ("artifact_id", "page", "box_id", "x0", "CAST(floor(y0 / 20) * 20 AS DOUBLE) AS y0",
           "CAST(x0 + 150 AS DOUBLE) AS x1", "CAST(floor(y0 / 20) * 20 + 14 + line_index % 3 AS DOUBLE) AS y1")
-SIDE = ["g.gap > 0.01 AND g.gap < 7.99"]
 
 
 @query("g7_parallel_frames", f"""

@@ -347,9 +347,6 @@ def g44(spark, d):
     return fr.group_steps(frames)
 
 
-TABLE = ("concat(CAST(p_size AS STRING), '-', CAST(CAST(floor(p_partkey / 500) AS INT) AS STRING)) AS group_id, concat('t', CAST(p_partkey AS STRING)) AS target_id")
-
-
 @query("g45_table_tiling", """
 WITH r AS (SELECT concat('g', CAST(o_orderkey AS VARCHAR)) AS group_id, concat('t', CAST(o_orderkey AS VARCHAR), '-', CAST(i AS VARCHAR)) AS target_id,
    CAST(i + CASE WHEN o_orderkey % 7 = 0 AND i = 2 THEN 1 ELSE 0 END AS INT) AS row_index, CAST(10 AS DOUBLE) AS x, i * 20.0 + CASE WHEN o_orderkey % 5 = 0 AND i = 1 THEN 0.5 ELSE 0 END AS y,
