@@ -241,9 +241,8 @@ def bitmap(df: DataFrame, key: str, rows: int) -> np.ndarray:
     work and never decides a result. Only the words of the map, not keys, reach the driver.
     """
     bits = bitmap_size(rows)
-    slot = F.pmod(F.col(key), F.lit(bits))
-    words = (df.select((slot / 64).cast("long").alias("w"), F.shiftleft(F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")))
+    words = (df.select(F.pmod(F.col(key), F.lit(bits)).alias("slot"))
+             .selectExpr("slot div 64 AS w", "shiftleft(1L, CAST(slot % 64 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")))
     block = words.groupBy(F.floor(F.col("w") / 4096).alias("g")).agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("x"))
     out = np.zeros(bits // 64, np.int64)
     for row in block.toLocalIterator():
