@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, decontaminate, ngram_join, quality_rules
+from . import byte_bpe, chat_format, decontaminate, ngram_join, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("removed_from", "removed_to")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(quality_rules.ledger(_table(spark, sf_dir, "documents")))
 
@@ -37,7 +41,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(chat_format.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_ngram_join, op6_decontamination, op7_byte_bpe, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_quality_rules, op5_ngram_join, op6_decontamination, op7_byte_bpe, op9_chat_format)}
 
 ORACLE: dict[str, str] = {}
 
@@ -94,3 +98,16 @@ link AS MATERIALIZED (SELECT x, y FROM o JOIN n p ON x = p.doc_id JOIN n q ON y
 reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON m.x = d.doc_id"""
+
+ORACLE["op2_suffix_dedup"] = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, 400)) AS g FROM d, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS t(i)),
+r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM w SEMI JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) AS x USING (g)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY doc_id, run),
+o AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM s),
+u AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM o) GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM u),
+k AS (SELECT e.doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS tail, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
