@@ -24,7 +24,7 @@ from . import base
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters_ascii")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters_ascii", "n_capitals")
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 
@@ -49,15 +49,16 @@ def rules() -> list[Rule]:
         Rule(6, "long_words", c("word_chars") > 20 * c("n_words")),
         Rule(7, "some_symbols", 100 * c("n_symbols") > 3 * c("word_chars")),
         Rule(8, "some_duplicate_lines", 100 * c("n_dup_lines") > 20 * c("n_lines")),
+        Rule(9, "mostly_capitals", 2 * c("n_capitals") > c("n_letters_ascii")),
     ]
 
 
 # policy version: bits that reject; a later version is a new entry, earlier ones stay as they are
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("too_few_words", "repeated_words"),
-    "v1": ("too_few_words", "repeated_words", "no_words", "many_symbols", "duplicate_lines", "short_words", "long_words"),
+    "v1": ("too_few_words", "repeated_words", "no_words", "many_symbols", "duplicate_lines", "short_words", "long_words", "mostly_capitals"),
     "v2-strict": ("too_few_words", "repeated_words", "no_words", "many_symbols", "duplicate_lines", "short_words", "long_words",
-                  "some_symbols", "some_duplicate_lines"),
+                  "mostly_capitals", "some_symbols", "some_duplicate_lines"),
 }
 POLICY = "v1"
 
@@ -100,6 +101,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         out["word_chars"][first:last] = add(word & lead)
         out["n_symbols"][first:last] = add(SYMBOLS[data])
         out["n_letters_ascii"][first:last] = add(np.isin(data | 0x20, np.arange(97, 123, dtype=np.uint8)))
+        out["n_capitals"][first:last] = add((data >= 65) & (data <= 90))
     for i, text in enumerate(texts):
         lines = [x for x in text.split(b"\n") if x and not x.isspace()]
         out["n_lines"][i] = len(lines)

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, ngram_join, quality_rules, suffix_dedup
+from . import byte_bpe, chat_format, decontaminate, line_dedup, license_scan, ngram_join, quality_rules, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(line_dedup.dedup(_table(spark, sf_dir, "documents")))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("removed_from", "removed_to")
 
@@ -20,6 +25,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(quality_rules.ledger(_table(spark, sf_dir, "documents")))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.Ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), ranks)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_table(spark, sf_dir, "documents")).drop("class_id")
 
@@ -41,7 +51,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(chat_format.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_quality_rules, op5_ngram_join, op6_decontamination, op7_byte_bpe, op9_chat_format)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents lie in a directory per source and language
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
+    return license_scan.scan(_table(spark, sf_dir, "documents"), path)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_ngram_join, op6_decontamination, op7_byte_bpe, op9_chat_format, op10_license_scan)}
 
 ORACLE: dict[str, str] = {}
 
@@ -55,13 +71,14 @@ line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d),
 dup AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT x) AS n FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
-        coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup.lines, 0) AS lines
+        coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup.lines, 0) AS lines,
+        length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
       FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        100 * n_symbols > 10 * word_chars AS s, 100 * n_dup_lines > 50 * lines AS l, word_chars < 2 * n_words AS sh, word_chars > 20 * n_words AS lo FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR s OR l OR sh OR lo) AS kept,
+        100 * n_symbols > 10 * word_chars AS s, 100 * n_dup_lines > 50 * lines AS l, word_chars < 2 * n_words AS sh, word_chars > 20 * n_words AS lo, 2 * capitals > letters AS ca FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR s OR l OR sh OR lo OR ca) AS kept,
   CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (n_words = 0)::INT + 8 * s::INT + 16 * l::INT + 32 * sh::INT + 64 * lo::INT
-    + 128 * (100 * n_symbols > 3 * word_chars)::INT + 256 * (100 * n_dup_lines > 20 * lines)::INT AS BIGINT) AS failed
+    + 128 * (100 * n_symbols > 3 * word_chars)::INT + 256 * (100 * n_dup_lines > 20 * lines)::INT + 512 * ca::INT AS BIGINT) AS failed
 FROM v"""
 
 ORACLE["op6_decontamination"] = r"""
