@@ -2,17 +2,18 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document is its set of distinct word shingles. Shingles are
 hashed into groups and a document is the point of its group counts. For two points the sum of coordinate minima bounds
-the overlap of the sets from above; the same bound with the upper corner of a tree node covers all points below it.
+the overlap of the sets from above; the same bound between the upper corners of two tree nodes covers all their points.
 
 1. Documents of one set are a class; only classes go on.
 2. Directory: the fine groups (hash values) of a class that are rarest by the document counts of 2**18 coarse groups.
-   Two sets with the wanted overlap share one of their first ``n - ceil(t n) + 1`` fine groups under any common order,
-   so each fine group is the root of a small tree and no link is lost. Common passages order last.
-3. In each tree every point is bounded against the root's first point, survivors are verified on whole sets, and linked
-   classes become components (star).
-4. What a star leaves outside the first point's component is packed into nodes of at most ``NODE`` points (sorted by
-   size and counts, with their upper corners) and joined node by node: corner bound, point bound, verification. So all
-   links between different components are found, but a group of near copies is never listed as all its pairs.
+   Two sets with the wanted overlap share one of their first ``n - ceil(t n) + 1`` fine groups under any common order, so
+   no link is lost when only classes with a common fine group meet. Common passages come last in the order.
+3. Classes that share a fine group with another are packed into leaf nodes of at most ``NODE`` points: by their most
+   populous fine group, then size and counts. A node holds its points, their sets and its upper corner. Links inside a
+   node are found as it is packed; linked classes become components.
+4. Nodes that share a fine group are joined unless all their points are in one component already: corner bound, point
+   bound, then whole sets. A node pair reports a spanning forest of its links, so a group of near copies is never
+   listed as all its pairs and no link between components is lost.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and is its own component; fewer words than
 a shingle are one shingle; rows of one set are one class, so repeated rows agree; a component without any id is null.
@@ -32,7 +33,9 @@ SIZE = 4
 PERCENT = 85
 COARSE_BITS = 18  # coarse groups whose document counts order the fine groups: 2 MB, at any input size
 GROUPS = 64  # coordinates of a point
-NODE = 256
+NODE = 256  # points of a leaf
+NODE_BYTES = 1 << 20  # and bytes of its sets, beyond which no further point comes in
+HOME = 4096  # classes of a fine group packed by one task
 _U = np.uint64
 
 
@@ -97,12 +100,9 @@ def coarse_counts(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-POINT_SCHEMA = "doc_id bigint, n int, cid bigint, keys array<bigint>, point binary"
-
-
-def points(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Per row its set size, class id, rarest fine groups and group counts."""
-    weight = docs.sparkSession.sparkContext.broadcast(coarse_counts(docs, size))
+def directory(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n, cid, keys): per row its set size, class id and rarest fine groups."""
+    weight = docs.sparkSession.sparkContext.broadcast(coarse_counts(docs, size).astype(np.int32))
 
     def run(batch: pa.RecordBatch):
         texts = base.byte_strings(batch.column("text"))
@@ -112,19 +112,11 @@ def points(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
             count = weight.value[(grams >> _U(64 - COARSE_BITS)).astype(np.int64)]
             order = np.lexsort((count, owner))  # stable: equal counts stay in order of the hash
             take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-            begin = np.cumsum(n) - n
-            rank = np.arange(len(grams)) - begin[owner]
+            rank = np.arange(len(grams)) - (np.cumsum(n) - n)[owner]
             keys = grams[order][rank < take[owner]].view(np.int64)
-            cell = owner * GROUPS + (grams & _U(GROUPS - 1)).astype(np.int64)
-            point = np.bincount(cell, minlength=(last - first) * GROUPS).astype("<u4").reshape(-1, GROUPS)
-            yield {"doc_id": batch.column("doc_id").slice(first, last - first), "n": n, "cid": _class_ids(grams, n),
-                   "keys": base.lists(keys, take, pa.int64()), "point": [p.tobytes() for p in point]}
+            yield {"doc_id": batch.column("doc_id").slice(first, last - first), "n": n, "cid": _class_ids(grams, n), "keys": base.lists(keys, take, pa.int64())}
 
-    return base.map_arrow(docs, run, POINT_SCHEMA)
-
-
-def _compatible(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return base.map_arrow(docs, run, "doc_id bigint, n int, cid bigint, keys array<bigint>")
 
 
 def _needed(na, nb, percent: int):
@@ -132,152 +124,183 @@ def _needed(na, nb, percent: int):
     return -(-percent * (na + nb) // (100 + percent))
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, na, b, nb) whose summed coordinate minima reach the needed overlap."""
-    side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias("n" + s), F.col("point").alias("p" + s))
-    both = base.salted_join(pairs, side("a"), ["a", "na"], "inner")
-    both = base.salted_join(both, side("b"), ["b", "nb"], "inner")
+def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(cid, n, grams, point) of the classes of ``wanted`` (cid, n, rep): only their texts are made into sets again."""
+    wanted = base.staged(wanted.select("cid", "n", F.xxhash64("rep").alias("slot")), "wanted")
+    seen = docs.sparkSession.sparkContext.broadcast(base.bitmap(wanted, "slot", wanted.count()))
 
     def run(batch: pa.RecordBatch):
-        pa_, pb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("pa", "pb"))
-        na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-        ok = pa.array(np.minimum(pa_, pb).sum(axis=1, dtype=np.int64) >= _needed(na, nb, percent))
-        yield {c: batch.column(c).filter(ok) for c in ("a", "na", "b", "nb")}
-
-    return base.map_arrow(both, run, "a bigint, na int, b bigint, nb int")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets are similar enough. Only texts of classes in ``pairs`` are read into sets again."""
-    spark = docs.sparkSession
-    used = pairs.select(F.col("a").alias("cid"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
-    wanted = base.staged(classes.select("cid", "n", F.xxhash64("rep").alias("slot")).join(used, ["cid", "n"], "left_semi"), "wanted")
-    seen = spark.sparkContext.broadcast(base.bitmap(wanted, "slot", wanted.count()))
-
-    def sets(batch: pa.RecordBatch):
         hit = base.in_bitmap(seen.value, batch.column("slot").to_numpy().view(_U))
         texts = base.byte_strings(batch.column("text").filter(pa.array(hit)))
         for first, last in base.slices(texts):
             grams, n = shingle_sets(texts[first:last], size)
+            cell = np.repeat(np.arange(last - first), n) * GROUPS + (grams & _U(GROUPS - 1)).astype(np.int64)
+            point = np.bincount(cell, minlength=(last - first) * GROUPS).astype("<u4").reshape(-1, GROUPS)
             ends = np.cumsum(n)
-            yield {"cid": _class_ids(grams, n), "n": n, "grams": [grams[e - k:e].tobytes() for e, k in zip(ends, n, strict=True)]}
-
-    rows = base.map_arrow(docs.select("text", F.xxhash64("doc_id").alias("slot")), sets, "cid bigint, n int, grams binary")
-    found = rows.join(used, ["cid", "n"], "left_semi").groupBy("cid", "n").agg(F.max("grams").alias("grams"))
-    found = base.staged(found, "sets")
-    side = lambda s: found.select(F.col("cid").alias(s), F.col("n").alias("n" + s), F.col("grams").alias("g" + s))
-    both = base.salted_join(base.salted_join(pairs, side("a"), ["a", "na"], "inner"), side("b"), ["b", "nb"], "inner")
-
-    def run(batch: pa.RecordBatch):
-        ok = []
-        for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            all_ = np.sort(np.concatenate([x, y]), kind="stable")
-            shared = int((all_[1:] == all_[:-1]).sum())
-            ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-        keep = pa.array(ok, pa.bool_())
-        yield {c: batch.column(c).filter(keep) for c in ("a", "na", "b", "nb")}
-
-    return base.staged(base.map_arrow(both, run, "a bigint, na int, b bigint, nb int"), "links")
-
-
-NODE_SCHEMA = "key bigint, lo int, hi int, rest boolean, corner binary, cid array<bigint>, n array<int>, root array<binary>, point binary"
-
-
-def pack(entries: DataFrame, node: int = NODE) -> DataFrame:
-    """Leaf nodes of the trees: at most ``node`` points of one key, near each other in size and counts.
-
-    ``entries``: key, cid, n, root, main (is it in the component of the key's first point), point. A key with very many
-    points is dealt over salted tasks, each of which packs its own nodes.
-    """
-    ordered = (entries.withColumn("salt", F.pmod("cid", F.lit(16))).repartition("key", "salt", "main")
-               .sortWithinPartitions("key", "salt", "main", "n", "point"))
-    arrow = base._arrow_schema(entries.sparkSession, NODE_SCHEMA)
+            yield {"cid": _class_ids(grams, n), "n": n, "grams": [grams[e - k:e].tobytes() for e, k in zip(ends, n, strict=True)], "point": [p.tobytes() for p in point]}
+
+    rows = base.map_arrow(docs.select("text", F.xxhash64("doc_id").alias("slot")), run, "cid bigint, n int, grams binary, point binary")
+    # one row per class: rows of a class are equal
+    return rows.join(wanted.select("cid", "n").distinct(), ["cid", "n"], "left_semi").dropDuplicates(["cid", "n"])
+
+
+class Leaf:
+    """The points of a node in numpy form."""
+
+    def __init__(self, n, points: bytes, grams: bytes):
+        self.n = np.asarray(n, np.int64)
+        self.points = np.frombuffer(points, "<u4").reshape(-1, GROUPS)
+        self.grams = np.frombuffer(grams, _U)
+        self.owner = np.repeat(np.arange(len(self.n)), self.n)
+
+
+def leaf_links(a: Leaf, b: Leaf, percent: int, root_a: list, root_b: list) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the points of two leaves that are not yet in one component."""
+    if np.minimum(a.points.max(axis=0), b.points.max(axis=0)).sum(dtype=np.int64) < _needed(int(a.n.min()), int(b.n.min()), percent):
+        return []
+    parent: dict = {}
+
+    def find(x):
+        while x in parent:
+            x = parent[x]
+        return x
+
+    same = a is b
+    maybe: list[tuple[int, np.ndarray]] = []
+    for i in range(len(a.n)):
+        ok = (100 * np.minimum(a.n[i], b.n) >= percent * np.maximum(a.n[i], b.n)) & (np.minimum(a.points[i], b.points).sum(axis=1, dtype=np.int64) >= _needed(a.n[i], b.n, percent))
+        if same:
+            ok[:i + 1] = False
+        hit = np.flatnonzero(ok)
+        if len(hit):
+            maybe.append((i, hit))
+    if not maybe:
+        return []
+    # exact overlaps: a 0/1 matrix of the points over shingles that both leaves hold
+    shared = np.intersect1d(a.grams, b.grams)
+    matrix = np.zeros((len(b.n), len(shared)), np.float32)
+    if len(shared):
+        at = np.minimum(np.searchsorted(shared, b.grams), len(shared) - 1)
+        inside = shared[at] == b.grams
+        matrix[b.owner[inside], at[inside]] = 1
+    ends = np.cumsum(a.n)
+    found = []
+    for i, hit in maybe:
+        if not len(shared):
+            break
+        mine = a.grams[ends[i] - a.n[i]:ends[i]]
+        at = np.minimum(np.searchsorted(shared, mine), len(shared) - 1)
+        overlap = matrix[:, at[shared[at] == mine]].sum(axis=1).astype(np.int64)[hit]
+        for j in hit[100 * overlap >= percent * (a.n[i] + b.n[hit] - overlap)]:
+            x, y = find(root_a[i]), find(root_b[j])
+            if x != y:
+                parent[x] = y
+                found.append((i, int(j)))
+    return found
+
+
+NODE_SCHEMA = ("node string, lo int, hi int, cid array<bigint>, n array<int>, keys array<bigint>, link_a array<int>, link_b array<int>, points binary, grams binary")
+
+
+def pack(classes: DataFrame, percent: int = PERCENT, node: int = NODE, size_limit: int = NODE_BYTES) -> DataFrame:
+    """Leaf nodes with the links inside them, from classes (home, salt, cid, n, point, grams, keys)."""
+    ordered = classes.repartition("home", "salt").sortWithinPartitions("home", "salt", "n", "point", "cid")
+    arrow = base._arrow_schema(classes.sparkSession, NODE_SCHEMA)
 
     def run(batches):
-        held, key = [], None
+        held, key, number, weight = [], None, 0, 0
 
         def full():
-            p = np.frombuffer(b"".join(r["point"] for r in held), "<u4").reshape(-1, GROUPS)
+            points, grams = (b"".join(r[c] for r in held) for c in ("point", "grams"))
+            n = [r["n"] for r in held]
+            leaf = Leaf(n, points, grams)
+            links = leaf_links(leaf, leaf, percent, *[list(range(len(n)))] * 2)
             return pa.RecordBatch.from_pylist([{
-                "key": held[0]["key"], "lo": min(r["n"] for r in held), "hi": max(r["n"] for r in held), "rest": not held[0]["main"], "corner": p.max(axis=0).tobytes(),
-                "cid": [r["cid"] for r in held], "n": [r["n"] for r in held], "root": [r["root"] for r in held], "point": p.tobytes()}], schema=arrow)
+                "node": f"{key[0]}:{key[1]}:{number}", "lo": min(n), "hi": max(n), "cid": [r["cid"] for r in held], "n": n,
+                "keys": sorted({k for r in held for k in r["keys"]}), "link_a": [i for i, _ in links], "link_b": [j for _, j in links],
+                "points": points, "grams": grams}], schema=arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                for row in batch.slice(at, 1000).to_pylist():
-                    mine = (row["key"], row["salt"], row["main"])
-                    if held and (mine != key or len(held) == node):
+            for at in range(0, batch.num_rows, 64):
+                for row in batch.slice(at, 64).to_pylist():
+                    mine = (row["home"], row["salt"])
+                    if held and (mine != key or len(held) == node or weight > size_limit):
                         yield full()
-                        held.clear()
+                        held, weight = [], 0
+                        number = number + 1 if mine == key else 0
                     key = mine
                     held.append(row)
+                    weight += len(row["grams"])
         if held:
             yield full()
 
     return ordered.mapInArrow(run, NODE_SCHEMA)
 
 
-def _tree_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one tree: node by node, corner bound first, then point by point."""
-    left = nodes.where("rest").select(*[F.col(c).alias("l_" + c) for c in nodes.columns])
-    both = left.join(nodes, (F.col("l_key") == F.col("key")) & (100 * F.col("hi") >= percent * F.col("l_lo")) & (100 * F.col("l_hi") >= percent * F.col("lo")))
+def _cross_links(pairs: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(ca, na, cb, nb): links between the points of node pairs (a, b) that join components."""
+    full = nodes.select("node", "cid", "n", "points", "grams").join(roots, "node")
+    side = lambda s: full.select(*[F.col(c).alias(f"{c}_{s}") for c in full.columns])
+    both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
 
     def run(batch: pa.RecordBatch):
-        out: dict[str, list] = {k: [] for k in ("a", "na", "b", "nb")}
+        out: dict[str, list] = {k: [] for k in ("ca", "na", "cb", "nb")}
         for at in range(batch.num_rows):
             r = batch.slice(at, 1).to_pylist()[0]
-            x, y = (np.frombuffer(r[c], "<u4").reshape(-1, GROUPS) for c in ("l_corner", "corner"))
-            if np.minimum(x, y).sum(dtype=np.int64) < _needed(r["l_lo"], r["lo"], percent):
-                continue
-            p, q = (np.frombuffer(r[c], "<u4").reshape(-1, GROUPS) for c in ("l_point", "point"))
-            n, m = np.array(r["l_n"], np.int64), np.array(r["n"], np.int64)
-            for i in range(len(n)):
-                hit = np.flatnonzero((np.minimum(p[i], q).sum(axis=1, dtype=np.int64) >= _needed(n[i], m, percent)) & (100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m)))
-                for j in hit:
-                    if r["l_root"][i] != r["root"][j]:
-                        first, second = sorted([(r["l_cid"][i], int(n[i])), (r["cid"][j], int(m[j]))])
-                        for k, v in zip(out, (*first, *second), strict=True):
-                            out[k].append(v)
+            a, b = (Leaf(r[f"n_{s}"], r[f"points_{s}"], r[f"grams_{s}"]) for s in "ab")
+            for i, j in leaf_links(a, b, percent, r["root_a"], r["root_b"]):
+                for k, v in zip(out, (r["cid_a"][i], r["n_a"][i], r["cid_b"][j], r["n_b"][j]), strict=True):
+                    out[k].append(v)
         yield out
 
-    return base.map_arrow(both, run, "a bigint, na int, b bigint, nb int").distinct()
-
-
-def _nodes_of(n: Column, cid: Column) -> Column:
-    """One value for a class: its size and id as bytes of fixed length, so that order and equality are those of the pair."""
-    return F.unhex(F.concat(F.lpad(F.hex(n), 8, "0"), F.lpad(F.hex(cid), 16, "0")))
+    return base.map_arrow(both, run, "ca bigint, na int, cb bigint, nb int")
+
+
+def _class_key(n: Column, cid: Column) -> Column:
+    """One value for a class: its size and id as text of fixed length."""
+    return F.concat(F.lpad(F.hex(n), 8, "0"), F.lpad(F.hex(cid), 16, "0"))
+
+
+def class_links(rows: DataFrame, marked: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, component) of linked classes; ids as in ``_class_key``."""
+    firsts = marked.where("n > 0").join(classes, ["cid", "n"], "left_semi").dropDuplicates(["cid", "n"])
+    keys = base.staged(firsts.select("cid", "n", F.explode("keys").alias("key")), "keys")
+    open_keys = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    entries = base.staged(keys.join(open_keys, "key"), "entries")
+    homes = entries.groupBy("cid", "n").agg(F.max(F.struct("m", "key")).alias("h"), F.collect_set("key").alias("keys"))
+    # a fine group of very many classes is packed by several tasks
+    homes = homes.select("cid", "n", "keys", F.col("h.key").alias("home"), F.pmod("cid", F.greatest(F.lit(1), F.floor(F.col("h.m") / HOME))).cast("int").alias("salt"))
+    homes = base.staged(homes.join(classes, ["cid", "n"]), "homes")
+    full = class_sets(rows, homes.select("cid", "n", "rep"), size).join(homes.drop("rep"), ["cid", "n"])
+    nodes = base.staged(pack(full, percent), "nodes")
+    at = lambda side: [F.get("n", f"l.link_{side}"), F.get("cid", f"l.link_{side}")]
+    inside = nodes.select("cid", "n", F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select(_class_key(*at("a")).alias("a"), _class_key(*at("b")).alias("b"))
+    inside = base.staged(inside, "links")
+    found = base.staged(connected_components(inside), "components")
+    # per node the components of its points, and which nodes share a fine group
+    spots = nodes.select("node", F.posexplode(F.arrays_zip("cid", "n")).alias("i", "c")).select("node", "i", _class_key(F.col("c.n"), F.col("c.cid")).alias("id"))
+    placed = spots.join(found, "id", "left").select("node", F.struct("i", F.coalesce("component", "id").alias("c")).alias("r"))
+    roots = placed.groupBy("node").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["c"]).alias("root"))
+    roots = base.staged(roots, "roots")
+    only = roots.select("node", F.when(F.size(F.array_distinct("root")) == 1, F.get("root", F.lit(0))).alias("only"))
+    shared = nodes.select("node", "lo", "hi", F.explode("keys").alias("key")).join(only, "node")
+    other = shared.select(*[F.col(c).alias(f"{c}_b") for c in shared.columns])
+    pairs = shared.join(other, (F.col("key") == F.col("key_b")) & (F.col("node") < F.col("node_b")) & (100 * F.col("hi") >= percent * F.col("lo_b"))
+                        & (100 * F.col("hi_b") >= percent * F.col("lo")) & ~F.coalesce(F.col("only") == F.col("only_b"), F.lit(False)))
+    pairs = base.staged(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    cross = base.staged(_cross_links(pairs, nodes, roots, percent).select(_class_key(F.col("na"), F.col("ca")).alias("a"), _class_key(F.col("nb"), F.col("cb")).alias("b")), "cross")
+    if cross.isEmpty():
+        return found
+    return base.staged(connected_components(inside.unionByName(cross)), "components")
 
 
 def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for every row of ``docs``."""
     rows = base.id_text(docs, id_col, text_col)
-    marked = base.staged(points(rows, size, percent), "points")
+    marked = base.staged(directory(rows, size, percent), "directory")
     classes = base.staged(marked.where("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    # keys and points of one row per class (rows of a class that share its smallest id are equal)
-    firsts = (marked.where("n > 0").join(classes, ["cid", "n"], "inner").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-              .select("cid", "n", "rep", "keys", "point"))
-    keys = firsts.select("cid", "n", F.explode("keys").alias("key"))
-    roots = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "cid")).alias("first")).where("m > 1").drop("m")
-    entries = base.staged(keys.join(roots, "key").select("key", "cid", "n", F.col("first.cid").alias("rcid"), F.col("first.n").alias("rn")).distinct(), "entries")
-    table = base.staged(firsts.select("cid", "n", "rep", "point").dropDuplicates(["cid", "n"]), "table")
-    star = (entries.where((F.col("cid") != F.col("rcid")) | (F.col("n") != F.col("rn"))).where(_compatible(F.col("n"), F.col("rn"), percent))
-            .select(F.col("rcid").alias("a"), F.col("rn").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb")).distinct())
-    links = _verified(base.staged(_bounded(star, table, percent), "bounded"), rows, table, size, percent)
-    edge = lambda e: e.select(_nodes_of(F.col("na"), F.col("a")).alias("a"), _nodes_of(F.col("nb"), F.col("b")).alias("b"))
-    found = base.staged(connected_components(edge(links)), "components")
-    # trees with points outside the first point's component
-    root_of = lambda e, n, c, out: (base.salted_join(e.withColumn("id", _nodes_of(F.col(n), F.col(c))), found, ["id"]).withColumn(out, F.coalesce("component", "id"))
-                                    .drop("id", "component"))
-    placed = root_of(root_of(entries, "n", "cid", "root"), "rn", "rcid", "main_root").withColumn("main", F.col("root") == F.col("main_root"))
-    open_keys = placed.where(~F.col("main")).select("key").distinct()
-    left = base.salted_join(placed.join(open_keys, "key", "left_semi"), table.select("cid", "n", "point"), ["cid", "n"], "inner")
-    nodes = base.staged(pack(left.select("key", "cid", "n", "root", "main", "point")), "nodes")
-    more = base.staged(_tree_pairs(nodes, percent), "more")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, rows, table, size, percent))
-        found = base.staged(connected_components(edge(links)), "components")
-    named = classes.withColumn("id", _nodes_of(F.col("n"), F.col("cid"))).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = class_links(rows, marked, classes, size, percent)
+    named = classes.withColumn("id", _class_key(F.col("n"), F.col("cid"))).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = base.salted_join(named.select("cid", "n", "component"), least, ["component"], "inner").select("cid", "n", "component_id", F.col("component").alias("class_id"))
     out = base.salted_join(marked.select("doc_id", "n", "cid"), label, ["cid", "n"], "left")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, line_dedup, license_scan, ngram_join, quality_rules, suffix_dedup, token_counts
+from . import byte_bpe, chat_format, decontaminate, line_dedup, license_scan, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(line_dedup.dedup(_table(spark, sf_dir, "documents")))
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks), ranks)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = _table(spark, sf_dir, "documents"), ["source", "lang"]
+    model = quality_classifier.train(docs, _table(spark, sf_dir, "labels"), fields)
+    return quality_classifier.score(docs, model, fields)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = f"{chat_format.END}{chat_format.START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id bigint, turn bigint, role string, text string")
@@ -57,7 +63,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_ngram_join, op6_decontamination, op7_byte_bpe, op9_chat_format, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_ngram_join, op6_decontamination, op7_byte_bpe, op8_quality_classifier, op9_chat_format, op10_license_scan)}
 
 ORACLE: dict[str, str] = {}
 

@@ -37,7 +37,6 @@ from . import base
 
 LENGTH = 200
 GRAM = 32
-SIDE = 84  # bytes beside the anchor that deal a hot anchor to several shards: half of LENGTH - GRAM
 BUFFER = 1 << 15  # tuples of a queue in memory
 _U = np.uint64
 _PLACE = _U((1 << 21) - 1)
@@ -300,6 +299,7 @@ def _spans(first: np.ndarray, last: np.ndarray) -> list[list[int]]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buffer: int = BUFFER) -> DataFrame:
     """(doc_id, text_digest, start, end): byte spans covered by repeated strings, not yet united."""
     spark = docs.sparkSession
+    side = (length - gram) // 2  # bytes beside the anchor that deal a hot anchor to several shards
 
     def sample(batch: pa.RecordBatch):
         texts = base.byte_strings(batch.column("text"))
@@ -324,8 +324,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buff
             for i in np.flatnonzero(base.in_bitmap(seen.value, name)):
                 body = texts[own[i]][start[i]:start[i] + count[i] + length - 1]
                 place = int(spot[i] - start[i])
-                # offsets up to SIDE share SIDE + GRAM bytes from the anchor on, larger ones share SIDE bytes before it
-                for low, high, shared in ((0, SIDE, body[place:place + length - SIDE]), (SIDE + 1, length, body[max(0, place - SIDE - 1):place])):
+                # windows that start up to `side` bytes before the anchor share what follows it, the others what stands before it
+                for low, high, shared in ((0, side, body[place:place + length - side]), (side + 1, length, body[max(0, place - side - 1):place])):
                     first, last = max(low, place - int(count[i]) + 1), min(high, place)
                     if first <= last:
                         row = (int.from_bytes(hashlib.blake2b(shared, digest_size=8).digest(), "little", signed=True), int(name[i].view(np.int64)), int(reach[i].view(np.int64)),
