@@ -334,10 +334,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buff
                             out[k].append(v)
             yield out
 
-    cut = base.map_arrow(docs.select("text"), bodies, REACH_SCHEMA).join(mixed, "name", "left_semi")
-    # one row per distinct reach; how often it occurs decides before any comparison
+    # one row per distinct reach before anything is dealt by anchor; how often it occurs decides before any comparison
+    cut = base.map_arrow(docs.select("text"), bodies, REACH_SCHEMA)
     rows = cut.groupBy("shard", "name", "reach", "place", "windows", "first", "last").agg(F.count(F.lit(1)).alias("n"), F.first("body").alias("body"))
-    rows = base.staged(rows, "reaches")
+    rows = base.staged(rows.join(mixed, "name", "left_semi"), "reaches")
     often = rows.where("n > 1").selectExpr("name", "reach", "explode(sequence(place - last, place - first)) AS hit")
     several = rows.groupBy("shard", "name").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("shard", "name")
     ordered = (rows.join(several, ["shard", "name"], "left_semi").withColumn("suffix", F.expr("substring(body, place + 1)"))
