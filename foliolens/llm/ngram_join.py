@@ -5,11 +5,11 @@ hashed into groups and a document is the point of its group counts. For two poin
 the overlap of the sets from above; the same bound between the upper corners of two tree nodes covers all their points.
 
 1. Documents of one set are a class; only classes go on.
-2. Directory: the fine groups (hash values) of a class that are rarest by the document counts of 2**18 coarse groups.
+2. Directory: the fine groups (hash values) of a class that are rarest by the document counts of 2**22 coarse groups.
    Two sets with the wanted overlap share one of their first ``n - ceil(t n) + 1`` fine groups under any common order, so
    no link is lost when only classes with a common fine group meet. Common passages come last in the order.
-3. Classes that share a fine group with another are packed into leaf nodes of at most ``NODE`` points: by their most
-   populous fine group, then size and counts. A node holds its points, their sets and its upper corner. Links inside a
+3. Classes that share a fine group with one of a possible size are packed into leaf nodes of at most ``NODE`` points:
+   by the least class they reach over a few shared fine groups, then size and counts. A node holds its points, their sets and its upper corner. Links inside a
    node are found as it is packed; linked classes become components.
 4. Nodes that share a fine group are joined unless all their points are in one component already: corner bound, point
    bound, then whole sets. A node pair reports a spanning forest of its links, so a group of near copies is never
@@ -21,9 +21,11 @@ a shingle are one shingle; rows of one set are one class, so repeated rows agree
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base
@@ -31,7 +33,8 @@ from .components import connected_components
 
 SIZE = 4
 PERCENT = 85
-COARSE_BITS = 18  # coarse groups whose document counts order the fine groups: 2 MB, at any input size
+COARSE_BITS = 22  # coarse groups whose document counts order the fine groups: 16 MB, at any input size
+BLOCKS = 256
 GROUPS = 64  # coordinates of a point
 NODE = 256  # points of a leaf
 NODE_BYTES = 1 << 20  # and bytes of its sets, beyond which no further point comes in
@@ -76,33 +79,41 @@ def _class_ids(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def coarse_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """Documents per coarse group, over all documents; summed by Spark in 256 blocks of fixed length."""
-    slots, block = 1 << COARSE_BITS, 1 << (COARSE_BITS - 8)
+    """Documents per coarse group, over all documents. Tasks add their own counts, Spark deals the blocks and they are summed."""
+    slots, block = 1 << COARSE_BITS, (1 << COARSE_BITS) // BLOCKS
+    schema = "g int, counts binary"
+    arrow = base._arrow_schema(docs.sparkSession, schema)
 
-    def run(batches):
-        total = np.zeros(slots, np.int64)
+    def rows(total: dict[int, np.ndarray]):
+        for g, part in total.items():
+            if part.any():
+                yield pa.RecordBatch.from_pylist([{"g": g, "counts": zlib.compress(part.tobytes(), 1)}], schema=arrow)
+
+    def count(batches):
+        total = np.zeros(slots, np.int32)
         for batch in batches:
             texts = base.byte_strings(batch.column("text"))
             for first, last in base.slices(texts, 4 * base.SLICE):
                 grams, _ = shingle_sets(texts[first:last], size)
-                total += np.bincount((grams >> _U(64 - COARSE_BITS)).astype(np.int64), minlength=slots)
-        for i in range(256):
-            part = total[i * block:(i + 1) * block]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tolist()], pa.list_(pa.int64()))], names=["g", "counts"])
-
-    parts = docs.select("text").mapInArrow(run, "g int, counts array<bigint>")
-    added = parts.select("g", F.posexplode("counts").alias("i", "n")).where(F.col("n") > 0).groupBy("g", "i").agg(F.sum("n").alias("n"))
-    out = np.zeros(slots, np.int64)
-    for row in added.groupBy("g").agg(F.collect_list(F.struct("i", "n")).alias("x")).toLocalIterator():
-        for i, n in row["x"]:
-            out[row["g"] * block + i] = n
+                np.add.at(total, (grams >> _U(64 - COARSE_BITS)).astype(np.int64), 1)
+        yield from rows({g: total[g * block:(g + 1) * block] for g in range(BLOCKS)})
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, counts in zip(batch.column("g").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                total[g] = total.get(g, 0) + np.frombuffer(zlib.decompress(counts), np.int32)
+        yield from rows(total)
+
+    out = np.zeros(slots, np.int32)
+    for row in docs.select("text").mapInArrow(count, schema).repartition("g").mapInArrow(add, schema).toLocalIterator():
+        out[row["g"] * block:(row["g"] + 1) * block] = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
     return out
 
 
 def directory(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, cid, keys): per row its set size, class id and rarest fine groups."""
-    weight = docs.sparkSession.sparkContext.broadcast(coarse_counts(docs, size).astype(np.int32))
+    weight = docs.sparkSession.sparkContext.broadcast(coarse_counts(docs, size))
 
     def run(batch: pa.RecordBatch):
         texts = base.byte_strings(batch.column("text"))
@@ -261,16 +272,46 @@ def _class_key(n: Column, cid: Column) -> Column:
     return F.concat(F.lpad(F.hex(n), 8, "0"), F.lpad(F.hex(cid), 16, "0"))
 
 
+def shared_groups(marked: DataFrame, percent: int) -> DataFrame:
+    """(key, cid, n): classes under each fine group that another class of a possible size shares."""
+    firsts = base.staged(marked.where("n > 0").select("cid", "n", "keys").dropDuplicates(["cid", "n"]), "firsts")
+    several = base.staged(firsts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "several")
+    seen = marked.sparkSession.sparkContext.broadcast(base.bitmap(several, "key", several.count()))
+
+    def run(batch: pa.RecordBatch):
+        column = batch.column("keys")
+        keys = column.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+        hit = base.in_bitmap(seen.value, keys.view(_U))
+        at = pa.array(owner[hit])
+        yield {"key": keys[hit], "cid": batch.column("cid").take(at), "n": batch.column("n").take(at)}
+
+    shared = base.map_arrow(firsts, run, "key bigint, cid bigint, n int").join(several, "key", "left_semi")
+    order = Window.partitionBy("key").orderBy("n", "cid")
+    near = lambda other: F.coalesce(100 * F.least("n", other) >= percent * F.greatest("n", other), F.lit(False))
+    return shared.withColumn("a", F.lag("n").over(order)).withColumn("b", F.lead("n").over(order)).where(near(F.col("a")) | near(F.col("b"))).select("key", "cid", "n")
+
+
+def homes_of(entries: DataFrame, rounds: int = 3) -> DataFrame:
+    """(cid, n, keys, home, salt): where a class is packed; near classes get one home.
+
+    A home is the least class id that is reached over ``rounds`` steps through shared fine groups. It only decides which
+    points lie together; a home of very many classes is packed by several tasks.
+    """
+    label = entries.withColumn("home", F.col("cid"))
+    for _ in range(rounds):
+        by_key = label.groupBy("key").agg(F.min("home").alias("least"))
+        by_class = label.join(by_key, "key").groupBy("cid", "n").agg(F.min("least").alias("home"))
+        label = base.staged(entries.join(by_class, ["cid", "n"]), "homes")
+    classes = label.groupBy("cid", "n", "home").agg(F.collect_list("key").alias("keys"))
+    crowd = classes.groupBy("home").agg(F.count(F.lit(1)).alias("m"))
+    return classes.join(crowd, "home").select("cid", "n", "keys", "home", F.pmod("cid", F.floor(F.col("m") / HOME) + 1).cast("int").alias("salt"))
+
+
 def class_links(rows: DataFrame, marked: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, component) of linked classes; ids as in ``_class_key``."""
-    firsts = marked.where("n > 0").join(classes, ["cid", "n"], "left_semi").dropDuplicates(["cid", "n"])
-    keys = base.staged(firsts.select("cid", "n", F.explode("keys").alias("key")), "keys")
-    open_keys = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    entries = base.staged(keys.join(open_keys, "key"), "entries")
-    homes = entries.groupBy("cid", "n").agg(F.max(F.struct("m", "key")).alias("h"), F.collect_set("key").alias("keys"))
-    # a fine group of very many classes is packed by several tasks
-    homes = homes.select("cid", "n", "keys", F.col("h.key").alias("home"), F.pmod("cid", F.greatest(F.lit(1), F.floor(F.col("h.m") / HOME))).cast("int").alias("salt"))
-    homes = base.staged(homes.join(classes, ["cid", "n"]), "homes")
+    entries = base.staged(shared_groups(marked, percent), "entries")
+    homes = base.staged(homes_of(entries).join(classes, ["cid", "n"]), "homes")
     full = class_sets(rows, homes.select("cid", "n", "rep"), size).join(homes.drop("rep"), ["cid", "n"])
     nodes = base.staged(pack(full, percent), "nodes")
     at = lambda side: [F.get("n", f"l.link_{side}"), F.get("cid", f"l.link_{side}")]
@@ -288,7 +329,8 @@ def class_links(rows: DataFrame, marked: DataFrame, classes: DataFrame, size: in
     pairs = shared.join(other, (F.col("key") == F.col("key_b")) & (F.col("node") < F.col("node_b")) & (100 * F.col("hi") >= percent * F.col("lo_b"))
                         & (100 * F.col("hi_b") >= percent * F.col("lo")) & ~F.coalesce(F.col("only") == F.col("only_b"), F.lit(False)))
     pairs = base.staged(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
-    cross = base.staged(_cross_links(pairs, nodes, roots, percent).select(_class_key(F.col("na"), F.col("ca")).alias("a"), _class_key(F.col("nb"), F.col("cb")).alias("b")), "cross")
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    cross = base.staged(_cross_links(pairs, nodes.join(ids, "node", "left_semi"), roots, percent).select(_class_key(F.col("na"), F.col("ca")).alias("a"), _class_key(F.col("nb"), F.col("cb")).alias("b")), "cross")
     if cross.isEmpty():
         return found
     return base.staged(connected_components(inside.unionByName(cross)), "components")

@@ -149,6 +149,8 @@ def test_ngram_join_chain(spark):
 
 def test_ngram_join_across_small_nodes(spark, monkeypatch):
     monkeypatch.setattr(ngram_join.pack, "__defaults__", (85, 3, 1 << 20))
+    monkeypatch.setattr(ngram_join.homes_of, "__defaults__", (1,))
+    monkeypatch.setattr(ngram_join, "HOME", 5)
     rows = near_copies(random.Random(8))
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(table(spark, rows)).collect()]
     assert ordered(got) == ordered(brute_components(rows))
