@@ -124,18 +124,6 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     return out.select(*kept, *[combine(n, a).alias(n) for n, (a, _) in values.items()])
 
 
-def small_enough(df: DataFrame, limit: int) -> bool:
-    """Whether a table holds at most ``limit`` rows; reads no more than that."""
-    return len(df.select(F.lit(1)).take(limit + 1)) <= limit
-
-
-def lookup(df: DataFrame, table: DataFrame, on: list[str], how: str = "left",
-           limit: int = 100_000) -> DataFrame:
-    """Join a policy table, broadcast only after its size has been checked."""
-    side = F.broadcast(table) if small_enough(table, limit) else table
-    return df.join(side, on, how)
-
-
 def number_rows(df: DataFrame, keys: list[str], order: list[str], band: Column, name: str = "rn") -> DataFrame:
     """``row_number`` per key computed in bands."""
     return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, band)

@@ -263,10 +263,13 @@ def ledger_final(ledger: DataFrame, submitted: DataFrame) -> DataFrame:
 def transitions(events: DataFrame, band: int = 65536) -> DataFrame:
     """Each step must advance exactly one state and carry what that state needs.
 
-    ``events``: ``task_id, seq, state_idx, has_result, has_ledger, has_receipt``.
+    ``events``: ``task_id, seq, state_idx, has_result, has_ledger, has_receipt``. A null or unknown state is a finding,
+    and so is the step after it: nothing may follow a state that is not known.
     """
-    prev = skew.shift(events, ["task_id"], ["seq"], {"before": F.col("state_idx")}, -1, F.floor(F.col("seq") / band))
+    known = F.coalesce(F.col("state_idx").between(0, 3), F.lit(False))
+    prev = skew.shift(events, ["task_id"], ["seq"], {"before": F.when(known, F.col("state_idx")).otherwise(-2)}, -1, F.floor(F.col("seq") / band))
     reason = first_reason(
+        (~known, "unknown_state"),
         (F.col("before").isNull() & (F.col("state_idx") != 0), "first_state"),
         (F.col("state_idx") != F.coalesce(F.col("before"), F.lit(-1)) + 1, "not_one_step"),
         ((F.col("state_idx") == 1) & ~(F.col("has_result") & F.col("has_ledger")), "submission_incomplete"),

@@ -49,7 +49,7 @@ def union_findings(sources: dict[str, DataFrame], covered: DataFrame | None = No
     """
     tagged = [df.withColumn("source", F.lit(name)) for name, df in sources.items()]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    return out if covered is None else skew.lookup(out, covered.select("source", "rule"), ["source", "rule"], "left_anti")
+    return out if covered is None else out.join(covered.select("source", "rule").distinct(), ["source", "rule"], "left_anti")
 
 
 def bucket_severity(findings: DataFrame, review_rules: list[str] | None = None) -> DataFrame:
@@ -107,46 +107,48 @@ def review_key(pages: DataFrame, findings: DataFrame) -> DataFrame:
 REVIEW_KEY = ["artifact_id", "rule", "nx0", "ny0", "nx1", "ny1", "band1", "band2"]
 
 
-def _grouped(keyed: DataFrame, keys: list[str], member: str, examples: int) -> DataFrame:
-    """First member by page then id, counts and the first example ids of each group.
+def _grouped(keyed: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """First member by page then id, counts and page range of each group; keys may be null.
 
-    Keys may be null and are compared null-safe.
+    Counted per page first, so a group over very many pages combines on the map side and no list is built.
     """
-    # all three branches read the same aggregate with the same columns, so its shuffle is done once
-    base = keyed.groupBy(*keys, member, "page").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").alias("n")
-    stats = base.groupBy(*keys).agg(F.min(F.struct("page", member)).alias("first"), F.sum("n").alias("affected_count"), F.max("page").alias("last_page"))
-    pages = base.groupBy(*keys, "page").agg(total).where("n > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("affected_pages"))
-    order = Window.partitionBy(*keys).orderBy(member)
-    few = base.groupBy(*keys, member).agg(total).where("n > 0").select(*keys, member, F.row_number().over(order).alias("rn")).where(
-        F.col("rn") <= examples).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(member)), ",").alias("examples"))
-
-    def named(df: DataFrame, p: str) -> DataFrame:
-        return df.withColumnsRenamed({k: p + k for k in keys})
-
-    same = lambda p: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(p + k)) for k in keys])
-    return stats.join(named(few, "f_"), same("f_")).join(named(pages, "p_"), same("p_")).select(
-        *keys, F.col("first.page").alias("page"), F.col("first." + member).alias(member), "affected_count", "affected_pages", "last_page", "examples")
+    paged = keyed.groupBy(*keys, "page").agg(F.min(member).alias("first"), F.count(F.lit(1)).alias("n"))
+    return paged.groupBy(*keys).agg(F.min(F.struct("page", "first")).alias("f"), F.sum("n").alias("affected_count"), F.count("page").alias("affected_pages"), F.max("page").alias("last_page")).select(
+        *keys, F.col("f.page").alias("page"), F.col("f.first").alias(member), "affected_count", "affected_pages", "last_page")
 
 
 def coalesce_reviews(findings: DataFrame, pages: DataFrame) -> DataFrame:
     """Merge layout reviews that look the same on their pages."""
-    return _grouped(review_key(pages, findings), REVIEW_KEY, "element_id", 8)
+    return _grouped(review_key(pages, findings), REVIEW_KEY, "element_id")
+
+
+def review_members(findings: DataFrame, pages: DataFrame) -> DataFrame:
+    """Every page and element of every merged review: the groups' full membership as a table."""
+    return review_key(pages, findings).select(*REVIEW_KEY, "page", "element_id").distinct()
 
 
 SPACING_KEY = ["artifact_id", "rule", "k1", "k2", "k3", "band1"]
 
 
-def coalesce_spacing(issues: DataFrame) -> DataFrame:
-    """Merge spacing reviews by scope, role pair and half-point gap band; relation rules have keys of their own."""
+def spacing_key(issues: DataFrame) -> DataFrame:
+    """Issues with their grouping key: scope, role pair and half-point gap band; relation rules have keys of their own."""
     association = F.col("rule") == "content_block_vertical_association_unspecified"
     geometry = F.col("rule") == "content_block_geometry_relation_ambiguous"
-    keyed = issues.select(
+    return issues.select(
         "*", F.when(association, F.col("relation_id")).when(geometry, F.col("relation_type")).otherwise(F.col("scope")).alias("k1"),
         F.when(association | geometry, F.col("mode")).otherwise(F.col("upper_role")).alias("k2"),
         F.when(geometry, F.col("reason_code")).when(~association, F.col("lower_role")).alias("k3"),
         F.when(~association & ~geometry, band(F.coalesce("gap", F.lit(0.0)), 0.5)).alias("band1"))
-    return _grouped(keyed, SPACING_KEY, "element_id", 8)
+
+
+def coalesce_spacing(issues: DataFrame) -> DataFrame:
+    """Merge spacing reviews that share their key."""
+    return _grouped(spacing_key(issues), SPACING_KEY, "element_id")
+
+
+def spacing_members(issues: DataFrame) -> DataFrame:
+    """Every page and element of every merged spacing review."""
+    return spacing_key(issues).select(*SPACING_KEY, "page", "element_id").distinct()
 
 
 def nth_position(df: DataFrame, keys: list[str], order: list[str], n: int, name: str = "nth") -> DataFrame:
@@ -159,35 +161,36 @@ def nth_position(df: DataFrame, keys: list[str], order: list[str], n: int, name:
     return top.where(F.col("_rn") == n).select(*keys, F.struct(*order).alias(name))
 
 
+def place_groups(groups: DataFrame, maximum: int, order: list[str]) -> DataFrame:
+    """Each group with its rank and slot: its own rank, or ``maximum`` where it is folded into the overflow row.
+
+    The slots are the mapping from groups to the rows of ``cap_groups``, so a folded group stays known.
+    """
+    w = Window.partitionBy("artifact_id")
+    ranked = groups.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("groups", F.count(F.lit(1)).over(w))
+    folded = (F.col("groups") > maximum) & (F.col("rank") >= maximum)
+    return ranked.withColumn("slot", F.when(folded, F.lit(maximum)).otherwise(F.col("rank"))).withColumn("folded", folded)
+
+
 def cap_groups(groups: DataFrame, maximum: int, order: list[str]) -> DataFrame:
-    """Keep ``maximum - 1`` groups per artifact and fold the rest into one overflow row when there are more."""
-    keys = ["artifact_id"]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    top = groups.select(*keys, *order, F.row_number().over(w).alias("_rn")).where(F.col("_rn") <= maximum + 1)
-    cut = top.groupBy(*keys).agg(F.max(F.when(F.col("_rn") == maximum, F.struct(*order))).alias("cut"), F.max("_rn").alias("_n")).where(
-        F.col("_n") > maximum).drop("_n")
-    placed = groups.join(cut, keys, "left")
-    spilled = F.coalesce(F.struct(*order) >= F.col("cut"), F.lit(False))
-    kept = placed.where(~spilled).select("artifact_id", "rule", "page", "element_id", "affected_count", F.lit(1).cast("long").alias("group_count"))
-    rest = placed.where(spilled).groupBy("artifact_id").agg(
-        F.min(F.struct(F.struct(*order).alias("pos"), "page", "element_id")).alias("f"), F.sum("affected_count").alias("affected_count"),
-        F.count(F.lit(1)).alias("group_count")).select(
-        "artifact_id", F.lit("review_group_overflow").alias("rule"), F.col("f.page").alias("page"), F.col("f.element_id").alias("element_id"),
-        "affected_count", "group_count")
-    return kept.unionByName(rest)
+    """Keep ``maximum - 1`` groups per artifact and fold the rest into one overflow row when there are more.
+
+    The ranked table is read once: folding is an aggregate by slot on the window's own partitioning.
+    """
+    first = F.min(F.struct("rank", "rule", "page", "element_id", "folded"))
+    return place_groups(groups, maximum, order).groupBy("artifact_id", "slot").agg(first.alias("f"), F.sum("affected_count").alias("affected_count"), F.count(F.lit(1)).alias("group_count")).select(
+        "artifact_id", F.when(F.col("f.folded"), F.lit("review_group_overflow")).otherwise(F.col("f.rule")).alias("rule"),
+        F.col("f.page").alias("page"), F.col("f.element_id").alias("element_id"), "affected_count", "group_count")
 
 
 def family_sample(df: DataFrame, cap: int, families: list[str]) -> DataFrame:
-    """One of each family first, then the rest by page, kind and id, up to the cap per artifact."""
+    """One of each family first, then the rest by page, kind and id; every row with its rank and whether it is within the cap."""
     rank = F.coalesce(*[F.when(F.col("family") == f, i) for i, f in enumerate(families)], F.lit(len(families)))
-    ranked = df.select("artifact_id", "family", "page", "kind", "element_id", rank.alias("family_rank"))
-    lead = ranked.groupBy("artifact_id", "family").agg(F.min(F.struct("page", "element_id")).alias("m")).select(
-        "artifact_id", "family", F.col("m.page").alias("page"), F.col("m.element_id").alias("element_id"), F.lit(0).alias("turn"))
-    joined = ranked.join(lead, ["artifact_id", "family", "page", "element_id"], "left").withColumn(
-        "turn", F.coalesce("turn", F.lit(1)))
+    first = F.row_number().over(Window.partitionBy("artifact_id", "family").orderBy("page", "kind", "element_id")) == 1
+    rows = df.select("artifact_id", "family", "page", "kind", "element_id", F.when(first, 0).otherwise(1).alias("turn"), rank.alias("family_rank"))
     order = [F.col("turn"), F.when(F.col("turn") == 0, F.col("family_rank")).otherwise(0), F.col("page"), F.col("kind"), F.col("element_id")]
-    return joined.withColumn("rank", F.row_number().over(Window.partitionBy("artifact_id").orderBy(*order))).where(
-        F.col("rank") <= cap).select("artifact_id", "rank", "family", "page", "kind", "element_id")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("artifact_id").orderBy(*order)))
+    return ranked.select("artifact_id", "rank", "family", "page", "kind", "element_id", (F.col("rank") <= cap).alias("selected"))
 
 
 def dedupe_first(df: DataFrame, order: str, content: list[str]) -> DataFrame:
@@ -263,30 +266,31 @@ def select_candidates(candidates: DataFrame, selected: DataFrame, maximum: int)
         (~F.col("has_bbox"), "no_page_bbox"), default="called").alias("outcome"))
 
 
-def pack_chunks(rows: DataFrame, cap: int = CHUNK_CAP, request_cap: int = REQUEST_CAP) -> DataFrame:
+def pack_chunks(rows: DataFrame, cap: int, request_cap: int) -> DataFrame:
     """Greedy in-order packing of a request's rows into chunks of at most ``cap`` bytes.
 
-    A request is limited to ``request_cap`` bytes, which is checked by a plain
-    sum before its rows are gathered, so the ordered fold sees bounded input.
+    A request is limited to ``request_cap`` bytes, which is checked by a plain sum before its rows are gathered, so the
+    ordered fold sees bounded input. The fold keeps only where chunks start; rows of a refused request all come out
+    with the reason.
     """
-    total = rows.groupBy("request_id").agg(F.sum("size").alias("total"), F.max("size").alias("largest"), F.count(F.lit(1)).alias("n"))
-    good = total.where((F.col("total") <= request_cap) & (F.col("largest") <= cap) & (F.col("n") <= request_cap))
-    refused = total.join(good, "request_id", "left_anti").select(
-        "request_id", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("int").alias("chunk"), F.lit("invalid_request").alias("status"))
-    items = rows.join(good.select("request_id"), "request_id", "left_semi").groupBy("request_id").agg(
+    total = rows.groupBy("request_id").agg(F.sum("size").alias("total"), F.max("size").alias("largest"))
+    judged = total.select("request_id", first_reason((F.col("total") > request_cap, "request_too_large"), (F.col("largest") > cap, "row_too_large"), default="packed").alias("status"))
+    joined = rows.join(judged, "request_id")
+    refused = joined.where("status <> 'packed'").select("request_id", F.col("ord").cast("long").alias("ord"), F.lit(None).cast("int").alias("chunk"), "status")
+    items = joined.where("status = 'packed'").groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), F.col("size").cast("long").alias("size")))).alias("items"))
-    state = "struct<chunk:int,used:bigint,out:array<struct<ord:bigint,chunk:int>>>"
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<ord:bigint,chunk:int>>").alias("out"))
+    state = "struct<used:bigint,starts:array<bigint>>"
+    begin = F.struct(F.lit(None).cast("long").alias("used"), F.array().cast("array<bigint>").alias("starts")).cast(state)
 
     def step(acc: Column, item: Column) -> Column:
-        fits = acc["used"] + item["size"] <= cap
-        chunk = F.when(fits, acc["chunk"]).otherwise(acc["chunk"] + 1)
-        used = F.when(fits, acc["used"] + item["size"]).otherwise(item["size"])
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.concat(
-            acc["out"], F.array(F.struct(item["ord"].alias("ord"), chunk.alias("chunk")))).alias("out")).cast(state)
-
-    packed = items.select("request_id", F.inline(F.aggregate("items", start.cast(state), step)["out"])).withColumn("status", F.lit("packed"))
-    return packed.unionByName(refused)
+        fits = F.coalesce(acc["used"] + item["size"] <= cap, F.lit(False))
+        more = F.struct((acc["used"] + item["size"]).alias("used"), acc["starts"].alias("starts")).cast(state)
+        new = F.struct(item["size"].alias("used"), F.array_append(acc["starts"], item["ord"]).alias("starts")).cast(state)
+        return F.when(fits, more).otherwise(new)
+
+    packed = items.select("request_id", "items", F.aggregate("items", begin, step)["starts"].alias("starts")).select("request_id", "starts", F.explode("items.ord").alias("ord"))
+    chunk = F.size(F.filter("starts", lambda s: s <= F.col("ord"))) - 1
+    return packed.select("request_id", "ord", chunk.cast("int").alias("chunk"), F.lit("packed").alias("status")).unionByName(refused)
 
 
 def chunk_prefix(chunks: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ FONT_GROUPS = [
 ]
 
 
-def region_iou_rank(candidates: DataFrame, regions: DataFrame, lines: DataFrame, top: int = 3,
-                    max_lines: int = 8) -> DataFrame:
-    """Best source regions of each candidate by 2*IoU + coverage, with its first lines."""
+def region_iou_rank(candidates: DataFrame, regions: DataFrame, lines: DataFrame, top: int | None = None,
+                    max_lines: int | None = None) -> DataFrame:
+    """Source regions of each candidate ranked by 2*IoU + coverage, with its lines; cut only where the caller asks."""
     c = prefixed(candidates.select(*PAGE_KEY, "candidate_id", *geo.EDGES), "a_", PAGE_KEY)
     r = prefixed(regions.select(*PAGE_KEY, "region_id", *geo.EDGES), "b_", PAGE_KEY)
     ln = prefixed(lines.select(*PAGE_KEY, "box_id", *geo.EDGES), "b_", PAGE_KEY)
@@ -37,11 +37,14 @@ def region_iou_rank(candidates: DataFrame, regions: DataFrame, lines: DataFrame,
         geo.area("b_").alias("region_area"), coverage.alias("coverage"), iou.alias("iou"),
         py_round(iou * 2.0 + coverage, 6).alias("score"))
     order = Window.partitionBy(*key).orderBy(F.desc("score"), "region_area", "region_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = scored.withColumn("rank", F.row_number().over(order))
+    best = best if top is None else best.where(F.col("rank") <= top)
     by_id = Window.partitionBy(*key).orderBy("box_id")
     near = skew.box_pairs(c, ln, PAGE_KEY, residual=shared > 0).select(
-        *PAGE_KEY, F.col("a_candidate_id").alias("candidate_id"), F.col("b_box_id").alias("box_id")).withColumn(
-        "rn", F.row_number().over(by_id)).where(F.col("rn") <= max_lines).groupBy(*key).agg(
+        *PAGE_KEY, F.col("a_candidate_id").alias("candidate_id"), F.col("b_box_id").alias("box_id"))
+    if max_lines is not None:
+        near = near.withColumn("rn", F.row_number().over(by_id)).where(F.col("rn") <= max_lines)
+    near = near.groupBy(*key).agg(
         F.array_join(F.array_sort(F.collect_list("box_id")), ",").alias("line_ids"))
     return best.join(near, key, "left").select(*key, "rank", "region_id", "score", "iou", "coverage", "line_ids")
 

@@ -258,7 +258,8 @@ def pii_scan(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return df.select(*keys, F.explode_outer(F.flatten(F.array_compact(F.array(*parts)))).alias("h")).where(F.col("h").isNotNull()).select(*keys, "h.field", "h.match")
 
 
-PII = r"(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\+?\d[\d ()-]{7,}\d)"
+# digits of any script, as in full-width phone numbers
+PII = r"(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\+?\p{Nd}[\p{Nd} ()-]{7,}\p{Nd})"
 
 
 def plan_parity(planned: DataFrame, rendered: DataFrame) -> DataFrame:
@@ -279,7 +280,7 @@ def line_widths(lines: DataFrame, metrics: DataFrame, ratio: float = 0.90) -> Da
     if not 0.90 <= ratio <= 0.92:
         raise ValueError("safe width ratio must be between 0.90 and 0.92")
     chars = lines.select("line_id", "font", F.explode_outer(F.split("text", "")).alias("ch")).groupBy("line_id", "font", "ch").agg(F.count(F.lit(1)).alias("n"))
-    measured = skew.lookup(chars, metrics, ["font", "ch"]).groupBy("line_id").agg(
+    measured = chars.join(metrics, ["font", "ch"], "left").groupBy("line_id").agg(
         F.sum(F.col("n") * F.col("advance")).alias("units"), F.count_if(F.col("advance").isNull()).alias("unknown_chars"))
     joined = lines.join(measured, "line_id", "left")
     width = F.coalesce("units", F.lit(0.0)) * F.col("size")

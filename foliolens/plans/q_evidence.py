@@ -250,11 +250,11 @@ STF = "task_id, seq, CAST(state_idx AS INT) AS state_idx, seq % 7 <> 0 AS has_re
 
 
 @query("e17_state_transitions", f"""
-WITH s AS (SELECT {STF} FROM v_states WHERE state_idx IS NOT NULL), p AS (SELECT *, lag(state_idx) OVER (PARTITION BY task_id ORDER BY seq) AS b FROM s)
-SELECT task_id, seq, state_idx, CASE WHEN b IS NULL AND state_idx <> 0 THEN 'first_state' WHEN state_idx <> coalesce(b, -1) + 1 THEN 'not_one_step' WHEN state_idx = 1 AND NOT (has_result AND has_ledger) THEN 'submission_incomplete'
+WITH s AS (SELECT {STF} FROM v_states), p AS (SELECT *, lag(CASE WHEN state_idx BETWEEN 0 AND 3 THEN state_idx ELSE -2 END) OVER (PARTITION BY task_id ORDER BY seq) AS b FROM s)
+SELECT task_id, seq, state_idx, CASE WHEN state_idx IS NULL OR state_idx NOT BETWEEN 0 AND 3 THEN 'unknown_state' WHEN b IS NULL AND state_idx <> 0 THEN 'first_state' WHEN state_idx <> coalesce(b, -1) + 1 THEN 'not_one_step' WHEN state_idx = 1 AND NOT (has_result AND has_ledger) THEN 'submission_incomplete'
   WHEN state_idx > 1 AND NOT has_result THEN 'submitted_artifact_missing' WHEN state_idx = 3 AND NOT has_receipt THEN 'hardening_receipt_missing' WHEN state_idx <> 3 AND has_receipt THEN 'hardening_receipt_premature' ELSE 'valid' END AS outcome FROM p""")
 def e17(spark, d):
-    return ev.transitions(view(spark, d, "v_states").where("state_idx IS NOT NULL").selectExpr(*_split(STF)))
+    return ev.transitions(view(spark, d, "v_states").selectExpr(*_split(STF)))
 
 
 STRAT = ("o_orderkey AS workflow_id, CASE WHEN o_custkey % 3 = 0 THEN 'harness_development' ELSE 'deadline_delivery' END AS mode, CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 'source_first_rebuild' WHEN 1 THEN 'existing_artifact_repair' WHEN 2 THEN 'source_repair' ELSE CASE WHEN o_custkey % 3 = 0 THEN 'source_first_rebuild' ELSE 'source_repair' END END AS strategy, "

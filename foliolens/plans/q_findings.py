@@ -113,7 +113,7 @@ RK = "artifact_id, rule, nx0, ny0, nx1, ny1, band1, band2"
 
 def grouped_sql(keys: str, src: str) -> str:
     return f"""SELECT {keys}, arg_min(page, (page, element_id)) AS page, arg_min(element_id, (page, element_id)) AS element_id, count(*) AS affected_count,
-  count(DISTINCT page) AS affected_pages, max(page) AS last_page, array_to_string(list_sort(list(DISTINCT element_id))[1:8], ',') AS examples FROM {src} GROUP BY {keys}"""
+  count(DISTINCT page) AS affected_pages, max(page) AS last_page FROM {src} GROUP BY {keys}"""
 
 
 @query("f7_coalesce_reviews", f"WITH {KEYED} {grouped_sql(RK, 'k')}")
@@ -121,35 +121,59 @@ def f7(spark, d):
     return fi.coalesce_reviews(view(spark, d, "v_findings"), view(spark, d, "v_pages").selectExpr(*_split(FPAGES)))
 
 
+@query("f7_review_members", f"WITH {KEYED} SELECT DISTINCT {RK}, page, element_id FROM k")
+def f7_members(spark, d):
+    return fi.review_members(view(spark, d, "v_findings"), view(spark, d, "v_pages").selectExpr(*_split(FPAGES)))
+
+
 SPACE = ("CASE WHEN line_index % 6 = 4 THEN 'content_block_spacing_candidate' WHEN line_index % 6 = 5 THEN 'content_block_vertical_association_unspecified' ELSE 'content_block_geometry_relation_ambiguous' END")
 SP_COLS = (f"CAST(floor(artifact_id / 8) AS BIGINT) AS artifact_id, CAST(artifact_id % 8 + 1 AS INT) AS page, box_id AS element_id, {SPACE} AS rule, concat('rel', CAST(curves AS STRING)) AS relation_id, kind AS relation_type, "
            "CASE WHEN bold THEN 'attached' ELSE 'separate' END AS mode, CASE WHEN filled THEN 'r1' ELSE 'r2' END AS reason_code, CASE WHEN filled THEN 'inter_block' ELSE 'intra_block' END AS scope, role AS upper_role, kind AS lower_role, CAST(curves AS DOUBLE) / 4 AS gap")
 
 
-@query("f8_coalesce_spacing", f"""
-WITH s AS (SELECT {SP_COLS} FROM v_boxes),
+SPACED = f"""WITH s AS (SELECT {SP_COLS} FROM v_boxes),
 k AS (SELECT *, rule = 'content_block_vertical_association_unspecified' AS va, rule = 'content_block_geometry_relation_ambiguous' AS ga FROM s),
 m AS (SELECT *, CASE WHEN va THEN relation_id WHEN ga THEN relation_type ELSE scope END AS k1, CASE WHEN va OR ga THEN mode ELSE upper_role END AS k2,
-  CASE WHEN ga THEN reason_code WHEN NOT va THEN lower_role END AS k3, CASE WHEN NOT va AND NOT ga THEN {bandsql('gap', '0.5')} END AS band1 FROM k)
-{grouped_sql('artifact_id, rule, k1, k2, k3, band1', 'm')}""")
+  CASE WHEN ga THEN reason_code WHEN NOT va THEN lower_role END AS k3, CASE WHEN NOT va AND NOT ga THEN {bandsql('gap', '0.5')} END AS band1 FROM k)"""
+
+
+@query("f8_coalesce_spacing", f"{SPACED} {grouped_sql('artifact_id, rule, k1, k2, k3, band1', 'm')}")
 def f8(spark, d):
     return fi.coalesce_spacing(view(spark, d, "v_boxes").selectExpr(*_split(SP_COLS)))
 
 
+@query("f8_spacing_members", f"{SPACED} SELECT DISTINCT artifact_id, rule, k1, k2, k3, band1, page, element_id FROM m")
+def f8_members(spark, d):
+    return fi.spacing_members(view(spark, d, "v_boxes").selectExpr(*_split(SP_COLS)))
+
+
+RANKED = "row_number() OVER (PARTITION BY artifact_id ORDER BY rule, page, element_id, nx0, ny0, nx1, ny1, band1, band2)"
+
+
+@query("f9_overflow_members", f"""
+WITH {KEYED}, g AS ({grouped_sql(RK, 'k')}),
+r AS (SELECT *, {RANKED} AS rn, count(*) OVER (PARTITION BY artifact_id) AS tot FROM g)
+SELECT {RK}, page, element_id, rn AS rank, tot > 6 AND rn >= 6 AS folded, CASE WHEN tot > 6 AND rn >= 6 THEN 6 ELSE rn END AS slot FROM r""")
+def f9_members(spark, d):
+    return fi.place_groups(f7(spark, d), 6, F9_ORDER).select(*fi.REVIEW_KEY, "page", "element_id", "rank", "folded", "slot")
+
+
+F9_ORDER = ["rule", "page", "element_id", "nx0", "ny0", "nx1", "ny1", "band1", "band2"]
+
+
 @query("f9_overflow_group", f"""
 WITH {KEYED}, g AS ({grouped_sql(RK, 'k')}),
-r AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY rule, page, element_id) AS rn, count(*) OVER (PARTITION BY artifact_id) AS tot FROM g)
+r AS (SELECT *, {RANKED} AS rn, count(*) OVER (PARTITION BY artifact_id) AS tot FROM g)
 SELECT artifact_id, rule, page, element_id, affected_count, CAST(1 AS BIGINT) AS group_count FROM r WHERE tot <= 6 OR rn < 6
 UNION ALL SELECT artifact_id, 'review_group_overflow', arg_min(page, rn), arg_min(element_id, rn), sum(affected_count)::BIGINT, count(*) FROM r WHERE tot > 6 AND rn >= 6 GROUP BY artifact_id""")
 def f9(spark, d):
-    return fi.cap_groups(f7(spark, d), 6, ["rule", "page", "element_id"])
+    return fi.cap_groups(f7(spark, d), 6, F9_ORDER)
 
 
 @query("f10_family_sample", """
-WITH l AS (SELECT artifact_id, family, min((page, element_id)) AS m FROM v_findings GROUP BY 1, 2),
-j AS (SELECT f.*, CASE WHEN l.m IS NULL THEN 1 ELSE 0 END AS turn FROM v_findings f LEFT JOIN l ON l.artifact_id = f.artifact_id AND l.family = f.family AND l.m = (f.page, f.element_id)),
+WITH j AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY artifact_id, family ORDER BY page, kind, element_id) = 1 THEN 0 ELSE 1 END AS turn FROM v_findings),
 r AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY turn, CASE WHEN turn = 0 THEN CASE family WHEN 'f2' THEN 0 WHEN 'f0' THEN 1 ELSE 2 END ELSE 0 END, page, kind, element_id) AS rank FROM j)
-SELECT artifact_id, rank, family, page, kind, element_id FROM r WHERE rank <= 10""")
+SELECT artifact_id, rank, family, page, kind, element_id, rank <= 10 AS selected FROM r""")
 def f10(spark, d):
     return fi.family_sample(view(spark, d, "v_findings"), 10, ["f2", "f0", "f1"])
 
@@ -235,7 +259,8 @@ ok AS (SELECT request_id FROM e GROUP BY 1 HAVING sum(size) <= 60000 AND max(siz
 w AS (SELECT e.request_id, e.ord, e.rn, 0 AS chunk, e.size AS used, e.size FROM e JOIN ok USING (request_id) WHERE rn = 1
  UNION ALL SELECT e.request_id, e.ord, e.rn, CASE WHEN w.used + e.size <= 1500 THEN w.chunk ELSE w.chunk + 1 END, CASE WHEN w.used + e.size <= 1500 THEN w.used + e.size ELSE e.size END, e.size
   FROM w JOIN e ON e.request_id = w.request_id AND e.rn = w.rn + 1)
-SELECT request_id, ord, chunk, 'packed' AS status FROM w UNION ALL SELECT DISTINCT request_id, NULL, NULL, 'invalid_request' FROM e WHERE request_id NOT IN (SELECT request_id FROM ok)""")
+SELECT request_id, ord, chunk, 'packed' AS status FROM w
+UNION ALL SELECT request_id, ord, NULL, CASE WHEN sum(size) OVER (PARTITION BY request_id) > 60000 THEN 'request_too_large' ELSE 'row_too_large' END FROM e WHERE request_id NOT IN (SELECT request_id FROM ok)""")
 def f15(spark, d):
     return fi.pack_chunks(load(spark, d, "events").selectExpr(*_split(PACK)), 1500, 60000)
 

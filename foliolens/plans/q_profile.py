@@ -23,8 +23,8 @@ r AS (SELECT *, {pr('iou * 2.0 + coverage', 6)} AS score FROM m),
 k AS (SELECT *, row_number() OVER (PARTITION BY artifact_id, page, candidate_id ORDER BY score DESC, ra, region_id) AS rank FROM r),
 l AS (SELECT artifact_id, page, candidate_id, string_agg(box_id, ',' ORDER BY box_id) AS line_ids FROM (
   SELECT a.artifact_id, a.page, a.candidate_id, b.box_id, row_number() OVER (PARTITION BY a.artifact_id, a.page, a.candidate_id ORDER BY b.box_id) AS rn
-  FROM c a JOIN v_boxes b ON {PAGE} WHERE {OX} > 0 AND {OY} > 0) WHERE rn <= 8 GROUP BY ALL)
-SELECT artifact_id, page, candidate_id, rank, region_id, score, iou, coverage, line_ids FROM k LEFT JOIN l USING (artifact_id, page, candidate_id) WHERE rank <= 3""")
+  FROM c a JOIN v_boxes b ON {PAGE} WHERE {OX} > 0 AND {OY} > 0) GROUP BY ALL)
+SELECT artifact_id, page, candidate_id, rank, region_id, score, iou, coverage, line_ids FROM k LEFT JOIN l USING (artifact_id, page, candidate_id)""")
 def g53(spark, d):
     return pf.region_iou_rank(view(spark, d, "v_cards").selectExpr(*_split(CAND)), view(spark, d, "v_regions"), view(spark, d, "v_boxes"))
 

@@ -394,7 +394,7 @@ def t24(spark, d):
 
 
 @query("t25_pii_scan", r"""
-SELECT doc_id, 'text' AS field, unnest(regexp_extract_all(text, '(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\+?[0-9][0-9 ()-]{7,}[0-9])')) AS match FROM documents""")
+SELECT doc_id, 'text' AS field, unnest(regexp_extract_all(text, '(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\+?\p{Nd}[\p{Nd} ()-]{7,}\p{Nd})')) AS match FROM documents""")
 def t25(spark, d):
     return ot.pii_scan(load(spark, d, "documents").withColumn("path", F.col("source")), ["doc_id"], ["text", "path"])
 

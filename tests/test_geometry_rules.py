@@ -125,9 +125,9 @@ def test_region_contrast_support_and_missing_text(spark):
 
 def test_pack_chunks_refuses_single_over_cap(spark):
     rows = spark.createDataFrame([("a", i, s) for i, s in enumerate([50, 50, 1, 100, 99, 1])] + [("b", 0, 10), ("b", 1, 101)], "request_id string, ord int, size int")
-    got = sorted(((r.request_id, r.ord, r.chunk, r.status) for r in fi.pack_chunks(rows, 100).collect()), key=str)
+    got = sorted(((r.request_id, r.ord, r.chunk, r.status) for r in fi.pack_chunks(rows, 100, 1000).collect()), key=str)
     assert [(o, c) for q, o, c, s in got if q == "a"] == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 3)]
-    assert [s for q, o, c, s in got if q == "b"] == ["invalid_request"]
+    assert [s for q, o, c, s in got if q == "b"] == ["row_too_large", "row_too_large"]
 
 
 def test_leaves_merge_and_conflicts(spark):
