@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +15,39 @@ ALLOWED_TAGS = ["p", "h2", "h3", "h4", "h5", "h6", "figure", "img", "a", "strong
                 "span", "div", "table", "thead", "tbody", "tr", "th", "td", "caption", "code", "pre", "small", "sup", "sub"]
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
 INSIDE = r"(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+"
-RAW = rf"<(?:script|style)\b{INSIDE}>[\s\S]*?</(?:script|style)\s*>"
+# script and style run to their own end tag, or to the end of the page where it is missing
+RAW = rf"<(script|style)\b{INSIDE}>(?:[\s\S]*?</\2\s*>|[\s\S]*\z)"
 TOKEN = rf"(?i)(<!--[\s\S]*?-->|<![^>]*>|<\?[^>]*>|{RAW}|</?[a-z]{INSIDE}>|(?>[^<]+|<(?![a-z/!?]))++|<)"
 ATTRIBUTE = r"([^\s=>/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)"
-TOKEN_TYPE = "struct<kind:string,tag:string,raw:string>"
+TOKEN_TYPE = "struct<kind:string,tag:string,raw:string,body:boolean>"  # body: inside of a script or style
+REFERENCE = r"(&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&)"
+
+
+def decoded(text: Column) -> Column:
+    """Text with its character references replaced: numbers, names of the standard table, and old names without semicolon.
+
+    Code points that stand for no character become U+FFFD; an unknown name stays as it is.
+    """
+    names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+
+    def number(piece: Column) -> Column:
+        hexed = piece.rlike("^&#[xX]")
+        digits = F.regexp_replace(F.regexp_extract(piece, "^&#[xX]?([0-9A-Fa-f]+)", 1), "^0+(?=.)", "")
+        point = F.when(F.length(digits) > 7, F.lit(1 << 24)).otherwise(F.when(hexed, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long"))
+        bad = (point == 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD)).otherwise(point)), 8, "0")), "UTF-32")
+
+    def name(piece: Column) -> Column:
+        word = F.substring(piece, F.lit(2), F.length(piece))
+        ends = F.filter(F.sequence(F.lit(1), F.length(word)), lambda k: F.map_contains_key(names, F.substring(word, F.lit(1), k)))
+        prefix = F.array_max(ends)
+        cut = F.concat(F.try_element_at(names, F.substring(word, F.lit(1), prefix)), F.substring(word, prefix + 1, F.length(word)))
+        return F.coalesce(F.try_element_at(names, word), cut, piece)
+
+    def piece(p: Column) -> Column:
+        return F.when(p.rlike("^&#[xX]?[0-9A-Fa-f]"), number(p)).when(p.rlike("^&[A-Za-z]"), name(p)).otherwise(p)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), 1), piece), "")).otherwise(text)
 
 
 def _kind(raw: Column) -> Column:
@@ -24,33 +56,36 @@ def _kind(raw: Column) -> Column:
 
 
 def _token(raw: Column) -> Column:
-    return F.struct(_kind(raw).alias("kind"), F.lower(F.regexp_extract(raw, r"^</?([A-Za-z][^\s/>]*)", 1)).alias("tag"), raw.alias("raw")).cast(TOKEN_TYPE)
+    return F.struct(_kind(raw).alias("kind"), F.lower(F.regexp_extract(raw, r"^</?([A-Za-z][^\s/>]*)", 1)).alias("tag"), raw.alias("raw"), F.lit(False).alias("body")).cast(TOKEN_TYPE)
 
 
 def tokens_of(html: Column) -> Column:
     """Array of (kind, tag, raw) in page order; script and style bodies are one text token."""
     def expand(raw: Column) -> Column:
-        head, tail = F.regexp_extract(raw, rf"^(<[A-Za-z]{INSIDE}>)", 1), F.regexp_extract(raw, r"(</[A-Za-z]+\s*>)\z", 1)
+        head = F.regexp_extract(raw, rf"^(<[A-Za-z]{INSIDE}>)", 1)
+        tail = F.regexp_extract(raw, r"(?i)^<(script|style)\b[\s\S]*(</\1\s*>)\z", 2)
         body = F.substring(raw, F.length(head) + 1, F.length(raw) - F.length(head) - F.length(tail))
-        three = F.array(_token(head), F.struct(F.lit("text").alias("kind"), F.lit("").alias("tag"), body.alias("raw")).cast(TOKEN_TYPE), _token(tail))
-        is_raw = raw.rlike(r"(?i)^<(?:script|style)\b[\s\S]*</(?:script|style)\s*>\z")
-        return F.when(is_raw, F.filter(three, lambda t: (t["kind"] != "text") | (t["raw"] != ""))).otherwise(F.array(_token(raw)))
+        three = F.array(_token(head), F.struct(F.lit("text").alias("kind"), F.lit("").alias("tag"), body.alias("raw"), F.lit(True).alias("body")).cast(TOKEN_TYPE), _token(tail))
+        is_raw = raw.rlike(rf"(?i)^<(?:script|style)\b{INSIDE}>")
+        return F.when(is_raw, F.filter(three, lambda t: t["raw"] != "")).otherwise(F.array(_token(raw)))
     return F.filter(F.flatten(F.transform(F.regexp_extract_all(html, F.lit(TOKEN), 1), expand)), lambda t: t["kind"] != "pi")
 
 
 def attributes_of(raw: Column) -> Column:
-    """Sorted array of (name, value) of a start tag; a missing value is empty."""
+    """Sorted array of (name, value) of a start tag, references decoded; a missing value is empty."""
     inside = F.regexp_extract(raw, r"^<[A-Za-z][^\s/>]*([\s\S]*?)/?>\z", 1)
     pairs = F.transform(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), 1), lambda a: F.struct(
         F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1)).alias("name"),
-        F.regexp_replace(F.regexp_replace(F.regexp_extract(a, r"=\s*([\s\S]*)\z", 1), "^[\"']", ""), "[\"']\\z", "").alias("value")))
+        decoded(F.regexp_replace(F.regexp_replace(F.regexp_extract(a, r"=\s*([\s\S]*)\z", 1), "^[\"']", ""), "[\"']\\z", "")).alias("value")))
     return F.array_sort(pairs)
 
 
 def html_tokens(pages: DataFrame) -> DataFrame:
+    """Tokens in page order with attributes and, for text tokens, the text with its references decoded."""
     return pages.select("page_id", F.posexplode_outer(tokens_of(F.col("html"))).alias("pos", "t")).select(
         "page_id", "pos", F.col("t.kind").alias("kind"), F.col("t.tag").alias("tag"),
-        F.when(F.col("t.kind").isin("start", "void"), attributes_of(F.col("t.raw"))).alias("attrs"), F.col("t.raw").alias("raw"))
+        F.when(F.col("t.kind").isin("start", "void"), attributes_of(F.col("t.raw"))).alias("attrs"), F.col("t.raw").alias("raw"),
+        F.when(F.col("t.kind") == "text", F.when(F.col("t.body"), F.col("t.raw")).otherwise(decoded(F.col("t.raw")))).alias("text"))
 
 
 def tag_policy(tokens: DataFrame) -> DataFrame:

@@ -471,7 +471,12 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n, k) - 1
  UNION ALL SELECT page_id, n, 2, regexp_extract(raw, '</[A-Za-z]+\s*>$') FROM v_html_raw WHERE regexp_matches(raw, '(?is)^<(script|style)[^>]*>.*</(script|style)\s*>$'))"""
 
 
-@query("h1_html_tokens", "SELECT page_id, pos, kind, tag, raw FROM v_html_tokens")
+DECODED = "replace(replace(replace(replace(raw, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query("h1_html_tokens", f"""
+SELECT page_id, pos, kind, tag, raw, CASE WHEN kind = 'text' THEN CASE WHEN lag(tag) OVER (PARTITION BY page_id ORDER BY pos) IN ('script', 'style') AND lag(kind) OVER (PARTITION BY page_id ORDER BY pos) = 'start' THEN raw
+  ELSE regexp_replace({DECODED}, '&amp$', '&') END END AS text FROM v_html_tokens""")
 def h1(spark, d):
     return ht.html_tokens(load(spark, d, "pages")).drop("attrs")
 
@@ -496,7 +501,9 @@ def h2(spark, d):
     return ht.tag_policy(ht.html_tokens(load(spark, d, "pages")))
 
 
-UNSAFE_HTML = "replace(replace(html, '<div class=', '<div onClick=\"x\" class='), 'href=\"/th', 'href=\" JavaScript:/th')"
+# plain, numeric and named spellings of one script address
+UNSAFE_HTML = ("replace(replace(html, '<div class=', '<div onClick=\"x\" class='), 'href=\"/th', CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'href=\" JavaScript:/th' WHEN 1 THEN 'href=\"java&#115;cript:/th' "
+               "WHEN 2 THEN 'href=\"javascript&colon;/th' ELSE 'href=\"&#x6A;avascript&#x3a/th' END)")
 
 
 @query("h3_attr_policy", f"""
@@ -516,7 +523,7 @@ def h4(spark, d):
     return ht.tag_balance(load(spark, d, "pages"))
 
 
-EDITED = "CASE WHEN page_id % 5 = 0 THEN replace(html, '<nav>', '<nav id=\"n\">') WHEN page_id % 5 = 1 THEN replace(html, '</p>', ' more</p>') ELSE html END"
+EDITED = "CASE WHEN page_id % 5 = 0 THEN replace(html, '<nav>', '<nav id=\"n\">') WHEN page_id % 5 = 1 THEN replace(html, '</p>', ' more</p>') WHEN page_id % 5 = 2 THEN replace(html, 'href=\"/', 'href=\"&#47;') ELSE html END"
 
 
 @query("h5_structural_diff", "SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'removed' ELSE 'changed' END AS change FROM pages WHERE page_id % 11 = 0 OR (page_id % 5 = 0 AND contains(html, '<nav>'))")

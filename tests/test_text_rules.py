@@ -134,6 +134,24 @@ def test_html_fragments(spark):
     assert [(r.page_id, r.now_tag) for r in ht.token_diff(tokens, ht.html_tokens(edited)).collect()] == [(5, "img")]
 
 
+def test_html_references(spark):
+    import html
+    from foliolens.operators.html import decoded
+    texts = ["java&#115;cript:x", "javascript&colon;x", "a=1&amp;b=2", "&#x1F600;&#0;&#xD800;&#99999999;&#", "&notit; &copy &copyx &unknown; & &;", "&NotEqualTilde;", "plain", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", decoded(F.col("t")).alias("d")).collect()
+    assert [r.d for r in sorted(rows)] == [None if t is None else html.unescape(t) for t in texts]
+    pages = spark.createDataFrame([(1, '<a href="java&#115;cript:x()">&lt;x</a>'), (2, '<a href="javascript&colon;x">'), (3, '<p title="a=1&amp;b=2">'), (4, '<p>a</p><script>if (a) "<p>"'),
+                                   (5, '<script>x</style><p></script>&amp;')], "page_id int, html string")
+    tokens = ht.html_tokens(pages)
+    assert {(r.page_id, r.reason) for r in ht.attr_policy(tokens).collect()} == {(1, "javascript_url"), (2, "javascript_url")}
+    plain = pages.withColumn("html", F.replace("html", F.lit("&amp;b"), F.lit("&b")))
+    assert ht.structural_diff(pages, plain).count() == 0
+    kinds = lambda p: [(r.kind, r.tag, r.text) for r in tokens.where(F.col("page_id") == p).orderBy("pos").collect()]
+    assert kinds(4) == [("start", "p", None), ("text", "", "a"), ("end", "p", None), ("start", "script", None), ("text", "", 'if (a) "<p>"')]
+    assert kinds(5) == [("start", "script", None), ("text", "", "x</style><p>"), ("end", "script", None), ("text", "", "&")]
+    assert kinds(1)[1] == ("text", "", "<x")
+
+
 def test_replay(spark):
     edits = "array<struct<before:string,after:string>>"
     df = spark.createDataFrame([(1, "a b", "a c", [("b", "c")]), (2, "a a", "b a", [("a", "b")]), (3, "x", "y", [("x", "z")]), (4, "x", "x", [])],
