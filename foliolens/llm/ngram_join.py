@@ -8,8 +8,9 @@ the overlap of the sets from above; the same bound between the upper corners of
 2. Directory: the fine groups (hash values) of a class that are rarest by the document counts of 2**22 coarse groups.
    Two sets with the wanted overlap share one of their first ``n - ceil(t n) + 1`` fine groups under any common order, so
    no link is lost when only classes with a common fine group meet. Common passages come last in the order.
-3. Classes that share a fine group with one of a possible size are packed into leaf nodes of at most ``NODE`` points:
-   by the least class they reach over a few shared fine groups, then size and counts. A node holds its points, their sets and its upper corner. Links inside a
+3. Under each fine group a point stays only if another one is of a possible size and passes the bound. What is left is
+   packed into leaf nodes of at most ``NODE`` points: by the least class they reach over a few shared fine groups, then
+   size and counts. A node holds its points, their sets and its upper corner. Links inside a
    node are found as it is packed; linked classes become components.
 4. Nodes that share a fine group are joined unless all their points are in one component already: corner bound, point
    bound, then whole sets. A node pair reports a spanning forest of its links, so a group of near copies is never
@@ -111,8 +112,14 @@ def coarse_counts(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _points(grams: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Group counts of each set."""
+    cell = np.repeat(np.arange(len(n)), n) * GROUPS + (grams & _U(GROUPS - 1)).astype(np.int64)
+    return [p.tobytes() for p in np.bincount(cell, minlength=len(n) * GROUPS).astype("<u4").reshape(-1, GROUPS)]
+
+
 def directory(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, cid, keys): per row its set size, class id and rarest fine groups."""
+    """(doc_id, n, cid, keys, point): per row its set size, class id, rarest fine groups and group counts."""
     weight = docs.sparkSession.sparkContext.broadcast(coarse_counts(docs, size))
 
     def run(batch: pa.RecordBatch):
@@ -125,9 +132,10 @@ def directory(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Data
             take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
             rank = np.arange(len(grams)) - (np.cumsum(n) - n)[owner]
             keys = grams[order][rank < take[owner]].view(np.int64)
-            yield {"doc_id": batch.column("doc_id").slice(first, last - first), "n": n, "cid": _class_ids(grams, n), "keys": base.lists(keys, take, pa.int64())}
+            yield {"doc_id": batch.column("doc_id").slice(first, last - first), "n": n, "cid": _class_ids(grams, n), "keys": base.lists(keys, take, pa.int64()),
+                   "point": _points(grams, n)}
 
-    return base.map_arrow(docs, run, "doc_id bigint, n int, cid bigint, keys array<bigint>")
+    return base.map_arrow(docs, run, "doc_id bigint, n int, cid bigint, keys array<bigint>, point binary")
 
 
 def _needed(na, nb, percent: int):
@@ -145,10 +153,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         texts = base.byte_strings(batch.column("text").filter(pa.array(hit)))
         for first, last in base.slices(texts):
             grams, n = shingle_sets(texts[first:last], size)
-            cell = np.repeat(np.arange(last - first), n) * GROUPS + (grams & _U(GROUPS - 1)).astype(np.int64)
-            point = np.bincount(cell, minlength=(last - first) * GROUPS).astype("<u4").reshape(-1, GROUPS)
             ends = np.cumsum(n)
-            yield {"cid": _class_ids(grams, n), "n": n, "grams": [grams[e - k:e].tobytes() for e, k in zip(ends, n, strict=True)], "point": [p.tobytes() for p in point]}
+            yield {"cid": _class_ids(grams, n), "n": n, "grams": [grams[e - k:e].tobytes() for e, k in zip(ends, n, strict=True)], "point": _points(grams, n)}
 
     rows = base.map_arrow(docs.select("text", F.xxhash64("doc_id").alias("slot")), run, "cid bigint, n int, grams binary, point binary")
     # one row per class: rows of a class are equal
@@ -273,9 +279,9 @@ def _class_key(n: Column, cid: Column) -> Column:
 
 
 def shared_groups(marked: DataFrame, percent: int) -> DataFrame:
-    """(key, cid, n): classes under each fine group that another class of a possible size shares."""
-    firsts = base.staged(marked.where("n > 0").select("cid", "n", "keys").dropDuplicates(["cid", "n"]), "firsts")
-    several = base.staged(firsts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "several")
+    """(key, cid, n): classes under each fine group that may be linked to another class there."""
+    firsts = base.staged(marked.where("n > 0").select("cid", "n", "keys", "point").dropDuplicates(["cid", "n"]), "firsts")
+    several = base.staged(firsts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
     seen = marked.sparkSession.sparkContext.broadcast(base.bitmap(several, "key", several.count()))
 
     def run(batch: pa.RecordBatch):
@@ -286,10 +292,49 @@ def shared_groups(marked: DataFrame, percent: int) -> DataFrame:
         at = pa.array(owner[hit])
         yield {"key": keys[hit], "cid": batch.column("cid").take(at), "n": batch.column("n").take(at)}
 
-    shared = base.map_arrow(firsts, run, "key bigint, cid bigint, n int").join(several, "key", "left_semi")
+    shared = base.map_arrow(firsts, run, "key bigint, cid bigint, n int").join(several, "key")
     order = Window.partitionBy("key").orderBy("n", "cid")
     near = lambda other: F.coalesce(100 * F.least("n", other) >= percent * F.greatest("n", other), F.lit(False))
-    return shared.withColumn("a", F.lag("n").over(order)).withColumn("b", F.lead("n").over(order)).where(near(F.col("a")) | near(F.col("b"))).select("key", "cid", "n")
+    shared = shared.withColumn("a", F.lag("n").over(order)).withColumn("b", F.lead("n").over(order)).where(near(F.col("a")) | near(F.col("b"))).drop("a", "b")
+    sized = base.staged(shared, "sized")
+    # the point bound only saves work: a very common fine group is left to the nodes
+    small = bound(sized.where(F.col("m") <= HOME).join(firsts.select("cid", "n", "point"), ["cid", "n"]), percent)
+    return small.unionByName(sized.where(F.col("m") > HOME).select("key", "cid", "n"))
+
+
+def bound(entries: DataFrame, percent: int) -> DataFrame:
+    """(key, cid, n) of entries (key, cid, n, point) that pass the bound with another entry of their key."""
+    arrow = base._arrow_schema(entries.sparkSession, "key bigint, cid bigint, n int")
+    ordered = entries.select("key", "cid", "n", "point").repartition("key").sortWithinPartitions("key", "n", "cid")
+
+    def judge(key, cid, n, points):
+        p, size, stays = np.frombuffer(b"".join(points), "<u4").reshape(-1, GROUPS), np.array(n, np.int64), np.zeros(len(n), bool)
+        for i in range(len(n)):  # in order of size; a pair is seen from its smaller point
+            far = int(np.searchsorted(size, 100 * size[i] // percent, "right"))
+            ok = np.minimum(p[i], p[i + 1:far]).sum(axis=1, dtype=np.int64) >= _needed(size[i], size[i + 1:far], percent)
+            stays[i] |= ok.any()
+            stays[i + 1:far] |= ok
+        return [(key, c, k) for c, k, s in zip(cid, n, stays, strict=True) if s]
+
+    def run(batches):
+        now, held, out = None, ([], [], []), []
+        for batch in batches:
+            for key, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "cid", "n", "point")], strict=True):
+                if key != now and held[0]:
+                    out += judge(now, *held)
+                    held = ([], [], [])
+                now = key
+                for column, value in zip(held, row, strict=True):
+                    column.append(value)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                out = []
+        if held[0]:
+            out += judge(now, *held)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return ordered.mapInArrow(run, "key bigint, cid bigint, n int")
 
 
 def homes_of(entries: DataFrame, rounds: int = 3) -> DataFrame:
