@@ -24,12 +24,16 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 # ---------------------------------------------------------------- tables
 
+_OWN_FOLDER: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="foliolens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="foliolens-"))
+        folder = _OWN_FOLDER[0]
     return folder.rstrip("/")
 
 

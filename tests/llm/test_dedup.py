@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliolens.llm import components, line_dedup, ngram_join, suffix_dedup
 
@@ -242,13 +243,17 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_simhash_is_the_majority_of_word_bits(spark):
-    rows = spark.createDataFrame([("a", "x y. 'z'"), ("b", "x x x7 y"), ("c", "one"), ("d", " ".join(["x"] * 70000)), ("e", " ".join(["x"] * 32767))], "key string, norm string")
+    rows = spark.createDataFrame([("a", "x y. 'z'"), ("b", "x x x7 y"), ("c", "one"), ("d", " ".join(["x"] * 70000)), ("e", " ".join(["x"] * 16383))], "key string, norm string")
     got = {r["key"]: (r["s0"], r["s1"]) for r in line_dedup.simhashes(rows).collect()}
     hashes = {w: [spark.sql(f"SELECT xxhash64('{w}', {s}) AS h").first()["h"] % 2**64 for s in (1, 2)] for w in ("x", "y", "z", "one")}
     for key, ws in (("a", "xyz"), ("b", "xxy")):  # x and x7 are two words with one feature
         for half in range(2):
             want = sum(1 << b for b in range(64) if 2 * sum(hashes[w][half] >> b & 1 for w in ws) > len(ws))
             assert got[key][half] % 2**64 == want
+    many = [f"q{i}" for i in range(16383)]
+    row = line_dedup.simhashes(spark.createDataFrame([("m", " ".join(many))], "key string, norm string")).first()
+    trimmed = spark.createDataFrame([(w,) for w in many], "w string").select(F.btrim("w", F.lit(line_dedup.TRIMMED)).alias("w")).select(F.xxhash64("w", F.lit(1)).alias("h")).collect()
+    assert row["s0"] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(r["h"] >> b & 1 for r in trimmed) > len(many))
     assert [v % 2**64 for v in got["c"]] == hashes["one"]
     assert [v % 2**64 for v in got["e"]] == hashes["x"] and "d" not in got  # too many words for the counters: matched exactly only
 
@@ -266,7 +271,6 @@ def test_line_dedup_strip(spark):
 
 
 def test_edit_distance_of_long_lines_is_summed_over_pieces(spark):
-    from pyspark.sql import functions as F
     a = "a" * 5000
     b = "a" * 4990 + "b" * 10
     row = spark.createDataFrame([(a, b)], "a string, b string").select(line_dedup.edit_distance(F.col("a"), F.col("b"), F.lit(1000)).alias("d")).first()
