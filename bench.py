@@ -2,7 +2,7 @@
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_ALL=1 to time every registered query. Each query runs once to warm up
-and then once for the time; the result is counted, not collected.
+and then once for the time; every output row is computed and thrown away.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from foliolens.session import build_session  # noqa: E402
 
 HEADLINE = ["g3_overlap_pairs", "g10_assign_region", "g21_vertical_occupancy", "g24_line_spacing_projection", "g55_artifact_profile",
             "f5_overlap_report", "f7_coalesce_reviews", "f9_overflow_group", "c8_region_contrast", "t12_rewrite_report", "t14_classify_boundary",
-            "h1_html_tokens", "e4_drift", "e16_ledger_chain", "m5_path_conflicts", "m6_merge_leaves"]
+            "h1_html_tokens", "e4_drift", "e16_ledger_chain", "m5_path_conflicts", "m6_merge_leaves",
+            "g27_artifact_minima", "g16_coalesce_baselines", "g47_perimeter_contact", "c12_visible_ink", "m1_to_leaves", "t17_explicit_break_lint", "g31_ancestor_pairs", "r2_retry_guard_stream"]
 
 
 def main() -> None:

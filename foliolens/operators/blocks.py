@@ -63,10 +63,11 @@ def largest_gap(policy: dict) -> float:
 def closure(blocks: DataFrame) -> DataFrame:
     """(block, ancestor) pairs of the parent forest, of any depth and cycle safe.
 
-    Path doubling: every round joins the paths found so far with themselves,
-    so a chain of a million needs twenty rounds; it ends when a round adds
-    nothing. Rounds are checkpointed, which keeps the plan short and survives
-    lost executors.
+    Path doubling: every round extends only the pairs of the last round by all
+    pairs known so far, so a chain of a thousand needs ten rounds and no pair is
+    derived from older ones again; it ends when a round adds nothing. The result
+    has a row per block and ancestor. Rounds are checkpointed, which keeps the
+    plan short and survives lost executors.
     """
     context = blocks.sparkSession.sparkContext
     if not context.getCheckpointDir():
@@ -74,12 +75,12 @@ def closure(blocks: DataFrame) -> DataFrame:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     reached = blocks.where(F.col("parent_id").isNotNull()).select(
         F.col("block_id").alias("node"), F.col("parent_id").alias("ancestor")).distinct().checkpoint()
-    known, before = reached.count(), -1
-    while known != before:
+    fresh = reached
+    while not fresh.isEmpty():
         step = reached.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
-        longer = reached.join(step, "ancestor").select("node", F.col("further").alias("ancestor"))
-        reached = reached.unionByName(longer).distinct().checkpoint()
-        known, before = reached.count(), known
+        longer = fresh.join(step, "ancestor").select("node", F.col("further").alias("ancestor")).distinct()
+        fresh = longer.join(reached, ["node", "ancestor"], "left_anti").checkpoint()
+        reached = reached.unionByName(fresh).checkpoint()
     return reached
 
 

@@ -16,22 +16,32 @@ def _is_open(v: Column) -> Column:
     return (F.startswith(text, F.lit("{")) | F.startswith(text, F.lit("["))) & ~text.isin("{}", "[]")
 
 
+def json_depth(text: Column) -> Column:
+    """How deep the containers of a JSON text nest, strings aside."""
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
+    state = "struct<now:int,most:int>"
+    begin = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")).cast(state)
+
+    def step(acc: Column, c: Column) -> Column:
+        now = F.when(c.isin("{", "["), acc["now"] + 1).otherwise(acc["now"] - 1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most")).cast(state)
+
+    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), begin, step)["most"]
+
+
 def to_leaves(df: DataFrame, json_column: str, levels: int | None = None) -> DataFrame:
     """JSON text to (pointer, value) leaves; empty objects and arrays are leaves, ``~`` and ``/`` are escaped.
 
     Every level opens the containers that are left, in one narrow pass. When
-    ``levels`` is not given, levels are added until no container remains.
+    ``levels`` is not given, it is the deepest nesting of any text, from one aggregate.
     ``kinds`` records the container kind of each step (O object, A array).
     """
     spark = df.sparkSession
     keep = [c for c in df.columns if c != json_column]
     work = df.select(*keep, F.lit("").alias("pointer"), F.lit("").alias("kinds"), F.parse_json(json_column).alias("v"))
-    done = 0
-    while True:
-        if levels is not None and done >= levels:
-            break
-        if levels is None and not work.where(_is_open(F.col("v"))).take(1):
-            break
+    if levels is None:
+        levels = df.agg(F.max(json_depth(F.col(json_column))).alias("d")).first()["d"] or 0
+    for _ in range(levels):
         marked = work.withColumn("_open", F.when(_is_open(F.col("v")), F.col("v"))).withColumn(
             "_kind", F.when(F.col("_open").isNotNull(), F.when(F.startswith(F.to_json("v"), F.lit("{")), "O").otherwise("A")))
         opened = spark.sql("SELECT d.*, t.pos AS _pos, t.key AS _key, t.value AS _value FROM {d} d, "
@@ -42,7 +52,6 @@ def to_leaves(df: DataFrame, json_column: str, levels: int | None = None) -> Dat
         work = opened.select(*keep, F.when(inner, F.concat("pointer", F.lit("/"), step)).otherwise(F.col("pointer")).alias("pointer"),
                              F.when(inner, F.concat("kinds", "_kind")).otherwise(F.col("kinds")).alias("kinds"),
                              F.when(inner, F.col("_value")).otherwise(F.col("v")).alias("v"))
-        done += 1
     return work.select(*keep, "pointer", "kinds", F.to_json("v").alias("value"))
 
 

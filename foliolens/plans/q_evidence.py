@@ -377,7 +377,7 @@ def _tree(extra: str) -> str:
 SELECT event_id AS doc_id, '/a/k' AS pointer, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, '/b/0', CAST(event_id % 5 AS VARCHAR) FROM events
 UNION ALL SELECT event_id, '/b/1/c~0x', concat('"', event_type, '"') FROM events UNION ALL SELECT event_id, '/b/2', '[]' FROM events UNION ALL SELECT event_id, '/d~1e', 'null' FROM events UNION ALL SELECT event_id, '/f', '{}' FROM events""")
 def m1(spark, d):
-    return mg.to_leaves(load(spark, d, "events").selectExpr("event_id AS doc_id", f"{_tree('')} AS body"), "body", 3).select("doc_id", "pointer", "value")
+    return mg.to_leaves(load(spark, d, "events").selectExpr("event_id AS doc_id", f"{_tree('')} AS body"), "body").select("doc_id", "pointer", "value")
 
 
 def _role(spark, d, role: int):
@@ -412,8 +412,8 @@ def m3(spark, d):
         items = f"IF(event_id % {n} = 0, '', array_join(transform(sequence(1, CAST(event_id % {n} AS INT)), x -> concat('{{\"v\": ', x, '}}')), ','))"
         return f"concat('{{\"a\": {{\"b\": [1, 2]}}, \"g\": [', {items}, ']}}') AS body"
 
-    base = mg.to_leaves(events.selectExpr("event_id AS doc_id", tree(3)), "body", 3)
-    return mg.shape_changes(base, mg.to_leaves(events.selectExpr("event_id AS doc_id", tree(4)), "body", 3))
+    base = mg.to_leaves(events.selectExpr("event_id AS doc_id", tree(3)), "body")
+    return mg.shape_changes(base, mg.to_leaves(events.selectExpr("event_id AS doc_id", tree(4)), "body"))
 
 
 @query("m4_scope_check", f"SELECT doc_id, role, pointer, change FROM {DIFF} WHERE NOT (pointer LIKE '/view/%' OR regexp_matches(pointer, '^/click/[0-4]/k.$'))")
