@@ -29,6 +29,10 @@ STATES = ["repair_in_progress", "submitted", "hardening_ready", "hardened"]
 ISSUE_FAMILIES = ["boundary", "containment", "relation", "spacing", "alignment", "safe-wrap", "coverage", "identity"]
 STRATEGIES = {"harness_development": ["source_first_rebuild"], "deadline_delivery": ["existing_artifact_repair", "source_repair"]}
 HASH = "^[0-9a-f]{64}$"
+# fixed values: schema versions, the bounded repair adapter and its operations
+LEDGER_SCHEMA, CANDIDATE_SCHEMA = "docs-delivery-candidate-ledger-1", "docs-delivery-candidate-1"
+REPAIR_ADAPTER = "docs-local-repair-adapter-1"
+REPAIR_OPERATIONS = ["geometry_adjustment", "spacing_adjustment", "alignment_adjustment", "wrap_adjustment", "coverage_adjustment", "identity_rebind"]
 
 
 def _no(c: Column) -> Column:
@@ -245,13 +249,52 @@ def ledger_check(ledger: DataFrame, header: str = "0" * 64, band: int = 65536) -
     return linked.join(first, ["workflow_id", "entry_id"]).select("workflow_id", "seq", F.explode(found).alias("reason"))
 
 
-def ledger_entry_rules(entries: DataFrame) -> DataFrame:
-    """Row rules of ledger entries: issue family, anonymised targets, hashes and repair operation."""
+def header_digest() -> Column:
+    return F.sha2(F.concat_ws("~", F.col("workflow_id").cast("string"), F.col("task_id").cast("string"), "mode", "strategy", "source_sha256"), 256)
+
+
+def ledger_headers(headers: DataFrame, workflows: DataFrame) -> DataFrame:
+    """Header rows against the workflow they claim: schema, identity, source and their own hash.
+
+    ``headers``: ``workflow_id, schema_version, task_id, mode, strategy, source_sha256, header_hash``.
+    ``workflows``: ``workflow_id, task_id, mode, strategy, source_sha256``. A workflow without a header is a finding too.
+    """
+    names = ["task_id", "mode", "strategy", "source_sha256"]
+    own = workflows.select("workflow_id", *[F.col(n).alias("w_" + n) for n in names])
+    both = own.join(headers.withColumn("given", F.lit(True)), "workflow_id", "left")
+    same = F.col("task_id").eqNullSafe(F.col("w_task_id")) & F.col("mode").eqNullSafe(F.col("w_mode")) & F.col("strategy").eqNullSafe(F.col("w_strategy"))
+    complete = F.col("task_id").isNotNull() & F.col("mode").isNotNull() & F.col("strategy").isNotNull() & F.col("source_sha256").isNotNull()
+    found = F.when(F.col("given").isNull(), F.array(F.lit("ledger_missing"))).otherwise(reasons(
+        (_no((F.col("schema_version") == LEDGER_SCHEMA) & complete), "header_schema_mismatch"), (~same, "header_identity_mismatch"),
+        (~F.col("source_sha256").eqNullSafe(F.col("w_source_sha256")), "header_source_drift"), (_no(F.col("header_hash") == header_digest()), "header_tampered")))
+    return both.select("workflow_id", F.explode(found).alias("reason"))
+
+
+def _geometry_ok(box: Column) -> Column:
+    finite = F.forall(box, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return (F.size(box) == 4) & finite & (F.get(box, F.lit(2)) >= F.get(box, F.lit(0))) & (F.get(box, F.lit(3)) >= F.get(box, F.lit(1)))
+
+
+def ledger_entry_rules(entries: DataFrame, workflows: DataFrame) -> DataFrame:
+    """Row rules of ledger entries, each with its own reason.
+
+    ``entries``: ``workflow_id, seq, schema_version, task_id, source_sha256, issue_family, target_ids, before_sha256,
+    after_sha256, before_box, after_box`` (arrays of four numbers), ``adapter_id, operation, producer_mutation,
+    genericization_candidate`` (text, as read), ``candidate_id`` and ``core_digest`` (what the id must be).
+    ``workflows``: ``workflow_id, task_id, source_sha256``.
+    """
+    own = workflows.select("workflow_id", F.col("task_id").alias("w_task_id"), F.col("source_sha256").alias("w_source"))
     targets = F.col("target_ids")
     sorted_ok = (F.size(targets) > 0) & (targets == F.array_sort(F.array_distinct(targets))) & F.forall(targets, lambda t: t.rlike(HASH))
-    return entries.select("workflow_id", "seq", F.explode(reasons(
+    repair_ok = (F.col("adapter_id") == REPAIR_ADAPTER) & F.col("operation").isin(REPAIR_OPERATIONS) & ~F.col("producer_mutation")
+    return entries.join(own, "workflow_id", "left").select("workflow_id", "seq", F.explode(reasons(
+        (_no(F.col("schema_version") == CANDIDATE_SCHEMA), "schema_mismatch"),
+        (_no(F.col("task_id") == F.col("w_task_id")), "cross_task_identity"), (_no(F.col("source_sha256") == F.col("w_source")), "source_drift"),
         (_no(F.col("issue_family").isin(ISSUE_FAMILIES)), "issue_family_unknown"), (_no(sorted_ok), "targets_not_anonymised"),
-        (_no(F.col("before_sha256").rlike(HASH) & F.col("after_sha256").rlike(HASH)), "artifact_hash_invalid"))).alias("reason"))
+        (_no(F.col("before_sha256").rlike(HASH) & F.col("after_sha256").rlike(HASH)), "artifact_hash_invalid"),
+        (_no(_geometry_ok(F.col("before_box")) & _geometry_ok(F.col("after_box"))), "geometry_invalid"), (_no(repair_ok), "repair_invalid"),
+        (_no(F.col("genericization_candidate").isin("true", "false")), "genericization_flag_invalid"),
+        (_no(F.col("candidate_id") == F.col("core_digest")), "candidate_identity_mismatch"))).alias("reason"))
 
 
 def ledger_final(ledger: DataFrame, submitted: DataFrame) -> DataFrame:

@@ -223,17 +223,49 @@ def e16(spark, d):
     return ev.ledger_check(view(spark, d, "v_ledger"))
 
 
-LE = ("user_id AS workflow_id, event_id AS seq, CASE WHEN event_type = 'error' THEN 'other' ELSE 'safe-wrap' END AS issue_family, CASE WHEN event_id % 19 = 0 THEN 'short' ELSE sha2(props, 256) END AS before_sha256, sha2(event_type, 256) AS after_sha256")
+WORKFLOWS = "SELECT DISTINCT user_id AS workflow_id, concat('t_', CAST(user_id AS STRING)) AS task_id, 'deadline_delivery' AS mode, 'source_repair' AS strategy, sha2(CAST(user_id AS STRING), 256) AS source_sha256 FROM {0}"
+
+
+def _workflows(spark, d):
+    return spark.sql(WORKFLOWS.format("{e}"), e=load(spark, d, "events"))
+
+
+@query("e16_ledger_headers", """
+WITH w AS (SELECT DISTINCT user_id AS u FROM events)
+SELECT u AS workflow_id, r AS reason FROM (SELECT u, unnest(CASE CAST(u % 7 AS INT) WHEN 0 THEN ['ledger_missing'] WHEN 1 THEN ['header_schema_mismatch'] WHEN 2 THEN ['header_identity_mismatch', 'header_tampered']
+  WHEN 3 THEN ['header_source_drift', 'header_tampered'] WHEN 4 THEN ['header_tampered'] WHEN 5 THEN ['header_schema_mismatch', 'header_identity_mismatch', 'header_tampered'] ELSE [] END) AS r FROM w)""")
+def e16_headers(spark, d):
+    """One kind of damage for each remainder of the workflow's number."""
+    w = _workflows(spark, d)
+    good = w.withColumn("header_hash", ev.header_digest()).withColumn("schema_version", F.lit(ev.LEDGER_SCHEMA))
+    k = F.col("workflow_id") % 7
+    headers = good.where(k != 0).select(
+        "workflow_id", F.when(k != 1, F.col("schema_version")).alias("schema_version"), F.when(k == 2, "t_other").otherwise(F.col("task_id")).alias("task_id"),
+        F.when(k != 5, F.col("mode")).alias("mode"), "strategy", F.when(k == 3, F.sha2(F.lit("moved"), 256)).otherwise(F.col("source_sha256")).alias("source_sha256"),
+        F.when(k == 4, F.lit("0" * 64)).otherwise(F.col("header_hash")).alias("header_hash"))
+    return ev.ledger_headers(headers, w)
 
 
 @query("e16_ledger_entry_rules", """
 SELECT user_id AS workflow_id, event_id AS seq, 'issue_family_unknown' AS reason FROM events WHERE event_type = 'error'
 UNION ALL SELECT user_id, event_id, 'targets_not_anonymised' FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0 OR (event_id % 5 = 0 AND sha256(props) >= sha256(event_type))
-UNION ALL SELECT user_id, event_id, 'artifact_hash_invalid' FROM events WHERE event_id % 19 = 0""")
+UNION ALL SELECT user_id, event_id, 'artifact_hash_invalid' FROM events WHERE event_id % 19 = 0
+UNION ALL SELECT user_id, event_id, 'schema_mismatch' FROM events WHERE event_id % 31 = 0 UNION ALL SELECT user_id, event_id, 'cross_task_identity' FROM events WHERE event_id % 31 = 1
+UNION ALL SELECT user_id, event_id, 'source_drift' FROM events WHERE event_id % 31 = 2 UNION ALL SELECT user_id, event_id, 'geometry_invalid' FROM events WHERE event_id % 31 IN (3, 4, 5)
+UNION ALL SELECT user_id, event_id, 'repair_invalid' FROM events WHERE event_id % 31 IN (6, 7, 8) UNION ALL SELECT user_id, event_id, 'genericization_flag_invalid' FROM events WHERE event_id % 31 IN (9, 10)
+UNION ALL SELECT user_id, event_id, 'candidate_identity_mismatch' FROM events WHERE event_id % 31 = 11""")
 def e16_rules(spark, d):
-    targets = ("CASE WHEN event_id % 7 = 0 THEN filter(array(''), x -> false) WHEN event_id % 11 = 0 THEN array('name') WHEN event_id % 5 = 0 THEN array(sha2(props, 256), sha2(event_type, 256)) "
-               "ELSE array(sha2(props, 256)) END AS target_ids")
-    return ev.ledger_entry_rules(load(spark, d, "events").selectExpr(*_split(LE), targets))
+    """One kind of damage for each remainder of the event's number."""
+    k = "CAST(event_id % 31 AS INT)"
+    rows = load(spark, d, "events").selectExpr(
+        "user_id AS workflow_id", "event_id AS seq", f"IF({k} = 0, NULL, '{ev.CANDIDATE_SCHEMA}') AS schema_version", f"IF({k} = 1, 't_x', concat('t_', CAST(user_id AS STRING))) AS task_id",
+        f"IF({k} = 2, sha2('moved', 256), sha2(CAST(user_id AS STRING), 256)) AS source_sha256", "IF(event_type = 'error', 'other', 'safe-wrap') AS issue_family",
+        "CASE WHEN event_id % 7 = 0 THEN filter(array(''), x -> false) WHEN event_id % 11 = 0 THEN array('name') WHEN event_id % 5 = 0 THEN array(sha2(props, 256), sha2(event_type, 256)) ELSE array(sha2(props, 256)) END AS target_ids",
+        "IF(event_id % 19 = 0, 'short', sha2(props, 256)) AS before_sha256", "sha2(event_type, 256) AS after_sha256",
+        f"CASE {k} WHEN 3 THEN array(1D, 2D, 0D, 4D) WHEN 4 THEN array(1D, 2D, 3D) ELSE array(1D, 2D, 3D, 4D) END AS before_box", f"IF({k} = 5, array(1D, 2D, double('nan'), 4D), array(1D, 1D, 1D, 1D)) AS after_box",
+        f"IF({k} = 6, 'other', '{ev.REPAIR_ADAPTER}') AS adapter_id", f"IF({k} = 7, 'rewrite', 'wrap_adjustment') AS operation", f"{k} = 8 AS producer_mutation",
+        f"CASE {k} WHEN 9 THEN NULL WHEN 10 THEN 'yes' ELSE 'true' END AS genericization_candidate", "sha2(props, 256) AS core_digest", f"IF({k} = 11, sha2(event_type, 256), sha2(props, 256)) AS candidate_id")
+    return ev.ledger_entry_rules(rows, _workflows(spark, d))
 
 
 @query("e16_ledger_final", """
