@@ -124,7 +124,8 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM reach GROUP B
 
 ORACLE["op2_suffix_dedup"] = r"""
 WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS MATERIALIZED (SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, 400)) AS g FROM d, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS t(i)),
+w AS MATERIALIZED (SELECT doc_id, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS i,
+  unnest(list_transform(range(0, greatest(length(h) // 2 - 199, 0)), lambda i: md5_number(substring(h, 2 * i + 1, 400)))) AS g FROM d),
 r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM w SEMI JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) AS x USING (g)),
 s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY doc_id, run),
 o AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM s),
