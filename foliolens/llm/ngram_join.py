@@ -5,7 +5,7 @@ hashed into groups and a document is the point of its group counts. For two poin
 the overlap of the sets from above; the same bound between the upper corners of two tree nodes covers all their points.
 
 1. Documents of one set are a class; only classes go on.
-2. Directory: the fine groups (hash values) of a class that are rarest by the document counts of 2**22 coarse groups.
+2. Directory: the fine groups (hash values) of a class that are rarest by the document counts of 2**24 coarse groups.
    Two sets with the wanted overlap share one of their first ``n - ceil(t n) + 1`` fine groups under any common order, so
    no link is lost when only classes with a common fine group meet. Common passages come last in the order.
 3. Under each fine group a point stays only if another one is of a possible size and passes the bound. What is left is
@@ -34,8 +34,9 @@ from .components import connected_components
 
 SIZE = 4
 PERCENT = 85
-COARSE_BITS = 22  # coarse groups whose document counts order the fine groups: 16 MB, at any input size
+COARSE_BITS = 24  # coarse groups whose document counts order the fine groups: 16 MB, at any input size
 BLOCKS = 256
+STEPS = 8
 GROUPS = 64  # coordinates of a point
 NODE = 256  # points of a leaf
 NODE_BYTES = 1 << 20  # and bytes of its sets, beyond which no further point comes in
@@ -80,15 +81,20 @@ def _class_ids(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def coarse_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """Documents per coarse group, over all documents. Tasks add their own counts, Spark deals the blocks and they are summed."""
+    """Rank of each coarse group by its number of documents: 8 steps for each doubling, in one byte.
+
+    Tasks count all documents, Spark deals the blocks of counts and they are summed; equal ranks are told apart by hash.
+    """
     slots, block = 1 << COARSE_BITS, (1 << COARSE_BITS) // BLOCKS
-    schema = "g int, counts binary"
+    schema = "g int, counts binary, wide int"
+    kinds = {1: np.uint8, 2: np.uint16, 8: np.int64}
     arrow = base._arrow_schema(docs.sparkSession, schema)
 
     def rows(total: dict[int, np.ndarray]):
         for g, part in total.items():
             if part.any():
-                yield pa.RecordBatch.from_pylist([{"g": g, "counts": zlib.compress(part.tobytes(), 1)}], schema=arrow)
+                part = part.astype(np.uint8 if part.max() < 256 else np.uint16 if part.max() < 65536 else np.int64)
+                yield pa.RecordBatch.from_pylist([{"g": g, "counts": zlib.compress(part.tobytes(), 1), "wide": part.itemsize}], schema=arrow)
 
     def count(batches):
         total = np.zeros(slots, np.int32)
@@ -102,13 +108,14 @@ def coarse_counts(docs: DataFrame, size: int) -> np.ndarray:
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for g, counts in zip(batch.column("g").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[g] = total.get(g, 0) + np.frombuffer(zlib.decompress(counts), np.int32)
+            for g, counts, wide in zip(*[batch.column(c).to_pylist() for c in ("g", "counts", "wide")], strict=True):
+                total[g] = total.get(g, 0) + np.frombuffer(zlib.decompress(counts), kinds[wide]).astype(np.int64)
         yield from rows(total)
 
-    out = np.zeros(slots, np.int32)
+    out = np.zeros(slots, np.uint8)
     for row in docs.select("text").mapInArrow(count, schema).repartition("g").mapInArrow(add, schema).toLocalIterator():
-        out[row["g"] * block:(row["g"] + 1) * block] = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
+        counts = np.frombuffer(zlib.decompress(row["counts"]), kinds[row["wide"]])
+        out[row["g"] * block:(row["g"] + 1) * block] = np.minimum(255, np.rint(STEPS * np.log2(1.0 + counts)))
     return out
 
 
