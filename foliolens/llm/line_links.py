@@ -1,0 +1,83 @@
+"""Links between lines of edit similarity 0.8 and more, with DataFrame functions only.
+
+1. A line has a MinHash sketch of ``MINIMA`` values over its runs of ``GRAM`` bytes (blanks left out). One changed word
+   swings as many runs as it has bytes, and a typo no more than ``GRAM``, so near copies share most of them at any length.
+   Value ``i`` is the run whose hash is nearest to a constant in the order of ``xor``: a permutation of its own, and
+   never empty, however few runs there are.
+2. Lines meet in one of ``MINIMA`` bands of three values each. The places are a ruler with different gaps, so two bands
+   share one value at most.
+3. In each band all meet the least line first, then those left outside its component meet the rest: a block of near
+   copies is not listed as all its pairs, and no link between components is lost.
+4. A pair whose sketches agree in ``AGREE`` values is decided by its edit distance, taken over the whole lines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import base
+from .components import connected_components
+
+GRAM = 6
+MINIMA = 24
+RULER = (0, 1, 4)
+AGREE = 5
+CHUNK = 4096  # runs that are listed at once
+VALUES = [f"v{i}" for i in range(MINIMA)]
+
+
+def _constant(i: int) -> int:
+    """The first bits part the constants evenly, the rest is arbitrary."""
+    value = ((i * 2**64 // MINIMA) & ~(2**56 - 1)) | (i * 0x9E3779B97F4A7C15 & (2**56 - 1))
+    return value - 2**64 if value >= 2**63 else value
+
+
+def sketches(classes: DataFrame) -> DataFrame:
+    """(id, v0, v1, ...) of classes (key, norm). The input comes out of an aggregate by ``key``, so the minima need no further shuffle."""
+    data = classes.select("key", F.encode(F.translate("norm", " ", ""), "UTF-8").alias("x")).withColumn("last", F.greatest(F.lit(0), F.length("x") - GRAM))
+    chunk = data.select("key", "x", "last", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / CHUNK).cast("int"))).alias("c"))
+    at = chunk.select("key", "x", F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col("c") * CHUNK + (CHUNK - 1), F.col("last")))).alias("i"))
+    runs = at.select("key", F.xxhash64(F.substring("x", F.col("i") + 1, F.lit(GRAM))).alias("h"))
+    least = runs.groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_constant(i)))).alias(f"m{i}") for i in range(MINIMA)])
+    return least.select(F.xxhash64("key").alias("id"), *[F.hash(f"m{i}").alias(v) for i, v in enumerate(VALUES)])
+
+
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether the edit similarity of two whole lines is at least ``similarity``; length does not alter the verdict."""
+    most = F.floor(F.greatest(F.length(a), F.length(b)) * F.lit(1 - similarity) + 1e-9).cast("int")
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
+
+
+def linked(pairs: DataFrame, sketched: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that pass both tests; texts are fetched for pairs of like sketches only."""
+    side = lambda c: sketched.select(F.col("id").alias(c), *[F.col(v).alias(f"{c}{v}") for v in VALUES])
+    met = base.salted_join(pairs.distinct(), side("a"), ["a"], "inner").join(side("b"), "b")
+    agree = sum((F.col(f"a{v}") == F.col(f"b{v}")).cast("int") for v in VALUES)
+    near = base.staged(met.where(agree >= AGREE).select("a", "b"), "near")
+    used = base.staged(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "used")
+    text = each.withColumn("id", F.xxhash64("key")).select("id", "norm").join(used, "id", "left_semi").groupBy("id").agg(F.min("norm").alias("ta")).withColumnRenamed("id", "a")
+    both = base.salted_join(near, text, ["a"], "inner").join(text.withColumnsRenamed({"a": "b", "ta": "tb"}), "b")
+    return base.staged(both.where(alike(F.col("ta"), F.col("tb"), similarity)).select("a", "b"), "links")
+
+
+def groups(each: DataFrame, similarity: float) -> DataFrame:
+    """(id, component) of the lines (key, norm) that are linked to another; ``id`` is the hash of ``key``."""
+    sketched = base.staged(sketches(each.groupBy("key").agg(F.min("norm").alias("norm"))), "sketches")
+    bands = F.array(*[F.xxhash64(F.lit(i), *[F.col(VALUES[(i + k) % MINIMA]) for k in RULER]) for i in range(MINIMA)])
+    member = sketched.select("id", F.explode(bands).alias("block"))
+    heads = member.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("head")).where("m > 1").select("block", "head")
+    shared = base.staged(member.join(heads, "block"), "blocks")
+    links = linked(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")), sketched, each, similarity)
+    found = base.staged(connected_components(links), "components")
+    named = base.salted_join(shared, found, ["id"]).withColumn("root", F.coalesce("component", "id")).drop("component")
+    named = base.salted_join(named, found.withColumnRenamed("id", "head"), ["head"]).withColumn("main", F.coalesce("component", "head") == F.col("root")).drop("component")
+    rest = base.staged(named.where(~F.col("main")), "rest")
+    # those outside the head's component against all of the block that are in another component; the head itself is done
+    other = named.where("id <> head").join(rest.select("block").distinct(), "block", "left_semi").selectExpr("block", "id AS b", "root AS rb", "main AS mb")
+    more = (rest.selectExpr("block", "id AS a", "root AS ra").join(other, "block")
+            .where((F.col("ra") != F.col("rb")) & (F.col("mb") | (F.col("a") < F.col("b")))))
+    extra = linked(more.select("a", "b"), sketched, each, similarity)
+    if extra.isEmpty():
+        return found
+    return base.staged(connected_components(links.unionByName(extra)), "components")

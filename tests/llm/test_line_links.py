@@ -1,0 +1,95 @@
+"""Near copies of lines against plain edit similarity, without any sketch."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from foliolens.llm import line_dedup, line_links
+from test_dedup import edit, table
+
+
+def spelled(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+
+
+def removed(spark, rows):
+    got = line_dedup.report(table(spark, rows)).collect()
+    return {(r["doc_id"], int(k)) for r in got for k in r["removed_lines"].split(",") if k}
+
+
+EDITS = {
+    "word": lambda rng, w: w[:(k := rng.randrange(len(w)))] + spelled(rng, 1) + w[k + 1:],
+    "inserted": lambda rng, w: w[:(k := rng.randrange(len(w)))] + ["and"] + w[k:],
+    "typo": lambda rng, w: w[:(k := rng.randrange(len(w)))] + [w[k][:-1] + "z"] + w[k + 1:],
+    "blank": lambda rng, w: w[:(k := rng.randrange(len(w)))] + [""] + w[k:],
+    "return": lambda rng, w: w[:-1] + [w[-1] + "\r"],
+    "tab": lambda rng, w: ["\t".join(w[:2]), *w[2:]],
+    "comma": lambda rng, w: [w[0] + ",", *w[1:]],
+}
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    """Lines of 8 to 160 words, each with one copy per edit in a document of its own; (kind, words, edit similarity, removed)."""
+    rng = random.Random(4)
+    rows, cases = [], []
+    for size in (8, 12, 20, 40, 80, 160):
+        for _ in range(12):
+            line = spelled(rng, size)
+            rows.append((len(rows), " ".join(line)))
+            for kind, change in EDITS.items():
+                copy = " ".join(change(rng, line))
+                cases.append((len(rows), kind, size, " ".join(line), copy))
+                rows.append((len(rows), copy))
+    gone = removed(spark, rows)
+    plain = lambda s: " ".join(s.replace(",", " ").split())
+    out = []
+    for doc, kind, size, line, copy in cases:
+        a, b = plain(line), plain(copy)
+        out.append((kind, size, 1 - (edit(a, b) if size <= 40 else 9) / max(len(a), len(b)), (doc, 0) in gone))
+    return out, gone, rows
+
+
+@pytest.mark.parametrize("kind", EDITS)
+def test_one_edit_is_found_at_any_length(found, kind):
+    near = [c for c in found[0] if c[0] == kind and c[2] >= 0.8]
+    assert len(near) > 60 and sum(c[3] for c in near) >= 0.95 * len(near)
+
+
+def test_unlike_lines_stay(found):
+    _, gone, rows = found
+    assert not any((i, 0) in gone for i in range(0, len(rows), len(EDITS) + 1))
+
+
+def test_links_hold_the_edit_similarity(spark):
+    rng = random.Random(9)
+    lines = []
+    for _ in range(30):
+        w = spelled(rng, 12)
+        lines += [" ".join(w), " ".join(w[:-1] + spelled(rng, 1)), " ".join(w[:7] + spelled(rng, 5)), " ".join(w[6:] + w[:6])]
+    gone = removed(spark, list(enumerate(lines)))
+    sim = lambda a, b: edit(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+    assert gone == {(i, 0) for i, a in enumerate(lines) if any(sim(a, b) for b in lines[:i])}
+
+
+def test_sketch_of_a_line_over_several_chunks(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", " ".join(f"word{i}" for i in range(60))), ("b", "xyz")], "key string, norm string")
+    whole = sorted(map(tuple, line_links.sketches(rows).collect()))
+    monkeypatch.setattr(line_links, "CHUNK", 7)
+    assert sorted(map(tuple, line_links.sketches(rows).collect())) == whole and len(whole) == 2
+
+
+def test_sketch_values_agree_as_the_runs_do(spark):
+    rng = random.Random(2)
+    w = [spelled(rng, 30) for _ in range(40)]
+    rows = [(f"{i}{s}", " ".join(line if s == "a" else line[:27] + spelled(rng, 3))) for i, line in enumerate(w) for s in "ab"]
+    got = {r["id"]: tuple(r)[1:] for r in line_links.sketches(spark.createDataFrame(rows, "key string, norm string")).collect()}
+    ids = {r["key"]: r["id"] for r in spark.createDataFrame(rows, "key string, norm string").select("key", F.xxhash64("key").alias("id")).collect()}
+    runs = lambda s: {s.replace(" ", "")[i:i + line_links.GRAM] for i in range(len(s.replace(" ", "")) - line_links.GRAM + 1)}
+    text = dict(rows)
+    want = sum(len(runs(text[f"{i}a"]) & runs(text[f"{i}b"])) / len(runs(text[f"{i}a"]) | runs(text[f"{i}b"])) for i in range(40)) / 40
+    have = sum(sum(x == y for x, y in zip(got[ids[f"{i}a"]], got[ids[f"{i}b"]], strict=True)) / line_links.MINIMA for i in range(40)) / 40
+    assert abs(have - want) < 0.05
