@@ -93,3 +93,8 @@ def test_sketch_values_agree_as_the_runs_do(spark):
     want = sum(len(runs(text[f"{i}a"]) & runs(text[f"{i}b"])) / len(runs(text[f"{i}a"]) | runs(text[f"{i}b"])) for i in range(40)) / 40
     have = sum(sum(x == y for x, y in zip(got[ids[f"{i}a"]], got[ids[f"{i}b"]], strict=True)) / line_links.MINIMA for i in range(40)) / 40
     assert abs(have - want) < 0.05
+
+
+def test_short_lines_are_matched_exactly(spark):
+    rows = [(1, "Share\n}\n\nOnly here"), (2, "share\r\n}\n\n"), (3, "SHARE \n;\n \t\nShared"), (4, "only her\n---")]
+    assert removed(spark, rows) == {(2, 0), (2, 1), (3, 0)}
