@@ -98,3 +98,12 @@ def test_sketch_values_agree_as_the_runs_do(spark):
 def test_short_lines_are_matched_exactly(spark):
     rows = [(1, "Share\n}\n\nOnly here"), (2, "share\r\n}\n\n"), (3, "SHARE \n;\n \t\nShared"), (4, "only her\n---")]
     assert removed(spark, rows) == {(2, 0), (2, 1), (3, 0)}
+
+
+def test_long_lines_are_judged_like_short_ones(spark):
+    rng = random.Random(6)
+    most = spelled(rng, 17000)
+    shifted = spelled(rng, 7000)
+    rows = [(1, " ".join(most)), (2, " ".join(most[:9000] + ["changed"] + most[9001:])), (3, " ".join(shifted)),
+            (4, " ".join(shifted[:5] + spelled(rng, 140) + shifted[5:])), (5, " ".join(spelled(rng, 7000)))]
+    assert removed(spark, rows) == {(2, 0), (4, 0)}
