@@ -25,8 +25,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return ngram_join.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8) stays."""
+    return ngram_join.keep_one(docs, size=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
