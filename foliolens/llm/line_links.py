@@ -52,12 +52,13 @@ def alike(a: Column, b: Column, similarity: float) -> Column:
 def linked(pairs: DataFrame, sketched: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that pass both tests; texts are fetched for pairs of like sketches only."""
     side = lambda c: sketched.select(F.col("id").alias(c), *[F.col(v).alias(f"{c}{v}") for v in VALUES])
-    met = base.salted_join(pairs.distinct(), side("a"), ["a"], "inner").join(side("b"), "b")
+    # plain joins: sketches and texts are too wide to be repeated per salt, and a least line with many pairs is split by adaptive execution
+    met = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     agree = sum((F.col(f"a{v}") == F.col(f"b{v}")).cast("int") for v in VALUES)
     near = base.staged(met.where(agree >= AGREE).select("a", "b"), "near")
     used = base.staged(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "used")
     text = each.withColumn("id", F.xxhash64("key")).select("id", "norm").join(used, "id", "left_semi").groupBy("id").agg(F.min("norm").alias("ta")).withColumnRenamed("id", "a")
-    both = base.salted_join(near, text, ["a"], "inner").join(text.withColumnsRenamed({"a": "b", "ta": "tb"}), "b")
+    both = near.join(text, "a").join(text.withColumnsRenamed({"a": "b", "ta": "tb"}), "b")
     return base.staged(both.where(alike(F.col("ta"), F.col("tb"), similarity)).select("a", "b"), "links")
 
 
@@ -70,7 +71,7 @@ def groups(each: DataFrame, similarity: float) -> DataFrame:
     shared = base.staged(member.join(heads, "block"), "blocks")
     links = linked(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")), sketched, each, similarity)
     found = base.staged(connected_components(links), "components")
-    named = base.salted_join(shared, found, ["id"]).withColumn("root", F.coalesce("component", "id")).drop("component")
+    named = shared.join(found, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
     named = base.salted_join(named, found.withColumnRenamed("id", "head"), ["head"]).withColumn("main", F.coalesce("component", "head") == F.col("root")).drop("component")
     rest = base.staged(named.where(~F.col("main")), "rest")
     # those outside the head's component against all of the block that are in another component; the head itself is done
