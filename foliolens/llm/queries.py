@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, line_dedup, license_scan, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts
+from . import byte_bpe, chat_format, decontaminate, hard_negatives, line_dedup, license_scan, ngram_join, piece_bpe, quality_classifier, quality_rules, suffix_dedup, token_alignment, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_ngram_join, op6_decontamination, op7_byte_bpe, op8_quality_classifier, op9_chat_format, op10_license_scan)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_alignment.Vocabularies(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.report(_table(spark, sf_dir, "documents"), files)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the contract moves the label of every seventh row
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = piece_bpe.Vocabulary(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_bpe.report(piece_bpe.decode(piece_bpe.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_ngram_join, op6_decontamination, op7_byte_bpe, op8_quality_classifier, op9_chat_format, op10_license_scan, op11_token_alignment, op12_hard_negatives, op13_piece_bpe)}
 
 ORACLE: dict[str, str] = {}
 
@@ -135,3 +151,15 @@ k AS (SELECT e.doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS tail,
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
   sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
+
+ORACLE["op12_hard_negatives"] = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+q AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT vec_id, label, list_transform(e, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+s AS MATERIALIZED (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
