@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding with a merge-type (BPE) vocabulary.
 
 1. A text is normalised by the rules stored in the model file (dummy prefix, blanks as U+2581).
-2. If no piece of the vocabulary has U+2581 behind another character (looked up when the model is loaded), no merge
-   can cross such a place, so the text falls into *units* that are encoded on their own; otherwise it is one unit.
+2. If no piece of the vocabulary has U+2581 behind another character, or another character behind a Latin letter (both
+   looked up when the model is loaded), no merge can cross such a place, so the text falls into *units* that are encoded
+   on their own; a model without either makes one unit of a text.
 3. A unit starts as one symbol per character. An agenda holds each adjacent pair of symbols whose concatenation is a
    piece, best score first, then the leftmost. The best pair is merged and its two new neighbours enter the agenda. The
    agenda of a long unit is a heap, in which an entry whose symbols have changed since is stale and skipped; those of
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from . import base
 
 SPACE = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 SHORT = 64  # characters of a unit that is remembered
 NEVER = 1 << 30
 # fixed values: kinds of pieces and of models in the model file
@@ -115,14 +117,19 @@ class Encoder:
                        for p, x in self.pieces.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
         self.keys, self.ranks, self.merged = np.array(pairs, np.int64).reshape(-1, 3).T.copy()
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
-        self.unit = re.compile("(?s).+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, array] = {}
-
-    def merge(self, units: list[str]) -> list[array]:
-        """Ids of units by their agendas."""
+        letters = not crossing and not any(re.search(f"[{LETTERS}][^{LETTERS}]", p) for p in self.pieces)
+        self.parts_letters = letters
+        self.unit = re.compile("(?s).+" if crossing else f"{SPACE}*[^{SPACE}{LETTERS}]*[{LETTERS}]+|{SPACE}*[^{SPACE}{LETTERS}]+|{SPACE}+" if letters else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.lead = len(self.library.encode("\n"))
+        if any("\n" in p for p in self.pieces) or not self.library.normalize("a").startswith(SPACE):
+            raise ValueError("the check of units needs a model with a dummy prefix and no piece with a line feed")
+        self.known: dict[str, bytes] = {}
+
+    def merge(self, units: list[str]) -> list[bytes]:
+        """Ids of units by their agendas, as 32-bit integers."""
         brief = [u for u in units if len(u) <= SHORT]
         found = dict(zip(brief, self.short(brief), strict=True)) if brief else {}
-        return [found[u] if u in found else self.long(u) for u in units]
+        return [found[u] if u in found else self.long(u) for u in units] if len(brief) < len(units) else list(found.values())
 
     def ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each pair of symbol numbers in the order of scores (``NEVER`` for no piece), and the piece's number."""
@@ -130,7 +137,7 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NEVER), self.merged[at]
 
-    def short(self, units: list[str]) -> list[array]:
+    def short(self, units: list[str]) -> list[bytes]:
         """Ids of many short units at once: each round merges the first entry of every unit's agenda."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         point = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
@@ -157,13 +164,14 @@ class Encoder:
         own, code, point = (np.concatenate(x) for x in zip(*ended, strict=True))
         order = np.argsort(own, kind="stable")
         ids, bounds = self.ids[code[order]], np.searchsorted(own[order], np.arange(len(units) + 1))
-        out = [array("i", ids[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        data, ends = ids.tobytes(), (bounds * 4).tolist()
+        out = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         for u in np.unique(own[self.ids[code] < 0]).tolist():
             run = order[bounds[u]:bounds[u + 1]]
-            out[u] = array("i", [x for c, p in zip(code[run].tolist(), point[run].tolist(), strict=True) for x in ([int(self.ids[c])] if self.ids[c] >= 0 else [self.bytes[y] for y in chr(p).encode()])])
+            out[u] = array("i", [x for c, p in zip(code[run].tolist(), point[run].tolist(), strict=True) for x in ([int(self.ids[c])] if self.ids[c] >= 0 else [self.bytes[y] for y in chr(p).encode()])]).tobytes()
         return out
 
-    def long(self, unit: str) -> array:
+    def long(self, unit: str) -> bytes:
         """Ids of a long unit; symbols merged into their left neighbour are empty."""
         pieces, size = self.pieces, len(unit)
         symbols = list(unit)
@@ -191,45 +199,31 @@ class Encoder:
                 new = symbols[ahead] + pair
                 if new in pieces:
                     heapq.heappush(agenda, (pieces[new][0], ahead, new))
-        return array("i", [x for s in symbols if s for x in ([pieces[s][1]] if s in pieces else [self.bytes[b] for b in s.encode()])])
+        return array("i", [x for s in symbols if s for x in ([pieces[s][1]] if s in pieces else [self.bytes[b] for b in s.encode()])]).tobytes()
 
     def by_library(self, units: list[str]) -> list[list[int]]:
-        """The library's ids of units; one that begins with U+2581 stands behind the library's own prefix."""
-        marked = [u.startswith(SPACE) and len(u) > 1 for u in units]
-        found = self.library.encode([u[1:] if m else u for u, m in zip(units, marked, strict=True)], num_threads=1)
-        alone = self.pieces.get(SPACE, (0, None))[1]
-        out = []
-        for unit, m, ids in zip(units, marked, found, strict=True):
-            if not m:  # a unit that begins inside a text: only U+2581 alone, or a model without prefix
-                ids = [alone] if unit == SPACE else self.inside(unit, ids)
-            out.append(ids)
-        return out
-
-    def inside(self, unit: str, ids: list[int]) -> list[int]:
-        """The library puts U+2581 before a unit that has none; a model without a prefix does not."""
-        return ids[1:] if self.library.normalize(unit).startswith(SPACE) and ids[:1] == [self.pieces[SPACE][1]] else ids
-
-    def encode(self, texts: list[str]) -> tuple[list[array], list[bool]]:
-        """Ids of each text, and whether the library has others for one of its new units."""
+        """The library's ids of units. One that does not begin with U+2581 gets it from the library and loses its piece again."""
+        front = [u[0] == SPACE and len(u) > 1 for u in units]
+        # a line feed has no merges, so what stands behind it is encoded as inside a text
+        found = self.library.encode([u[1:] if f else "\n" + u.replace(SPACE, " ") for u, f in zip(units, front, strict=True)], num_threads=1)
+        return [ids if f else ids[self.lead:] for ids, f in zip(found, front, strict=True)]
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text as 32-bit integers, and whether the library has others for one of its new units."""
         split = [self.unit.findall(self.library.normalize(t)) if t else [] for t in texts]
-        known, new = self.known, {}
-        for units in split:
-            for u in units:
-                if u not in known and u not in new:
-                    new[u] = None
-        new = dict(zip(new, self.merge(list(new)), strict=True))
-        wrong = {u for u, ids in zip(new, self.by_library(list(new)), strict=True) if new[u].tolist() != ids} if new else set()
+        known = self.known
+        new = list(set().union(*split).difference(known))
         if len(known) + len(new) > REMEMBERED:
-            new = {u: known.get(u) or new[u] for units in split for u in units}
             known.clear()
-        found, differs = [], []
-        for units in split:
-            ids = array("i")
-            for u in units:
-                ids.extend(known[u] if u in known else new[u])
-            found.append(ids)
-            differs.append(bool(wrong) and not wrong.isdisjoint(units))
-        known.update((u, ids) for u, ids in new.items() if len(u) <= SHORT and u not in wrong)
+            new = list(set().union(*split))
+        merged = self.merge(new)
+        wrong = {u for u, own, ids in zip(new, merged, self.by_library(new), strict=True) if own != array("i", ids).tobytes()}
+        known.update(zip(new, merged, strict=True))
+        found = [b"".join(map(known.__getitem__, units)) for units in split]
+        differs = [bool(wrong) and not wrong.isdisjoint(units) for units in split]
+        for u in new:
+            if len(u) > SHORT or u in wrong:
+                del known[u]
         return found, differs
 
 
@@ -254,10 +248,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         runs = iter(base.slices([t.encode("utf-8", "replace") for t in texts]))
         for first, last in runs:
             ids, differs = encoder().encode(texts[first:last])
-            flat = array("i")
-            for x in ids:
-                flat.extend(x)
-            yield {"doc_id": batch.column("doc_id").slice(first, last - first), "ids": base.lists(pa.array(memoryview(flat) if len(flat) else [], pa.int32()), [len(x) for x in ids]), "differs": differs}
+            yield {"doc_id": batch.column("doc_id").slice(first, last - first), "ids": base.lists(np.frombuffer(b"".join(ids), np.int32), [len(x) // 4 for x in ids], pa.int32()), "differs": differs}
 
     return base.map_arrow(base.id_text(docs, id_col, text_col), run, f"doc_id {kind}, ids array<int>, differs boolean")
 
