@@ -403,9 +403,18 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest id of each component, with all columns; documents without words all stay.
+    """One row of each component, with all columns: that of the smallest id (null first), then digest; rows without words all stay.
 
-    Rows with the same id are one document and stay or go together.
+    A row is known by its id and text: rows that share an id but not the text are judged apart, and of rows equal in
+    both one stays.
     """
-    gone = components(docs, size, percent).where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    key = F.xxhash64("doc_id", "text")
+    found = components(docs.select(key.alias("doc_id"), "text"), size, percent).where("n_shingles > 0")
+    each = base.staged(found.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed("doc_id", "_key"), "grouped")
+    ids = docs.select(key.alias("_key"), F.col("doc_id").alias("_id")).distinct()
+    firsts = each.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("stays"))
+    judged = base.staged(base.salted_join(each, firsts, ["component_id"], "inner").select("_key", "copies", (F.col("_key") == F.col("stays._key")).alias("stays")), "judged")
+    marked = docs.withColumn("_key", key)
+    left = marked.join(judged.where(~F.col("stays") | (F.col("copies") > 1)).select("_key"), "_key", "left_anti")
+    once = marked.join(judged.where(F.col("stays") & (F.col("copies") > 1)).select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    return left.unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
