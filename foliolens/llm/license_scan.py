@@ -1,11 +1,12 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Words are runs of letters and digits, lower-cased. A term of a template weighs ``ln((1 + N) / (1 + df)) + 1`` with counts
-over all documents; any other word weighs as one that no document holds. Units are the sentences and lines of the whole
-text (headers stand anywhere) and the whole text itself (license files). The best template of the best unit with a cosine
-of at least ``threshold`` is the document's license.
+over all documents; any other word weighs as one that no document holds. Lines and sentences (also over line ends) of the
+whole text are compared with notices and headers (they stand anywhere), the whole text with whole license texts. The best
+template of the best unit with a cosine of at least ``threshold`` (``file_threshold`` for whole texts) is the document's license.
 
-A license file speaks for its directory and all below it. A document without a license of its own takes that of the
+A license file is one that is like a whole license text, or that has a license and the name of a license file; a header
+alone makes none. It speaks for its directory and all below it. A document without a license of its own takes that of the
 nearest ancestor directory: the distinct directories are expanded to their ancestors and joined to the directories that
 hold license files; documents are joined to directories only, never to each other.
 
@@ -23,31 +24,22 @@ from pyspark.sql import functions as F
 
 from . import base
 from .decontaminate import normal_words
+from .license_texts import FILES, NOTICES
 
-# fixed values: short notices of common licenses
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "Proprietary": "All rights reserved.",
-}
 THRESHOLD = 0.75
-FILE_THRESHOLD = 0.4
+FILE_THRESHOLD = 0.6
+# names of license files: the word, a number, a license after a dash, an ending of text files
+FILE_NAME = r"(?i)(^|/)(un)?(licen[sc]e|copying|copyright|notice)\d*(-[a-z0-9.]+)?(\.(txt|md|rst|html))?$"
 _U = np.uint64
 
 
 class Space:
     """Terms of the templates, sorted by hash, and the term frequencies of each template."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = list(templates)
-        words = [normal_words(t.encode()) for t in templates.values()]
+    def __init__(self, notices: list[tuple[str, str]], files: list[tuple[str, str]]):
+        self.names = [name for name, _ in [*notices, *files]]
+        self.whole = np.arange(len(self.names)) >= len(notices)
+        words = [normal_words(t.encode()) for _, t in [*notices, *files]]
         vocabulary = sorted({w for ws in words for w in ws})
         hashes, _ = base.word_hashes(vocabulary, base.LETTERS)
         order = np.argsort(hashes)
@@ -65,15 +57,18 @@ class Space:
 
 
 def _words(texts: list[bytes]):
-    """(first, last, word hashes, owner text, sentence number) of slices."""
+    """(first, last, word hashes, owner text, line number, sentence number) of slices; a sentence ends at a mark or blank line."""
     for first, last in base.slices(texts):
         hashes, counts = base.word_hashes(texts[first:last], base.LETTERS, lower=True)
         data, _ = base.joined(texts[first:last])
         start, _ = base.word_spans(base.LOWER[data], base.LETTERS)
         stop = np.isin(data, list(b".!?;"))
         stop[:-1] &= ~base.SPACES[data[1:]]
-        sentence = np.cumsum(stop | (data == 10))[start]
-        yield first, last, hashes, np.repeat(np.arange(last - first), counts), sentence
+        end = data == 10
+        line = np.cumsum(stop | end)[start]
+        stop[:-1] |= end[:-1] & end[1:]
+        owner = np.repeat(np.arange(last - first), counts)
+        yield first, last, hashes, owner, line, np.cumsum(stop)[start] + owner  # a text ends a sentence too
 
 
 def document_counts(docs: DataFrame, space: Space) -> tuple[int, np.ndarray]:
@@ -84,7 +79,7 @@ def document_counts(docs: DataFrame, space: Space) -> tuple[int, np.ndarray]:
         total, n = np.zeros(size, np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for first, last, hashes, owner, _ in _words(base.byte_strings(batch.column("text"))):
+            for first, last, hashes, owner, _, _ in _words(base.byte_strings(batch.column("text"))):
                 term = space.terms(hashes)
                 pair = np.unique(owner[term >= 0] * size + term[term >= 0])
                 total += np.bincount(pair % size, minlength=size)
@@ -127,34 +122,38 @@ def _best(unit: np.ndarray, hashes: np.ndarray, term: np.ndarray, weights: np.nd
     return units[good], top[good], value[good]
 
 
-def own_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD) -> DataFrame:
+def own_licenses(docs: DataFrame, notices: list[tuple[str, str]] | None = None, files: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD) -> DataFrame:
     """(doc_id, path, license, cosine, is_file) of every row of ``docs`` (doc_id, path, text)."""
-    space = Space(templates or TEMPLATES)
+    space = Space(NOTICES if notices is None else notices, FILES if files is None else files)
     n, df = document_counts(docs, space)
     weights = np.log((1 + n) / (1 + df)) + 1
     other = float(np.log(1 + n) + 1)
     vectors = space.tf * weights[:, None]
     vectors /= np.sqrt((vectors ** 2).sum(axis=0))
+    kinds = [np.flatnonzero(~space.whole), np.flatnonzero(space.whole)]
 
     def run(batch: pa.RecordBatch):
         rows = batch.num_rows
         license_, cosine, is_file = np.full(rows, -1), np.zeros(rows), np.zeros(rows, bool)
-        for first, _, hashes, owner, sentence in _words(base.byte_strings(batch.column("text"))):
+        for first, _, hashes, owner, line, sentence in _words(base.byte_strings(batch.column("text"))):
             term = space.terms(hashes)
             if not len(owner):
                 continue
-            text_of = np.zeros(int(sentence[-1]) + 1, np.int64)
-            text_of[sentence] = owner
-            for unit, least, whole in ((sentence, threshold, False), (owner, file_threshold, True)):
-                units, top, value = _best(unit, hashes, term, weights, vectors, other, least)
-                for u, t, v in zip(units if whole else text_of[units], top, value, strict=True):
-                    is_file[first + u] |= whole
+            for unit, least, whole in ((line, threshold, 0), (sentence, threshold, 0), (owner, file_threshold, 1)):
+                if not len(kinds[whole]):
+                    continue
+                text_of = np.zeros(int(unit[-1]) + 1, np.int64)
+                text_of[unit] = owner
+                units, top, value = _best(unit, hashes, term, weights, vectors[:, kinds[whole]], other, least)
+                for u, t, v in zip(text_of[units], kinds[whole][top], value, strict=True):
+                    is_file[first + u] |= bool(whole)
                     if round(v, 9) > round(cosine[first + u], 9) or (license_[first + u] < 0):
                         license_[first + u], cosine[first + u] = t, v
         yield {"doc_id": batch.column("doc_id"), "path": batch.column("path"), "license": [space.names[i] if i >= 0 else None for i in license_],
                "cosine": np.round(cosine, 6), "is_file": is_file}
 
-    return base.map_arrow(docs, run, "doc_id bigint, path string, license string, cosine double, is_file boolean")
+    found = base.map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, path string, license string, cosine double, is_file boolean")
+    return found.withColumn("is_file", F.col("is_file") | (F.col("license").isNotNull() & F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))))
 
 
 def directory(path: Column) -> Column:
@@ -162,11 +161,11 @@ def directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
 
 
-def scan(docs: DataFrame, path: Column, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, path: Column, notices: list[tuple[str, str]] | None = None, files: list[tuple[str, str]] | None = None,
+         threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, path, license, origin, cosine, from_path): origin is header, file, inherited or none."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
-    own = base.staged(own_licenses(rows, templates, threshold, file_threshold).withColumn("dir", directory(F.col("path"))), "own")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), path.alias("path"), F.col(f"`{text_col}`").alias("text"))
+    own = base.staged(own_licenses(rows, notices, files, threshold, file_threshold).withColumn("dir", directory(F.col("path"))), "own")
     files = (own.where("is_file AND dir IS NOT NULL").groupBy("dir")
              .agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "license")).alias("f")).select(F.col("dir").alias("ancestor"), "f"))
     dirs = own.where("license IS NULL AND dir IS NOT NULL").select("dir").distinct()
