@@ -6,14 +6,13 @@ box; a missing box or page means that the block has no measured rendering.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import skew
 from ..functions.common import prefixed, py_round, reasons
+from ..session import work_folder
 
 EPS = 1e-9
 # fixed values: default minimum gaps in points by role
@@ -71,8 +70,7 @@ def closure(blocks: DataFrame) -> DataFrame:
     """
     context = blocks.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        # only where the session names no shared folder, as in tests
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(work_folder(blocks.sparkSession, "closure"))
     reached = blocks.where(F.col("parent_id").isNotNull()).select(
         F.col("block_id").alias("node"), F.col("parent_id").alias("ancestor")).distinct().checkpoint()
     fresh = reached

@@ -26,8 +26,10 @@ REFERENCE = r"(&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&)"
 def decoded(text: Column) -> Column:
     """Text with its character references replaced: numbers, names of the standard table, and old names without semicolon.
 
-    Code points that stand for no character become U+FFFD; an unknown name stays as it is.
+    Numbers follow the rules of HTML: 0x80 to 0x9F are read in code page 1252, control characters and noncharacters vanish,
+    0, surrogates and what is above U+10FFFF become U+FFFD. An unknown name stays as it is.
     """
+    western = F.array(*[F.lit(ord(bytes([c]).decode("cp1252", "replace").replace("\ufffd", chr(c)))) for c in range(0x80, 0xA0)])
     names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
 
     def number(piece: Column) -> Column:
@@ -35,7 +37,9 @@ def decoded(text: Column) -> Column:
         digits = F.regexp_replace(F.regexp_extract(piece, "^&#[xX]?([0-9A-Fa-f]+)", 1), "^0+(?=.)", "")
         point = F.when(F.length(digits) > 7, F.lit(1 << 24)).otherwise(F.when(hexed, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long"))
         bad = (point == 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
-        return F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD)).otherwise(point)), 8, "0")), "UTF-32")
+        gone = point.between(0x1, 0x8) | (point == 0xB) | point.between(0xE, 0x1F) | (point == 0x7F) | point.between(0xFDD0, 0xFDEF) | (point.bitwiseAND(0xFFFE) == 0xFFFE)
+        known = F.when(bad, F.lit(0xFFFD)).when(point.between(0x80, 0x9F), F.try_element_at(western, (point - 0x7F).cast("int"))).otherwise(point)
+        return F.when(gone & ~bad, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32"))
 
     def name(piece: Column) -> Column:
         word = F.substring(piece, F.lit(2), F.length(piece))

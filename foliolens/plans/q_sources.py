@@ -143,12 +143,56 @@ def r4(spark, d):
     return flows.run_to_table(once.select("candidate_id"), "dedupe").groupBy("candidate_id").agg((F.count(F.lit(1)) == 1).alias("seen"))
 
 
-@query("r5_stream_findings", """
-SELECT event_id, 'value_missing' AS rule FROM events WHERE value IS NULL UNION ALL SELECT event_id, 'value_low' FROM events WHERE value < 5 UNION ALL SELECT event_id, 'error_event' FROM events WHERE event_type = 'error'""")
-def r5(spark, d):
-    found = flows.stream_findings(_event_stream(spark, d), ["event_id"], {
+def _thirds(spark, d, columns):
+    """Events in three tables by time, and a last row far ahead that closes what is open."""
+    events = load(spark, d, "events")
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    step = (span["b"] - span["a"]) / 3
+    rows = events.selectExpr(*columns)
+    at = F.col("at")
+    parts = [rows.where((at >= span["a"] + step * k if k else F.lit(True)) & (at < span["a"] + step * (k + 1) if k < 2 else F.lit(True))) for k in range(3)]
+    return parts, rows.limit(1).select(*[F.lit(span["b"] + step * 100).cast("timestamp").alias(c) if c == "at" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+
+
+def _stepwise(spark, name, parts, sink):
+    """Run a stream over tables that arrive one after the other; ``sink(stream, path, checkpoint)`` starts it."""
+    folder, out = flows.work_folder(spark, name), flows.work_folder(spark, name + "-out")
+    flows.in_steps(parts, folder, lambda: sink(flows.file_stream(spark, folder, "*.parquet", parts[0].schema), out + "/table", out + "/state"))
+    return out + "/table"
+
+
+@query("r4_keep_first_stream", """
+WITH o AS (SELECT event_type, user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+g AS (SELECT *, sum(s) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM o)
+SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS at FROM g GROUP BY user_id, event_type, k""")
+def r4_first(spark, d):
+    """First row of each burst of a user's events of one type, from three micro-batches."""
+    parts, last = _thirds(spark, d, ["user_id", "event_type", "event_id", "CAST(ts AS TIMESTAMP) AS at"])
+    first = lambda s, path, state: flows.to_parquet(flows.keep_first(s, ["user_id", "event_type"], "at", "4 hours", ["event_id"], "1 hour"), path, state)
+    path = _stepwise(spark, "first", [*parts, last], first)
+    return _naive(spark.read.parquet(path).where("event_id IS NOT NULL"), "at")
+
+
+ROW_SQL = """
+SELECT event_id, 'value_missing' AS rule FROM events WHERE value IS NULL UNION ALL SELECT event_id, 'value_low' FROM events WHERE value < 5 UNION ALL SELECT event_id, 'error_event' FROM events WHERE event_type = 'error'"""
+
+
+def _row_findings(stream):
+    return flows.stream_findings(stream, ["event_id"], {
         "value_missing": F.col("value").isNull(), "value_low": F.coalesce(F.col("value") < 5, F.lit(False)), "error_event": F.col("event_type") == "error"})
-    return flows.run_to_table(found, "row-findings")
+
+
+@query("r5_stream_findings", ROW_SQL)
+def r5(spark, d):
+    return flows.run_to_table(_row_findings(_event_stream(spark, d)), "row-findings")
+
+
+@query("r5_findings_upsert", ROW_SQL)
+def r5_upsert(spark, d):
+    """The same findings from three micro-batches through the batch-numbered sink."""
+    parts, _ = _thirds(spark, d, ["event_id", "event_type", "value", "CAST(ts AS TIMESTAMP) AS at"])
+    path = _stepwise(spark, "upsert", parts, lambda s, path, state: flows.upsert(_row_findings(s), path, state, "append"))
+    return flows.latest(spark, path, ["event_id", "rule"])
 
 
 RATE = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type AS rule, count(*) AS n FROM events GROUP BY 1, 2, 3"
@@ -183,6 +227,76 @@ def r6_sessions(spark, d):
     return _naive(flows.finding_sessions(_timed(load(spark, d, "events")), "at", ["rule"], "5 minutes"), "session_start", "session_end")
 
 
+# a row of the first day that arrives with the last third
+LATE = "SELECT TIMESTAMP '2024-01-01 00:30:00' AS at, 'late' AS rule"
+
+
+def _rated(spark, d):
+    parts, last = _thirds(spark, d, ["CAST(ts AS TIMESTAMP) AS at", "event_type AS rule"])
+    return [*parts[:2], parts[2].unionByName(spark.sql(LATE))], last
+
+
+@query("r6_finding_rates_stream", RATE)
+def r6_stream(spark, d):
+    """Windows of a stream with watermark and state, upserted by batch number; the late row is dropped."""
+    parts, _ = _rated(spark, d)
+    path = _stepwise(spark, "rates", parts, lambda s, path, state: flows.upsert(flows.finding_rates(s, "at", ["rule"], "1 hour", delay="2 hours"), path, state))
+    return _naive(flows.latest(spark, path, ["window_start", "window_end", "rule"]), "window_start", "window_end")
+
+
+@query("r6_rates_with_late", f"""
+SELECT window_start, window_end, rule, n, false AS late FROM ({RATE})
+UNION ALL SELECT TIMESTAMP '2024-01-01 00:30:00', NULL, 'late', 1, true""")
+def r6_late(spark, d):
+    """The same counts without state, with the late row in the side output."""
+    parts, _ = _rated(spark, d)
+    path = _stepwise(spark, "late", parts, lambda s, path, state: flows.rates_with_late(s, path, state, "at", ["rule"], "1 hour", "2 hours"))
+    rates = flows.read_rates(spark, path, ["rule"]).withColumn("late", F.lit(False))
+    late = flows.read_late(spark, path).select(F.col("at").alias("window_start"), F.lit(None).cast("timestamp").alias("window_end"), "rule", F.lit(1).cast("long").alias("n"), F.lit(True).alias("late"))
+    return _naive(rates.unionByName(late), "window_start", "window_end")
+
+
+@query("r6_sessions_stream", """
+WITH o AS (SELECT event_type AS rule, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS s FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY rule ORDER BY ts) AS k FROM o)
+SELECT min(ts) AS session_start, max(ts) + INTERVAL 5 MINUTE AS session_end, rule, count(*) AS n FROM g GROUP BY rule, k""")
+def r6_sessions_stream(spark, d):
+    """Sessions come out when the watermark has passed them; a row far ahead closes the last ones."""
+    parts, last = _rated(spark, d)
+    path = _stepwise(spark, "sessions", [*parts, last], lambda s, path, state: flows.to_parquet(flows.finding_sessions(s, "at", ["rule"], "5 minutes", "2 hours"), path, state))
+    return _naive(spark.read.parquet(path).where("rule IS NOT NULL AND rule <> 'late'"), "session_start", "session_end")
+
+
+TTL_SQL = GUARD_SQL.replace("LEFT JOIN g s ON s.task_id = c.task_id AND s.seq = c.at", "LEFT JOIN g s ON s.task_id = c.task_id AND s.seq = c.at AND c.ts <= s.ts + INTERVAL 12 HOUR").replace(" FROM events), m AS", ", ts FROM events), m AS")
+
+
+@query("r2_retry_guard_ttl", TTL_SQL)
+def r2_ttl(spark, d):
+    return guards.retry_guard(load(spark, d, "events").selectExpr(*_split(G_SPARK), "CAST(ts AS TIMESTAMP) AS at"), TOOLS, event_time="at", ttl="12 hours")
+
+
+@query("r2_retry_guard_ttl_stream", TTL_SQL)
+def r2_ttl_stream(spark, d):
+    """States end 12 hours after their record; three micro-batches, timers remove ended states."""
+    parts, _ = _thirds(spark, d, [*_split(G_SPARK), "CAST(ts AS TIMESTAMP) AS at"])
+    path = _stepwise(spark, "guard-ttl", parts, lambda s, path, state: flows.to_parquet(guards.retry_guard_stream(s, TOOLS, "at", "12 hours", "1 hour"), path, state))
+    return spark.read.parquet(path)
+
+
+LEDGER_AT = "timestamp_seconds(1704067200 + seq * 3600 + (seq div 5) * 172800)"
+
+
+@query("r3_ledger_ttl_stream", """
+WITH l AS (SELECT workflow_id, seq, prev_hash, entry_hash, sha256(concat(workflow_id, '~', seq, '~', payload)) AS expected, lag(entry_hash) OVER w AS last, seq // 5 > lag(seq) OVER w // 5 AS ended FROM (SELECT DISTINCT workflow_id, seq, payload, prev_hash, entry_hash FROM v_ledger) WINDOW w AS (PARTITION BY workflow_id ORDER BY seq))
+SELECT workflow_id, seq, 'chain_mismatch' AS reason FROM l WHERE prev_hash <> CASE WHEN last IS NULL OR ended THEN repeat('0', 64) ELSE last END
+UNION ALL SELECT workflow_id, seq, 'tampered' FROM l WHERE entry_hash <> expected""")
+def r3_ttl(spark, d):
+    """A workflow without entries for a day is forgotten, here after every fifth entry; three micro-batches."""
+    ledger = view(spark, d, "v_ledger").select("workflow_id", "seq", "payload", "prev_hash", "entry_hash").distinct().withColumn("at", F.expr(LEDGER_AT))
+    parts = [ledger.where(c) for c in ("seq < 4", "seq >= 4 AND seq < 7", "seq >= 7")]
+    path = _stepwise(spark, "ledger-ttl", parts, lambda s, path, state: flows.to_parquet(guards.ledger_stream(s, "at", "1 day", "1 hour"), path, state))
+    return spark.read.parquet(path)
+
+
 # ---- SQL functions -----------------------------------------------------------------------------
 @query("sql_color_functions", f"""
 SELECT token_id, printf('#%02X%02X%02X', r, g, b) AS hex, {pr(lum('r', 'g', 'b'), 8)} AS luminance, {pr(ratio(lum('r', 'g', 'b'), lum('b', 'r', 'g')), 6)} AS ratio, {MODE.format(lum('r', 'g', 'b'))} AS mode, g AS green FROM v_colors""")

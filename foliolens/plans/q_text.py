@@ -12,7 +12,7 @@ from ..operators import text as ot
 from .q_layout import _split
 from .registry import query
 from .sqltext import pr
-from .views import VIEW_SQL, _BUILDERS, kana, load, view
+from .views import VIEW_SQL, _BUILDERS, kana, load, text_rows, view
 
 NL = "chr(10)"
 
@@ -28,7 +28,7 @@ PHRASES = [(". e", "できます。必要なら、e"), (". l", "です。これ
            (". p", "です。必要であれば p"), (". q", "。qの方 というよりq")]
 JTEXT = chain("lower(text)", PHRASES)
 VIEW_SQL["v_jdocs"] = f"SELECT doc_id, lang, source, {JTEXT} AS text FROM documents"
-_BUILDERS["v_jdocs"] = lambda s, d: load(s, d, "documents").selectExpr("doc_id", "lang", "source", f"{JTEXT} AS text")
+_BUILDERS["v_jdocs"] = lambda s, d: text_rows(s, d, "documents", "doc_id").selectExpr("doc_id", "lang", "source", f"{JTEXT} AS text")
 
 # corpus texts with Markdown structure
 MARKS = [(chr(10) + "E", "\n```\nE"), ("\nL", "\n~~~~ x\nL"), ("\nA", "\n> A"), ("\nD", "\n| D |\nD"), ("\nT", "\n- T"), ("\nS", "\n````\nS"), ("\nU", "\n   ~~~~~  \nU"), ("\nW", "\n## W"), ("\nO", "\nMEDIA: O"),
@@ -37,7 +37,7 @@ MTEXT = "text"
 for _old, _new in MARKS:
     MTEXT = f"replace({MTEXT}, '{_old}', '{_new}')"
 VIEW_SQL["v_mdocs"] = f"SELECT doc_id, {MTEXT} AS text FROM documents"
-_BUILDERS["v_mdocs"] = lambda s, d: load(s, d, "documents").selectExpr("doc_id", f"{MTEXT.replace(chr(10), chr(92) + 'n')} AS text")
+_BUILDERS["v_mdocs"] = lambda s, d: text_rows(s, d, "documents", "doc_id").selectExpr("doc_id", f"{MTEXT.replace(chr(10), chr(92) + 'n')} AS text")
 
 
 def lines_sql(src: str) -> str:
@@ -478,7 +478,7 @@ DECODED = "replace(replace(replace(replace(raw, '&copy;', '©'), '&middot;', '·
 SELECT page_id, pos, kind, tag, raw, CASE WHEN kind = 'text' THEN CASE WHEN lag(tag) OVER (PARTITION BY page_id ORDER BY pos) IN ('script', 'style') AND lag(kind) OVER (PARTITION BY page_id ORDER BY pos) = 'start' THEN raw
   ELSE regexp_replace({DECODED}, '&amp$', '&') END END AS text FROM v_html_tokens""")
 def h1(spark, d):
-    return ht.html_tokens(load(spark, d, "pages")).drop("attrs")
+    return ht.html_tokens(text_rows(spark, d, "pages", "page_id")).drop("attrs")
 
 
 ATTRS = r"""SELECT page_id, pos, tag, unnest(regexp_extract_all(regexp_replace(raw, '^<[A-Za-z][^\s/>]*', ''), '([a-zA-Z-]+)="([^"]*)"', 1)) AS name, unnest(regexp_extract_all(regexp_replace(raw, '^<[A-Za-z][^\s/>]*', ''), '([a-zA-Z-]+)="([^"]*)"', 2)) AS value FROM v_html_tokens WHERE kind IN ('start', 'void')"""
@@ -486,7 +486,7 @@ ATTRS = r"""SELECT page_id, pos, tag, unnest(regexp_extract_all(regexp_replace(r
 
 @query("h1_html_attributes", ATTRS)
 def h1_attrs(spark, d):
-    tokens = ht.html_tokens(load(spark, d, "pages")).where("attrs IS NOT NULL")
+    tokens = ht.html_tokens(text_rows(spark, d, "pages", "page_id")).where("attrs IS NOT NULL")
     return tokens.select("page_id", "pos", "tag", F.inline("attrs"))
 
 
@@ -498,7 +498,7 @@ VOID = ", ".join(f"'{t}'" for t in ht.VOID_TAGS)
 @query("h2_tag_policy", f"""
 SELECT page_id, pos, tag, CASE WHEN kind = 'decl' THEN 'declaration' WHEN tag IN ({FORB}) THEN 'forbidden' ELSE 'unsupported' END AS reason FROM v_html_tokens WHERE kind = 'decl' OR (kind IN ('start', 'void') AND (tag IN ({FORB}) OR tag NOT IN ({ALLOW})))""")
 def h2(spark, d):
-    return ht.tag_policy(ht.html_tokens(load(spark, d, "pages")))
+    return ht.tag_policy(ht.html_tokens(text_rows(spark, d, "pages", "page_id")))
 
 
 # plain, numeric and named spellings of one script address
@@ -510,7 +510,28 @@ UNSAFE_HTML = ("replace(replace(html, '<div class=', '<div onClick=\"x\" class='
 WITH t AS (SELECT page_id, pos, tag, name, value FROM ({ATTRS})), dv AS (SELECT page_id, pos, tag FROM t WHERE tag = 'div' AND name = 'class')
 SELECT page_id, pos, tag, 'onclick' AS name, 'event_handler' AS reason FROM dv UNION ALL SELECT page_id, pos, tag, name, 'javascript_url' FROM t WHERE name = 'href' AND starts_with(value, '/th')""")
 def h3(spark, d):
-    return ht.attr_policy(ht.html_tokens(load(spark, d, "pages").withColumn("html", F.expr(UNSAFE_HTML))))
+    return ht.attr_policy(ht.html_tokens(text_rows(spark, d, "pages", "page_id").withColumn("html", F.expr(UNSAFE_HTML))))
+
+
+REFERENCES = {"&#128;": "€", "a&#1;b": "ab", "java&#x0B;script": "javascript", "&#0;&#xD800;&#1114112;": "\ufffd\ufffd\ufffd", "&#x92;&amp;&#127;": "’&", "&#129;|&#xFFFE;|&#9;": "\x81||\t", "&notit;&copy&bogus;": "¬it;©&bogus;"}
+
+
+@query("h1_references", "SELECT page_id, CASE CAST(page_id % 7 AS INT) " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(REFERENCES.values())) + " END AS text FROM pages")
+def h1_references(spark, d):
+    piece = F.element_at(F.array(*map(F.lit, REFERENCES)), (F.col("page_id") % 7 + 1).cast("int"))
+    tokens = ht.html_tokens(text_rows(spark, d, "pages", "page_id").select("page_id", F.concat(F.lit("<p>"), piece, F.lit("</p>")).alias("html")))
+    return tokens.where("kind = 'text'").select("page_id", "text")
+
+
+HIDDEN = "java&#1;script:x", "java&#x0B;script:x", "&#x1F;javascript:x", "javascript&#127;:x", "java&#32;script:x"
+
+
+@query("h3_hidden_addresses", "SELECT page_id, CAST(1 AS INT) AS pos, 'a' AS tag, 'href' AS name, 'javascript_url' AS reason FROM pages WHERE page_id % 5 < 4")
+def h3_hidden(spark, d):
+    """Script addresses with references that vanish; a blank inside makes it no script."""
+    piece = F.element_at(F.array(*map(F.lit, HIDDEN)), (F.col("page_id") % 5 + 1).cast("int"))
+    pages = text_rows(spark, d, "pages", "page_id").select("page_id", F.concat(F.lit("<p><a href=\""), piece, F.lit("\">x</a></p>")).alias("html"))
+    return ht.attr_policy(ht.html_tokens(pages)).select("page_id", "pos", "tag", "name", "reason")
 
 
 @query("h4_tag_balance", f"""
@@ -520,13 +541,13 @@ w AS (SELECT page_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS st, 0 AS
   FROM w JOIN t ON t.page_id = w.page_id AND t.k = w.k + 1)
 SELECT page_id, arg_max(wrong, k) AS mismatched, CAST(arg_max(len(st), k) AS INT) AS unclosed, arg_max(wrong, k) = 0 AND arg_max(len(st), k) = 0 AS balanced FROM w GROUP BY 1""")
 def h4(spark, d):
-    return ht.tag_balance(load(spark, d, "pages"))
+    return ht.tag_balance(text_rows(spark, d, "pages", "page_id"))
 
 
-EDITED = "CASE WHEN page_id % 5 = 0 THEN replace(html, '<nav>', '<nav id=\"n\">') WHEN page_id % 5 = 1 THEN replace(html, '</p>', ' more</p>') WHEN page_id % 5 = 2 THEN replace(html, 'href=\"/', 'href=\"&#47;') ELSE html END"
+EDITED = "CASE WHEN page_id % 5 = 0 THEN replace(html, '<nav>', '<nav id=\"n\">') WHEN page_id % 5 = 1 THEN replace(html, '</p>', ' more</p>') WHEN page_id % 5 = 2 THEN replace(html, 'href=\"/', 'href=\"&#47;') WHEN page_id % 5 = 3 THEN replace(html, 'href=\"/', 'href=\"&#x1;/&#11;') ELSE html END"
 
 
 @query("h5_structural_diff", "SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'removed' ELSE 'changed' END AS change FROM pages WHERE page_id % 11 = 0 OR (page_id % 5 = 0 AND contains(html, '<nav>'))")
 def h5(spark, d):
-    pages = load(spark, d, "pages")
+    pages = text_rows(spark, d, "pages", "page_id")
     return ht.structural_diff(pages, pages.where("page_id % 11 <> 0").withColumn("html", F.expr(EDITED)))

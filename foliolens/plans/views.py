@@ -19,6 +19,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_rows(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table of texts dealt over all tasks: much work per row, while a file may be one split (one row group) of any number of rows."""
+    return load(spark, sf_dir, name).repartition(*keys)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _BUILDERS[name](spark, sf_dir)
 
@@ -167,7 +172,7 @@ def kana(column: str) -> str:
 
 
 VIEW_SQL["v_kana"] = f"SELECT conv_id, turn, role, {kana('text')} AS text FROM conversations"
-_BUILDERS["v_kana"] = lambda spark, d: load(spark, d, "conversations").selectExpr(
+_BUILDERS["v_kana"] = lambda spark, d: text_rows(spark, d, "conversations", "conv_id", "turn").selectExpr(
     "conv_id", "turn", "role", f"{kana('text')} AS text")
 
 

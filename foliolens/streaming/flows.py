@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint folder of the session.
-
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where it
-    is unset, as in tests, a temporary one is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..session import work_folder
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -25,10 +16,23 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
 
 
 def dedupe_stream(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 hour") -> DataFrame:
-    """First of each key among events that are at most ``delay`` apart; older state is dropped."""
+    """First arrival of each key among events that are at most ``delay`` apart; older state is dropped."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def keep_first(rows: DataFrame, keys: list[str], event_time: str, apart: str, order: list[str], delay: str | None = None) -> DataFrame:
+    """The first row by event time (ties by ``order``) of each key and burst: rows of a key at most ``apart`` from the one before.
+
+    Whole rows with all columns. On a stream (``delay``: how late rows may come) a burst comes out when the watermark has
+    passed its end, so an early row that arrives late still counts; rows later than that are dropped. The first row is a
+    minimum per session, which combines before the shuffle.
+    """
+    df = rows.withWatermark(event_time, delay) if delay else rows
+    columns = rows.columns
+    least = F.min_by(F.struct(*columns), F.struct(event_time, *order)).alias("_first")
+    return df.groupBy(F.session_window(event_time, apart).alias("_span"), *[F.col(k).alias(f"_key_{k}") for k in keys]).agg(least).select("_first.*")
+
+
 def finding_rates(findings: DataFrame, event_time: str, by: list[str], window: str, slide: str | None = None, delay: str | None = None) -> DataFrame:
     """Counts per rule and event-time window; with ``delay``, later rows are dropped on a stream."""
     df = findings.withWatermark(event_time, delay) if delay else findings
@@ -56,11 +60,66 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
             .trigger(availableNow=True).start())
 
 
-def upsert_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch under its own number, so a repeated batch overwrites itself."""
+def upsert(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Write what each micro-batch changes under the number of the batch, so a repeated batch overwrites itself; ``latest`` reads it."""
+    return (stream.writeStream.foreachBatch(upsert_batch(path)).outputMode(mode).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def upsert_batch(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return write
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last written row of each key in a folder of ``upsert``."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*") if values else rows.select(*keys).distinct()
+
+
+def rates_batch(path: str, event_time: str, by: list[str], window: str, delay: str) -> Callable[[DataFrame, int], None]:
+    """Batch function that counts rows on time by window and keeps late rows aside.
+
+    A row is late if it is older than the watermark: the greatest event time of earlier batches less ``delay``. Per batch, under
+    its number, are written: ``rows`` (split by ``late``), from these its counts (``rates``) and its greatest event time
+    (``high``). Earlier batches only are read, so a repeated batch writes the same again.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        high = None
+        if batch_id:
+            earlier = spark.read.schema("high timestamp, batch int").parquet(f"{path}/high").where(F.col("batch") < batch_id)
+            high = earlier.agg((F.max("high") - F.expr(f"INTERVAL {delay}")).alias("w")).first()["w"]
+        late = F.coalesce(F.col(event_time) < F.lit(high), F.lit(False)) if high is not None else F.lit(False)
+        part = f"{path}/rows/batch={batch_id}"
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(part)
+        done = spark.read.schema(batch.schema.add("late", "boolean") if "late" not in batch.columns else batch.schema).parquet(part)
+        finding_rates(done.where(~F.col("late")), event_time, by, window).write.mode("overwrite").parquet(f"{path}/rates/batch={batch_id}")
+        done.agg(F.max(event_time).alias("high")).write.mode("overwrite").parquet(f"{path}/high/batch={batch_id}")
+    return write
+
+
+def rates_with_late(stream: DataFrame, path: str, checkpoint: str, event_time: str, by: list[str], window: str, delay: str) -> StreamingQuery:
+    """Counts by window, exactly once, and a side output of late rows; ``read_rates`` and ``read_late`` give both."""
+    return (stream.writeStream.foreachBatch(rates_batch(path, event_time, by, window, delay)).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_rates(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    return spark.read.parquet(f"{path}/rates").groupBy("window_start", "window_end", *by).agg(F.sum("n").alias("n"))
+
+
+def read_late(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").where(F.col("late").cast("boolean")).drop("late", "batch")
+
+
+def in_steps(parts: list[DataFrame], folder: str, start: Callable[[], StreamingQuery]) -> None:
+    """Write tables to the folder of a stream one after the other; after each, ``start`` runs the stream over it from its checkpoint."""
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        start().awaitTermination()
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
