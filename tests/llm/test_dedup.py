@@ -322,7 +322,7 @@ def test_simhash_has_a_block_for_each_class_of_features(spark):
         assert got[ids["a"], 0][f"s{c}"] % 2**32 == bits
     same = sum(got[ids["a"], 0][f"s{c}"] == got[ids["b"], 0][f"s{c}"] for c in range(line_dedup.BLOCKS))
     assert same >= line_dedup.BLOCKS - 2
-    assert tuple(got[ids["d"], 0])[2:10] == tuple(got[ids["a"], 0])[2:10] and (ids["c"], 1) in got and (ids["c"], 0) not in got
+    assert sum(x == y for x, y in zip(tuple(got[ids["d"], 0])[2:10], tuple(got[ids["a"], 0])[2:10], strict=True)) >= line_dedup.BLOCKS - 1 and (ids["c"], 1) in got and (ids["c"], 0) not in got
 
 
 def test_line_dedup_strip(spark):
