@@ -129,5 +129,32 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], band: Column,
     return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, band)
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, weight: Column, fractions: list[float], band: Column) -> DataFrame:
+    """Exact weighted quantiles per key as ``q0``, ``q1``, ...: between two values they are interpolated by position.
+
+    Rows are counted by (key, value), which combines before the shuffle; counts are
+    accumulated in bands of the value and each quantile is picked by rank. Nulls and weights of 0 do not count.
+    """
+    counts = df.where(F.col(value).isNotNull() & (weight > 0)).groupBy(*keys, value).agg(F.sum(weight).cast("long").alias("_n"))
+    upto = running(counts, keys, [value], {"_upto": ("sum", F.col("_n"))}, band)
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    rows, picks, out = upto.join(total, keys), [], []
+    for i, p in enumerate(fractions):
+        at = F.lit(p) * (F.col("_total") - 1)
+        picks += [F.min(F.when(F.col("_upto") > F.floor(at), F.col(value))).alias(f"_lo{i}"), F.min(F.when(F.col("_upto") > F.ceil(at), F.col(value))).alias(f"_hi{i}")]
+        low, high = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
+        out.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(f"q{i}"))
+    return rows.groupBy(*keys).agg(*picks, F.max("_total").alias("_total")).select(*keys, *out)
+
+
+def medians(df: DataFrame, keys: list[str], bands: dict[str, float]) -> DataFrame:
+    """Exact medians per key of several columns, as ``<name>_median``; ``bands`` gives each column's band width."""
+    measure = F.explode(F.array(*[F.struct(F.lit(n).alias("_measure"), F.col(n).cast("double").alias("_value")) for n in bands]))
+    rows = df.select(*keys, measure.alias("_m")).select(*keys, "_m.*")
+    width = F.coalesce(*[F.when(F.col("_measure") == n, F.lit(float(w))) for n, w in bands.items()])
+    found = quantiles(rows, [*keys, "_measure"], "_value", F.lit(1), [0.5], F.floor(F.col("_value") / width))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_measure") == n, F.col("q0"))).alias(n + "_median") for n in bands])
+
+
 def equal_columns(a: str, b: str, names: list[str]) -> Column:
     return all_of([F.col(a + n).eqNullSafe(F.col(b + n)) for n in names])

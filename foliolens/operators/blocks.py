@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import skew
 from ..functions.common import prefixed, py_round, reasons
-from ..session import work_folder
+from ..session import cut_lineage
 
 EPS = 1e-9
 # fixed values: default minimum gaps in points by role
@@ -68,17 +68,14 @@ def closure(blocks: DataFrame) -> DataFrame:
     has a row per block and ancestor. Rounds are checkpointed, which keeps the
     plan short and survives lost executors.
     """
-    context = blocks.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(work_folder(blocks.sparkSession, "closure"))
-    reached = blocks.where(F.col("parent_id").isNotNull()).select(
-        F.col("block_id").alias("node"), F.col("parent_id").alias("ancestor")).distinct().checkpoint()
+    reached = cut_lineage(blocks.where(F.col("parent_id").isNotNull()).select(
+        F.col("block_id").alias("node"), F.col("parent_id").alias("ancestor")).distinct())
     fresh = reached
     while not fresh.isEmpty():
         step = reached.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
         longer = fresh.join(step, "ancestor").select("node", F.col("further").alias("ancestor")).distinct()
-        fresh = longer.join(reached, ["node", "ancestor"], "left_anti").checkpoint()
-        reached = reached.unionByName(fresh).checkpoint()
+        fresh = cut_lineage(longer.join(reached, ["node", "ancestor"], "left_anti"))
+        reached = cut_lineage(reached.unionByName(fresh))
     return reached
 
 

@@ -123,16 +123,16 @@ def region_contrast(hist: DataFrame, regions: DataFrame) -> DataFrame:
     rated = back.select("region_id", col.contrast(("fr", "fg", "fb"), ("r", "g", "b")).alias("ratio"), "n",
                         F.when(enough, F.col("n")).otherwise(F.lit(0)).alias("kept"))
     measured = rated.groupBy("region_id").agg(
-        F.sum("kept").alias("kept_n"), F.min(F.when(F.col("kept") > 0, F.col("ratio"))).alias("lo_kept"), F.min("ratio").alias("lo_all"),
-        F.percentile("ratio", [0.05, 0.5], F.col("kept")).alias("p_kept"), F.percentile("ratio", [0.05, 0.5], F.col("n")).alias("p_all"))
+        F.sum("kept").alias("kept_n"), F.min(F.when(F.col("kept") > 0, F.col("ratio"))).alias("lo_kept"), F.min("ratio").alias("lo_all"))
     some = F.col("kept_n") > 0
-    pct = F.when(some, F.col("p_kept")).otherwise(F.col("p_all"))
+    weighed = rated.join(measured.select("region_id", "kept_n"), "region_id")
+    ranked = skew.quantiles(weighed, ["region_id"], "ratio", F.when(some, F.col("kept")).otherwise(F.col("n")), [0.05, 0.5], F.floor("ratio"))
     ok = F.col("fore_n").isNotNull() & F.col("back_n").isNotNull()
-    return spec.select("region_id").join(totals, "region_id", "left").join(measured, "region_id", "left").select(
+    return spec.select("region_id").join(totals, "region_id", "left").join(measured, "region_id", "left").join(ranked, "region_id", "left").select(
         "region_id", F.when(ok, F.col("fore_n")).alias("foreground_n"),
         F.when(ok, F.when(some, F.col("kept_n")).otherwise(F.col("back_n"))).alias("background_n"),
         F.when(ok, py_round(F.when(some, F.col("lo_kept")).otherwise(F.col("lo_all")), 6)).alias("min_ratio"),
-        F.when(ok, py_round(pct[0], 6)).alias("p05_ratio"), F.when(ok, py_round(pct[1], 6)).alias("median_ratio"),
+        F.when(ok, py_round(F.col("q0"), 6)).alias("p05_ratio"), F.when(ok, py_round(F.col("q1"), 6)).alias("median_ratio"),
         F.when(ok, "measured").otherwise("not_verified").alias("status"))
 
 
@@ -261,6 +261,7 @@ def binarize_stats(hist: DataFrame, threshold: int) -> DataFrame:
 
 
 def half_scale(width: Column, height: Column) -> list[Column]:
+    """Width and height of an image at half its scale, at least one pixel."""
     return [F.greatest(F.lit(1), F.floor(width / 2)).alias("half_width"), F.greatest(F.lit(1), F.floor(height / 2)).alias("half_height")]
 
 

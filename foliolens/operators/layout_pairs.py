@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import skew
 from ..functions.common import PAGE_KEY, prefixed, py_round
+from ..session import cut_lineage
 
 PARALLEL_SIZE, PARALLEL_EDGE, PARALLEL_EPS, PARALLEL_MIN_GAP = 1.0, 1.0, 0.01, 8.0
 
@@ -246,29 +247,42 @@ def match_table_row(rows: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def coverage_match(declared: DataFrame, actual: DataFrame, tolerance: float = 0.75) -> DataFrame:
-    """Declared against actual elements of one kind, page and edge basis; both leftovers are findings.
+    """Declared against actual elements of one kind, page and edge basis, one to one; both leftovers are findings.
 
-    Elements with one signature are told apart by their occurrence number
-    (``ord`` gives the order). Returns element, its match and a status.
+    Elements with one signature are told apart by their occurrence number: that of a column ``occurrence`` of the declared
+    ones where it is given, else their number by ``ord``. In order of ``ord`` a declared element takes its actual one if
+    exactly one is near it that no earlier element has taken; otherwise it is missing or ambiguous. Returns element, its match and a status.
+
+    Elements that share no actual one do not depend on each other, so each round decides all that come first for each of
+    their actual ones; the number of rounds is the longest chain of elements that share some.
     """
     keys = [*PAGE_KEY, "kind", "edge_basis"]
 
     def numbered(df: DataFrame, p: str) -> DataFrame:
-        signed = df.select(*keys, "element_id", "ord", *[py_round(F.col(e), 6).alias("s_" + e) for e in geo.EDGES],
+        given = F.col("occurrence").cast("long") if "occurrence" in df.columns else F.lit(None).cast("long")
+        signed = df.select(*keys, "element_id", "ord", given.alias("_given"), *[py_round(F.col(e), 6).alias("s_" + e) for e in geo.EDGES],
                            *geo.EDGES)
         sig = [*keys, *["s_" + e for e in geo.EDGES]]
         out = skew.number_rows(signed, sig, ["ord", "element_id"], F.floor(F.col("ord") / 65536), "occurrence")
-        return prefixed(out.drop(*["s_" + e for e in geo.EDGES], "ord"), p, [*keys, "occurrence"])
+        out = out.withColumn("occurrence", F.coalesce("_given", "occurrence") if p == "a_" else F.col("occurrence"))
+        return prefixed(out.drop(*["s_" + e for e in geo.EDGES], "_given"), p, [*keys, "occurrence"])
 
     near = F.lit(True)
     for e in geo.EDGES:
         near = near & (F.abs(F.col("a_" + e) - F.col("b_" + e)) <= tolerance)
-    a, b = numbered(declared, "a_"), numbered(actual, "b_")
-    pairs = skew.box_pairs(a, b, [*keys, "occurrence"], pad_x=tolerance, pad_y=tolerance, residual=near)
-    per_declared = pairs.groupBy(*PAGE_KEY, "a_element_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("b_element_id").alias("match_id"))
-    single = per_declared.where(F.col("n") == 1).groupBy(*PAGE_KEY, "match_id").agg(
-        F.min("a_element_id").alias("element_id"))
+    pairs = skew.box_pairs(numbered(declared, "a_"), numbered(actual, "b_"), [*keys, "occurrence"], pad_x=tolerance, pad_y=tolerance, residual=near)
+    own = F.struct("a_ord", "a_element_id")
+    waiting = cut_lineage(pairs.select(*PAGE_KEY, "a_ord", "a_element_id", "b_element_id"))
+    single = waiting.select(*PAGE_KEY, F.col("a_element_id").alias("element_id"), F.col("b_element_id").alias("match_id")).limit(0)
+    while not waiting.isEmpty():
+        first = waiting.groupBy(*PAGE_KEY, "b_element_id").agg(F.min(own).alias("first"))
+        ready = waiting.join(first, [*PAGE_KEY, "b_element_id"]).groupBy(*PAGE_KEY, "a_element_id").agg(
+            F.every(own == F.col("first")).alias("ready"), F.count(F.lit(1)).alias("n"), F.min("b_element_id").alias("match_id")).where("ready")
+        decided = cut_lineage(ready.select(*PAGE_KEY, "a_element_id", F.when(F.col("n") == 1, F.col("match_id")).alias("match_id")))
+        taken = decided.where("match_id IS NOT NULL").select(*PAGE_KEY, F.col("a_element_id").alias("element_id"), "match_id")
+        single = single.unionByName(taken)
+        waiting = cut_lineage(waiting.join(decided, [*PAGE_KEY, "a_element_id"], "left_anti").join(
+            taken.select(*PAGE_KEY, F.col("match_id").alias("b_element_id")), [*PAGE_KEY, "b_element_id"], "left_anti"))
     left = declared.select(*PAGE_KEY, "element_id").join(single, [*PAGE_KEY, "element_id"], "left").select(
         *PAGE_KEY, "element_id", "match_id",
         F.when(F.col("match_id").isNull(), "missing_or_ambiguous").otherwise("matched").alias("status"))

@@ -110,8 +110,11 @@ def artifact_profile(lines: DataFrame, pages: DataFrame, by: list[str] | None =
     per_page = page_profile(lines, pages)
 
     def spread(name: str, digits: int) -> list[Column]:
-        return [py_round(F.min(name), digits).alias(name + "_min"), py_round(F.median(name), digits).alias(name + "_median"),
-                py_round(F.max(name), digits).alias(name + "_max")]
+        return [py_round(F.min(name), digits).alias(name + "_min"), py_round(F.max(name), digits).alias(name + "_max")]
+
+    def with_medians(out: DataFrame, rows: DataFrame, digits: dict[str, int], bands: dict[str, float]) -> DataFrame:
+        middle = skew.medians(rows, by, bands)
+        return out.join(middle.select(*by, *[py_round(F.col(n + "_median"), d).alias(n + "_median") for n, d in digits.items()]), by, "left")
 
     if by != ["artifact_id"]:
         per_page = per_page.join(pages.select(*PAGE_KEY, *by), PAGE_KEY)
@@ -120,11 +123,14 @@ def artifact_profile(lines: DataFrame, pages: DataFrame, by: list[str] | None =
         F.count_if(F.col("rotation") != 0).alias("rotated_pages"), F.count_if(F.col("line_count") == 0).alias("empty_pages"),
         F.sum("line_count").alias("line_total"), F.sum("char_count").alias("char_total"),
         *spread("width", 4), *spread("height", 4), *spread("line_count", 2), *spread("char_count", 2), *spread("coverage", 6))
+    pages_out = with_medians(pages_out, per_page, {"width": 4, "height": 4, "line_count": 2, "char_count": 2, "coverage": 6},
+                             {"width": 64, "height": 64, "line_count": 16, "char_count": 256, "coverage": 0.05})
     nxt = skew.shift(lines, PAGE_KEY, ["y0", "x0", "box_id"], {"next_y0": F.col("y0")}, 1, F.floor(F.col("y0") / BAND))
     if by != ["artifact_id"]:
         nxt = nxt.join(pages.select(*PAGE_KEY, *by), PAGE_KEY)
     nxt = nxt.withColumn("gap", F.col("next_y0") - F.col("y1"))
     lines_out = nxt.groupBy(*by).agg(*spread("gap", 4), *spread("font_size", 4))
+    lines_out = with_medians(lines_out, nxt, {"gap": 4, "font_size": 4}, {"gap": 4, "font_size": 1})
     return pages_out.join(lines_out, by, "left")
 
 
@@ -284,10 +290,14 @@ def font_size_in_region(spans: DataFrame, regions: DataFrame) -> DataFrame:
     """Smallest and median size, and CJK spans, of the spans that meet each region."""
     a = prefixed(regions.select(*PAGE_KEY, "region_id", *geo.EDGES), "a_", PAGE_KEY)
     b = prefixed(spans.select(*PAGE_KEY, "font_size", "has_cjk", *geo.EDGES), "b_", PAGE_KEY)
-    return skew.box_pairs(a, b, PAGE_KEY, residual=geo.intersects("a_", "b_")).groupBy(
-        *PAGE_KEY, F.col("a_region_id").alias("region_id")).agg(
-        F.count(F.lit(1)).alias("span_count"), F.count_if("b_has_cjk").alias("cjk_span_count"),
-        py_round(F.min("b_font_size"), 4).alias("size_min"), py_round(F.median("b_font_size"), 4).alias("size_median"))
+    met = skew.box_pairs(a, b, PAGE_KEY, residual=geo.intersects("a_", "b_")).select(
+        *PAGE_KEY, F.col("a_region_id").alias("region_id"), "b_has_cjk", F.col("b_font_size").alias("size"))
+    # one row per region and size, from which counts, minimum and median all follow
+    sizes = met.groupBy(*PAGE_KEY, "region_id", "size").agg(F.count(F.lit(1)).alias("n"), F.count_if("b_has_cjk").alias("cjk"))
+    key = [*PAGE_KEY, "region_id"]
+    out = sizes.groupBy(*key).agg(F.sum("n").alias("span_count"), F.sum("cjk").alias("cjk_span_count"), py_round(F.min("size"), 4).alias("size_min"))
+    middle = skew.quantiles(sizes, key, "size", F.col("n"), [0.5], F.floor("size"))
+    return out.join(middle, key, "left").select(*key, "span_count", "cjk_span_count", "size_min", py_round(F.col("q0"), 4).alias("size_median"))
 
 
 def coverage_required(lines: DataFrame, declared: DataFrame) -> DataFrame:

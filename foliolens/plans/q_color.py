@@ -254,6 +254,12 @@ def c15(spark, d):
     return oc.binarize_stats(view(spark, d, "v_pixel_hist"), 128)
 
 
+@query("c15_half_scale", "SELECT region_id, greatest(1, count(*) // 2)::BIGINT AS half_width, greatest(1, (sum(n) % 97)::BIGINT // 2)::BIGINT AS half_height FROM v_pixel_hist GROUP BY 1")
+def c15_half(spark, d):
+    sized = view(spark, d, "v_pixel_hist").groupBy("region_id").agg(F.count(F.lit(1)).alias("w"), (F.sum("n") % 97).alias("h"))
+    return sized.select("region_id", *oc.half_scale(F.col("w"), F.col("h")))
+
+
 @query("c16_readback_compare", f"""
 WITH a AS (SELECT region_id, sum(n)::BIGINT AS pixel_n FROM v_pixel_hist WHERE region_id % 19 <> 0 GROUP BY 1), b AS (SELECT region_id, sum(CASE WHEN region_id % 7 = 0 AND b = 32 THEN 0 ELSE n END)::BIGINT AS pixel_n FROM v_pixel_hist WHERE region_id % 23 <> 0 GROUP BY 1)
 SELECT region_id, CASE WHEN a.pixel_n IS NULL THEN 'not_stored' WHEN b.pixel_n IS NULL THEN 'not_measured' ELSE 'measurement_drift' END AS reason FROM a FULL JOIN b USING (region_id) WHERE a.pixel_n IS DISTINCT FROM b.pixel_n""")

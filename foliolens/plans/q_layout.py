@@ -215,25 +215,41 @@ ACTUAL = ("artifact_id, page, CASE WHEN curves = 7 THEN 'other' ELSE kind END AS
 SIG = "PARTITION BY artifact_id, page, kind, edge_basis, x0, y0, x1, y1 ORDER BY ord, element_id"
 
 
-@query("g14_coverage_match", f"""
-WITH dd AS (SELECT *, row_number() OVER ({SIG}) AS occ FROM (SELECT {DECLARED} FROM v_boxes)),
+def coverage_sql(declared: str) -> str:
+    """Declared elements take actual ones in order, page by page."""
+    return f"""
+WITH RECURSIVE dd AS ({declared}),
 aa AS (SELECT *, row_number() OVER ({SIG}) AS occ FROM (SELECT {ACTUAL} FROM v_boxes)),
-pr AS (SELECT a.artifact_id, a.page, a.element_id, min(b.element_id) AS match_id FROM dd a JOIN aa b ON {PAGE}
-  AND a.kind=b.kind AND a.edge_basis=b.edge_basis AND a.occ=b.occ
-  WHERE greatest(abs(a.x0-b.x0), abs(a.y0-b.y0), abs(a.x1-b.x1), abs(a.y1-b.y1)) <= 0.75
-  GROUP BY ALL HAVING count(*) = 1),
-s AS (SELECT artifact_id, page, match_id, min(element_id) AS element_id FROM pr GROUP BY ALL)
-SELECT dd.artifact_id, dd.page, dd.element_id, s.match_id,
-  CASE WHEN s.match_id IS NULL THEN 'missing_or_ambiguous' ELSE 'matched' END AS status
+pr AS (SELECT a.artifact_id, a.page, a.element_id AS d, a.ord, list(b.element_id) AS c FROM dd a JOIN aa b ON {PAGE} AND a.kind=b.kind AND a.edge_basis=b.edge_basis AND a.occ=b.occ
+  WHERE greatest(abs(a.x0-b.x0), abs(a.y0-b.y0), abs(a.x1-b.x1), abs(a.y1-b.y1)) <= 0.75 GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY artifact_id, page ORDER BY ord, d) AS k FROM pr),
+w AS (SELECT artifact_id, page, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS d, CAST(NULL AS VARCHAR) AS m FROM n WHERE k = 1
+  UNION ALL SELECT artifact_id, page, k, CASE WHEN len(f) = 1 THEN list_append(used, f[1]) ELSE used END, d, CASE WHEN len(f) = 1 THEN f[1] END
+  FROM (SELECT n.artifact_id, n.page, n.k, n.d, w.used, list_filter(n.c, lambda x: NOT list_contains(w.used, x)) AS f FROM w JOIN n ON n.artifact_id = w.artifact_id AND n.page = w.page AND n.k = w.k + 1)),
+s AS (SELECT artifact_id, page, d AS element_id, m AS match_id FROM w WHERE m IS NOT NULL)
+SELECT dd.artifact_id, dd.page, dd.element_id, s.match_id, CASE WHEN s.match_id IS NULL THEN 'missing_or_ambiguous' ELSE 'matched' END AS status
 FROM dd LEFT JOIN s ON dd.artifact_id=s.artifact_id AND dd.page=s.page AND dd.element_id=s.element_id
-UNION ALL
-SELECT aa.artifact_id, aa.page, NULL, aa.element_id, 'undeclared' FROM aa
-WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.artifact_id=aa.artifact_id AND s.page=aa.page AND s.match_id=aa.element_id)""")
+UNION ALL SELECT aa.artifact_id, aa.page, NULL, aa.element_id, 'undeclared' FROM aa WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.artifact_id=aa.artifact_id AND s.page=aa.page AND s.match_id=aa.element_id)"""
+
+
+@query("g14_coverage_match", coverage_sql(f"SELECT *, row_number() OVER ({SIG}) AS occ FROM (SELECT {DECLARED} FROM v_boxes)"))
 def g14(spark, d):
     boxes = view(spark, d, "v_boxes")
     return lp.coverage_match(boxes.selectExpr(*_split(DECLARED)), boxes.selectExpr(*_split(ACTUAL)))
 
 
+# every third element is declared twice, a little apart and with its occurrence
+TWICE = ("artifact_id, page, kind, 'bbox' AS edge_basis, concat('d', box_id, '-', k) AS element_id, 2 * line_index + k AS ord, CAST(floor(x0 / 20) * 20 AS DOUBLE) + 0.5 * k AS x0, y0, "
+         "CAST(floor(x0 / 20) * 20 + 50 AS DOUBLE) AS x1, y1, CASE WHEN k = 1 OR line_index % 2 = 0 THEN 1 END AS occurrence")
+
+
+@query("g14_declared_twice", coverage_sql(f"SELECT * EXCLUDE (occurrence), coalesce(occurrence, row_number() OVER ({SIG})) AS occ FROM (SELECT {TWICE} FROM v_boxes, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR line_index % 3 = 0)"))
+def g14_twice(spark, d):
+    boxes = view(spark, d, "v_boxes")
+    twice = boxes.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where("k = 0 OR line_index % 3 = 0")
+    return lp.coverage_match(twice.selectExpr(*_split(TWICE)), boxes.selectExpr(*_split(ACTUAL)))
+
+
 @query("g15_union_box", f"""
 SELECT artifact_id, page, block_id, {pr('min(x0)', 3)} AS x0, {pr('min(y0)', 3)} AS y0, {pr('max(x1)', 3)} AS x1,
   {pr('max(y1)', 3)} AS y1, count(*) AS n FROM v_boxes GROUP BY artifact_id, page, block_id""")

@@ -79,6 +79,15 @@ def s6(spark, d):
     return sinks.assert_body_free(rows).select("event_id")
 
 
+@query("s6_nested_keys", "SELECT event_id FROM events WHERE event_type = 'view' OR event_id % 7 = 0")
+def s6_nested(spark, d):
+    """Keys inside maps in arrays of structs, and inside maps of maps."""
+    key = "IF(event_type = 'view', 'TEXT', event_type)"
+    rows = load(spark, d, "events").selectExpr("event_id", f"array(named_struct('facts', map('a', 1)), named_struct('facts', map({key}, 2)), NULL) AS items",
+                                               "map('outer', map(IF(event_id % 7 = 0, 'body', 'none'), 1), 'other', NULL) AS more")
+    return sinks.assert_body_free(rows).select("event_id")
+
+
 @query("s7_redact_to_evidence", "SELECT doc_id, lang, length(text) AS text_chars, sha256(text) AS text_sha256 FROM documents")
 def s7(spark, d):
     return sinks.to_evidence(load(spark, d, "documents").select("doc_id", "lang", "text"), ["text"])

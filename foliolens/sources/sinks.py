@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.common import any_of
 from ..operators.findings import set_hash
 
 # fixed values: field names that may not appear in evidence
@@ -50,17 +51,29 @@ def forbidden_columns(df: DataFrame, forbidden: list[str] | None = None) -> list
     return [path for path, name, dtype in _walk("", df.schema) if name.lower() in banned or isinstance(dtype, T.BinaryType)]
 
 
+def _forbidden_key(value: Column, dtype: T.DataType, banned: list[str]) -> Column | None:
+    """Whether a value holds a forbidden map key at any depth; None where its type holds no map."""
+    if isinstance(dtype, T.StructType):
+        parts = [p for p in (_forbidden_key(value[f.name], f.dataType, banned) for f in dtype.fields) if p is not None]
+        return F.coalesce(any_of(parts), F.lit(False)) if parts else None
+    if isinstance(dtype, T.ArrayType):
+        inner = lambda x: _forbidden_key(x, dtype.elementType, banned)
+        return F.coalesce(F.exists(value, inner), F.lit(False)) if inner(F.lit(None)) is not None else None
+    if isinstance(dtype, T.MapType):
+        parts = [F.exists(F.map_keys(value), lambda k: F.lower(k).isin(banned))] if isinstance(dtype.keyType, T.StringType) else []
+        if _forbidden_key(F.lit(None), dtype.valueType, banned) is not None:
+            parts.append(F.exists(F.map_values(value), lambda v: _forbidden_key(v, dtype.valueType, banned)))
+        return F.coalesce(any_of([F.coalesce(p, F.lit(False)) for p in parts]), F.lit(False)) if parts else None
+    return None
+
+
 def assert_body_free(df: DataFrame, forbidden: list[str] | None = None) -> DataFrame:
-    """Fail on a forbidden field; return the rows whose top-level map columns hold a forbidden key."""
+    """Fail on a forbidden field; return the rows that hold a forbidden map key, at any depth of structs, arrays and maps."""
     found = forbidden_columns(df, forbidden)
     if found:
         raise ValueError("evidence holds body fields: " + ", ".join(found))
-    banned = [f.lower() for f in (forbidden or FORBIDDEN_FIELDS)]
-    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType) and isinstance(f.dataType.keyType, T.StringType)]
-    bad = F.lit(False)
-    for name in maps:
-        bad = bad | F.coalesce(F.exists(F.map_keys(name), lambda k: F.lower(k).isin(banned)), F.lit(False))
-    return df.where(bad)
+    bad = _forbidden_key(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema, [f.lower() for f in (forbidden or FORBIDDEN_FIELDS)])
+    return df.where(bad if bad is not None else F.lit(False))
 
 
 def to_evidence(df: DataFrame, columns: list[str]) -> DataFrame:
