@@ -211,3 +211,62 @@ def test_tampering_one_field_gives_one_finding(spark):
     assert ev.ledger_check(spark.createDataFrame(rows, cols), band=2).count() == 0
     rows[3][3] = "changed"
     assert [(r.seq, r.reason) for r in ev.ledger_check(spark.createDataFrame(rows, cols), band=2).collect()] == [(3, "tampered")]
+
+
+# ---- one-to-one coverage, quantiles, body-free evidence ------------------------------------------
+def coverage(spark, declared, actual):
+    """(id, ord, x, occurrence) and (id, ord, x): elements of 10 x 10 at (x, 0) of one page; match and status by id."""
+    from foliolens.operators import layout_pairs as lp
+    edges = "x0 double, y0 double, x1 double, y1 double"
+    head = "artifact_id string, page int, kind string, edge_basis string, element_id string, ord int, "
+    box = lambda i, o, x: ("a", 1, "line", "bbox", i, o, float(x), 0.0, x + 10.0, 10.0)
+    d = spark.createDataFrame([(*box(i, o, x), occ) for i, o, x, occ in declared], head + edges + ", occurrence int")
+    a = spark.createDataFrame([box(*r) for r in actual], head + edges)
+    got = lp.coverage_match(d, a).collect()
+    return {r.element_id: r.match_id for r in got if r.element_id}, {r.match_id for r in got if r.status == "undeclared"}
+
+
+def test_second_declared_of_one_actual_is_missing(spark):
+    assert coverage(spark, [("d1", 1, 0, None), ("d2", 2, 0.5, None)], [("x", 1, 0.25)]) == ({"d1": "x", "d2": None}, set())
+
+
+def test_taken_elements_resolve_what_was_ambiguous(spark):
+    # d1 sees x and y, d2 only x, d3 sees both again when x is taken
+    matches, left = coverage(spark, [("d1", 1, 0.6, None), ("d2", 2, -0.5, None), ("d3", 3, 0.65, None)], [("x", 1, 0), ("y", 2, 1.2)])
+    assert matches == {"d1": None, "d2": "x", "d3": "y"} and left == set()
+
+
+def test_declared_occurrence_goes_before_the_order(spark):
+    actual = [("x1", 1, 5), ("x2", 2, 5)]
+    assert coverage(spark, [("d1", 1, 5, 2), ("d2", 2, 5, 1)], actual) == ({"d1": "x2", "d2": "x1"}, set())
+    assert coverage(spark, [("d1", 1, 5, 3), ("d2", 2, 5, None)], actual) == ({"d1": None, "d2": "x2"}, {"x1"})
+
+
+def test_long_chain_of_shared_elements_is_decided_in_order(spark):
+    declared = [(f"d{i:02}", i, i * 1.0, None) for i in range(12)]
+    actual = [(f"x{i:02}", i, i * 1.0 + 0.5) for i in range(11)]
+    want, free = {}, {i: x for i, _, x in actual}
+    for i, _, x, _ in declared:
+        near = [k for k, v in free.items() if abs(v - x) <= 0.75]
+        want[i] = near[0] if len(near) == 1 else None
+        if want[i]:
+            free.pop(want[i])
+    assert coverage(spark, declared, actual) == (want, set(free))
+
+
+def test_quantiles_equal_the_built_in_ones(spark):
+    import random
+    from foliolens.functions import skew
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, float(rng.randrange(-40, 40)), rng.random() * 9]), rng.randrange(0, 4)) for k in "abc" for _ in range(400)] + [("one", 7.5, 1), ("none", 1.0, 0)]
+    df = spark.createDataFrame(rows, "k string, v double, w int")
+    got = {r.k: (r.q0, r.q1, r.q2) for r in skew.quantiles(df, ["k"], "v", F.col("w"), [0.05, 0.5, 1.0], F.floor(F.col("v") / 3)).collect()}
+    want = {r.k: tuple(r.p) for r in df.where("w > 0 AND v IS NOT NULL").groupBy("k").agg(F.percentile("v", [0.05, 0.5, 1.0], F.col("w")).alias("p")).collect()}
+    assert got == want and "none" not in got
+
+
+def test_forbidden_keys_are_found_at_any_depth(spark):
+    from foliolens.sources import sinks
+    rows = spark.sql("""SELECT * FROM VALUES (1, array(named_struct('m', map('a', map('Body', 1)))), map(1, 'x')), (2, array(named_struct('m', map('a', map('b', 1)))), map(1, 'text')), (3, array(NULL), NULL), (4, NULL, NULL) AS t(id, deep, plain)""")
+    assert [r.id for r in sinks.assert_body_free(rows).collect()] == [1]
+    assert sinks.assert_body_free(rows.select("id")).count() == 0
