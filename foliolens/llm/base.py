@@ -7,6 +7,7 @@ bounded by the slice or by one document.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,9 +29,11 @@ _OWN_FOLDER: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder named in ``spark.checkpoint.dir``; only a local session may leave it unset and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append(tempfile.mkdtemp(prefix="foliolens-"))
         folder = _OWN_FOLDER[0]
@@ -45,6 +48,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(*tables: DataFrame) -> None:
+    """Remove tables of ``staged`` that nothing will read again."""
+    for df in tables:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if re.search(r"/llm-[0-9a-f]{32}/[a-z]+$", folder):
+                path = hadoop(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 16) -> DataFrame:
     """Join to a table with one row per key when a key may hold a large part of ``left``.
 

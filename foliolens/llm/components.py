@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: a node and its smaller neighbours move to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = base.salted_join(large, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = base.staged(small.where(F.col("u") != F.col("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, now = now, base.staged(small.where(F.col("u") != F.col("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        base.drop_staged(old)
         after = _state(now)
         if after == before:
             break
