@@ -39,6 +39,16 @@ def definitions() -> dict[str, str]:
     pieces = f"split(regexp_replace(t, {_lit(token)}, '{tx.OPEN}$1{tx.CLOSE}'), '(?={tx.OPEN})|(?<={tx.CLOSE})')"
     hit = (f"aggregate({pieces}, named_struct('at', 0, 'hit', false), (acc, p) -> named_struct('at', acc.at + length(p) - IF(startswith(p, '{tx.OPEN}'), 2, 0), "
            f"'hit', acc.hit OR (startswith(p, '{tx.OPEN}') AND acc.at < ix AND ix < acc.at + length(p) - 2)), acc -> acc.hit)")
+    count = lambda c, x: f"(length({c}) - length(replace({c}, {_lit(x)}, '')))"
+    pair = " OR ".join(f"({count('l', o)} > {count('l', c)} AND {count('r', c)} > {count('r', o)})" for o, c in tx.BRACKETS)
+    url = "concat(l, r) RLIKE " + _lit(r"(?U)^https?://[^\s]+$")
+    polite = f"({_any('startswith(r, {})', tx.POLITE[0])} OR {_any('endswith(l, {})', tx.POLITE[1])})"
+    verb = f"({_any('startswith(r, {})', tx.VERB_AUX[0])} OR {_any('endswith(l, {})', tx.VERB_AUX[1])})"
+    last, first = "right(l, 1) RLIKE ", "left(r, 1) RLIKE "
+    aliases = ", ".join(f"CASE WHEN {cond} THEN 'SAFE-WRAP-{name}-01' END" for cond, name in (
+        (last + _lit(r"(?U)^\d$") + " AND " + first + _lit(r"(?U)^\d$"), "DIGIT-SPLIT"), (url, "URL-SPLIT"),
+        (last + _lit("^[A-Za-z]$") + " AND " + first + _lit("^[A-Za-z]$") + f" AND NOT {url}", "ENGLISH-SPLIT"),
+        ("startswith(r, 'する') AND " + last + _lit("^[一-龯々〆ヵヶァ-ヴー]$"), "NOUN-SURU-SPLIT"), (polite, "POLITE-FORM-SPLIT"), (f"NOT {polite} AND {verb}", "VERB-AUX-SPLIT"), (f"({pair})", "BRACKET-PAIR-BOUNDARY")))
     lum = "0.2126D * {0} + 0.7152D * {1} + 0.0722D * {2}"
     gap = ("least(x0 * dx + y0 * dy, x0 * dx + y1 * dy, x1 * dx + y0 * dy, x1 * dx + y1 * dy) / sqrt(dx * dx + dy * dy) - (ax * dx + ay * dy) / sqrt(dx * dx + dy * dy)")
     box = "x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE"
@@ -68,6 +78,8 @@ def definitions() -> dict[str, str]:
         "_inside_token(t STRING, ix INT) RETURNS BOOLEAN": hit,
         "_join_trimmed(l STRING, r STRING) RETURNS STRING": "_join_kind(concat(l, r), length(l), l, r, _inside_token(concat(l, r), length(l)))",
         "line_join_kind(a STRING, b STRING) RETURNS STRING": f"_join_trimmed({_strip('a', 'r')}, {_strip('b', 'l')})",
+        "_aliases(l STRING, r STRING) RETURNS ARRAY<STRING>": f"IF(l = '' OR r = '', CAST(array() AS ARRAY<STRING>), array_compact(array({aliases})))",
+        "line_join_aliases(a STRING, b STRING) RETURNS ARRAY<STRING>": f"_aliases({_strip('a', 'r')}, {_strip('b', 'l')})",
         "line_join_allowed(a STRING, b STRING) RETURNS BOOLEAN": "line_join_kind(a, b) IN (" + ", ".join(f"'{k}'" for k in tx.PREFERENCE) + ")",
     }
 

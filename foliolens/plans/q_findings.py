@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sql as fsql
 from ..functions.common import PAGE_KEY
 from ..operators import findings as fi
 from ..operators import layout_pairs as lp
@@ -308,6 +309,14 @@ def f18(spark, d):
         F.col("choice"), F.col("confidence"), F.col("breakage"), F.col("unnatural")).alias("label"))
 
 
+@query("sql_label_tier", f"""
+SELECT answer_id, CASE WHEN (choice='repair_required' AND confidence >= 0.5) OR coalesce(breakage, 0) >= 0.5 THEN 'repair_required' WHEN choice='repair_required' OR unnatural >= 0.5 THEN 'differs_from_surroundings'
+  WHEN choice <> 'other' THEN choice ELSE 'insufficient_information' END AS label FROM (SELECT {TIER} FROM events)""")
+def sql_label_tier(spark, d):
+    fsql.register(spark)
+    return load(spark, d, "events").selectExpr(*_split(TIER)).selectExpr("answer_id", "label_tier(choice, confidence, breakage, unnatural) AS label")
+
+
 CHOICE = "user_id AS artifact_id, CASE WHEN user_id % 5 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'intended' ELSE 'acceptable' END WHEN user_id % 5 = 1 AND event_type = 'error' THEN 'repair_required' WHEN event_type = 'view' THEN 'unresolved' ELSE 'intended' END AS choice"
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.common import PAGE_KEY
+from ..functions import sql as fsql
+from ..functions.common import PAGE_KEY, py_round
 from ..operators import blocks as bl
 from ..operators import frames as fr
 from ..operators import profile as pf
@@ -313,6 +314,24 @@ def g42(spark, d):
         *PAGE_KEY, "box_id", "delta_x", "delta_y", "aligned")
 
 
+# the same measures as SQL functions
+@query("sql_anchor_functions", f"""
+SELECT artifact_id, page, box_id, {pr('gp', 4)} AS gap, {pr('(target*(x1-x0) - gp)*ux', 4)} AS shift_x, {pr('(target*(x1-x0) - gp)*uy', 4)} AS shift_y FROM (SELECT *, {GAP} AS gp FROM {DIRECTION})""")
+def sql_anchors(spark, d):
+    fsql.register(spark)
+    rows = view(spark, d, "v_boxes").selectExpr(*_split(ANCHOR)).selectExpr(*PAGE_KEY, "box_id", "anchor_gap(ax, ay, dx, dy, x0, y0, x1, y1) AS g", "anchor_shift(ax, ay, dx, dy, x0, y0, x1, y1, target) AS s")
+    return rows.select(*PAGE_KEY, "box_id", py_round(F.col("g"), 4).alias("gap"), py_round(F.col("s.dx"), 4).alias("shift_x"), py_round(F.col("s.dy"), 4).alias("shift_y"))
+
+
+@query("sql_frame_functions", f"""
+WITH t AS (SELECT *, greatest(0.0, least(g_x1,t_x1)-greatest(g_x0,t_x0)) AS ox, greatest(0.0, least(g_y1,t_y1)-greatest(g_y0,t_y0)) AS oy, greatest(t_x0-g_x1, g_x0-t_x1, 0.0) AS hx, greatest(t_y0-g_y1, g_y0-t_y1, 0.0) AS hy FROM (SELECT {TARGET} FROM v_boxes))
+SELECT artifact_id, page, box_id, {pr("CASE WHEN relation='inside' THEN least(g_x0-t_x0, g_y0-t_y0, t_x1-g_x1, t_y1-g_y1) WHEN ox*oy = 0 THEN sqrt(hx*hx+hy*hy) ELSE -least(ox,oy) END", 4)} AS gap, {pr('(g_x0+g_x1-(t_x0+2)-(t_x1-3))/2', 4)} AS delta FROM t""")
+def sql_frames(spark, d):
+    fsql.register(spark)
+    rows = view(spark, d, "v_boxes").selectExpr(*_split(TARGET)).selectExpr(*PAGE_KEY, "box_id", "frame_gap(relation, g_x0, g_y0, g_x1, g_y1, t_x0, t_y0, t_x1, t_y1) AS g", "center_delta(g_x0, g_x1, t_x0, t_x1, 2D, 3D) AS c")
+    return rows.select(*PAGE_KEY, "box_id", py_round(F.col("g"), 4).alias("gap"), py_round(F.col("c"), 4).alias("delta"))
+
+
 STEP_L = "artifact_id, page, block_id AS frame_id, line_index, min(line_index * 12.0 + CASE WHEN curves = 3 THEN 0.75 ELSE 0 END) AS baseline_y"
 STEP_F = "artifact_id, page, block_id AS frame_id, 12.0 AS applied, 12.0 + 0.25 * (block_id % 3) AS requested, 0.5 AS tolerance"
 

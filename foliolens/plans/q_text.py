@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import skew
+from ..functions import sql as fsql
 from ..functions import text as tx
 from ..functions.common import PAGE_KEY
 from ..operators import html as ht
@@ -276,6 +277,12 @@ def t15(spark, d):
     return _joins(spark, d).select("conv_id", "turn", "word_no", F.array_join(tx.boundary_aliases(F.col("l"), F.col("r")), ",").alias("aliases"))
 
 
+@query("sql_line_join_aliases", f"SELECT conv_id, turn, word_no, {aliases_sql('l', 'r')} AS aliases FROM v_joins")
+def sql_aliases(spark, d):
+    fsql.register(spark)
+    return _joins(spark, d).selectExpr("conv_id", "turn", "word_no", "array_join(line_join_aliases(l, r), ',') AS aliases")
+
+
 FRAME = "conv_id AS frame_id, turn AS line_index, CAST(floor(turn / 4) AS INT) AS paragraph, text"
 
 
@@ -387,6 +394,14 @@ def t23(spark, d):
     return view(spark, d, "v_lines").select("doc_id", "line_no", tx.single_meaning(F.col("line")).alias("single"))
 
 
+@query("sql_single_meaning", r"""
+WITH s AS (SELECT doc_id, line_no, trim(line, ' ' || chr(9) || chr(13)) AS t FROM v_lines), m AS (SELECT *, regexp_replace(t, '[。！？!?]+', chr(64976), 'g') AS z FROM s)
+SELECT doc_id, line_no, length(z) - length(replace(z, chr(64976), '')) = 0 OR (length(z) - length(replace(z, chr(64976), '')) = 1 AND right(z, 1) = chr(64976)) AS single FROM m""")
+def sql_single_meaning(spark, d):
+    fsql.register(spark)
+    return view(spark, d, "v_lines").selectExpr("doc_id", "line_no", "single_meaning(line) AS single")
+
+
 @query("t24_min_line_spacing", "SELECT artifact_id, box_id, CASE WHEN line_index % 3 < 2 THEN greatest(CASE WHEN curves > 0 THEN 8.0 + curves END, 12.0) ELSE CASE WHEN curves > 0 THEN 8.0 + curves END END::DOUBLE AS spacing FROM v_boxes")
 def t24(spark, d):
     rows = view(spark, d, "v_boxes").selectExpr("artifact_id", "box_id", "element_at(array('body', 'role-list', 'heading'), line_index % 3 + 1) AS role", "IF(curves > 0, 8.0D + curves, NULL) AS requested")
