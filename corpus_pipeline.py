@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's documents. All but the last return the columns of ``documents``; the last returns the ids of each document.
+
+Defined results: a null or empty text has too few words and goes in the first stage; rows equal in id and text are one
+document for lines and one of them stays in the near-duplicate stage; rows that share an id but not the text are judged
+apart; columns beside id and text are carried along (``n_chars`` follows the text); an empty table gives no rows.
 """
 
 from __future__ import annotations
