@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
 from ..functions import skew
 from ..functions import text as tx
 from ..functions.common import PAGE_KEY, first_reason, py_round, reasons
@@ -172,37 +173,66 @@ def line_lint(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys, F.explode_outer(found).alias("rule")).where(F.col("rule").isNotNull())
 
 
+def _tokens(text: Column, following: Column) -> tuple[Column, Column]:
+    return F.element_at(F.split(tx.strip_right(text), " "), -1), F.element_at(F.split(tx.strip_left(following), " "), 1)
+
+
+def _fragments(text: Column, following: Column) -> Column:
+    """Whether the last token of a line and the first of the next are short Latin fragments."""
+    left, right = _tokens(text, following)
+    return left.rlike(r"^[A-Za-z]{2,4}\z") & right.rlike(r"^[A-Za-z]{2,4}\z") & (F.length(left) + F.length(right) <= 8)
+
+
 def split_words(lines: DataFrame, keys: list[str], order: list[str], band: Column) -> DataFrame:
     """Two short Latin fragments across a line end that look like one word."""
     nxt = skew.shift(lines, keys, order, {"next_text": F.col("text")}, 1, band)
-    left = F.element_at(F.split(tx.strip_right(F.col("text")), " "), -1)
-    right = F.element_at(F.split(tx.strip_left(F.col("next_text")), " "), 1)
-    short = lambda c: c.rlike(r"^[A-Za-z]{2,4}\z")
-    return nxt.where(F.col("next_text").isNotNull()).withColumn("left_token", left).withColumn("right_token", right).where(
-        short(F.col("left_token")) & short(F.col("right_token")) & (F.length("left_token") + F.length("right_token") <= 8)).select(
-        *keys, *order, "left_token", "right_token")
+    left, right = _tokens(F.col("text"), F.col("next_text"))
+    return nxt.where(F.col("next_text").isNotNull()).where(_fragments(F.col("text"), F.col("next_text"))).select(
+        *keys, *order, left.alias("left_token"), right.alias("right_token"))
 
 
-def short_final(lines: DataFrame, pages: DataFrame, limit: int = 4, auto_ratio: float = 0.60, narrow_ratio: float = 0.40) -> DataFrame:
-    """Blocks that end in a very short line, and whether the wrap looks automatic or manual."""
+def wrap_blocks(lines: DataFrame, pages: DataFrame, narrow_ratio: float = 0.40) -> DataFrame:
+    """Blocks whose line ends are judged, with their last two lines: two lines or more, not all bold, no labelled card, no bullet, not narrow.
+
+    ``lines`` are boxes with ``block_id, line_index, text, bold``.
+    """
     key = [*PAGE_KEY, "block_id"]
-    row = F.struct(F.col("line_index").alias("i"), F.col("box_id").alias("id"), "text", "x0", "x1")
+    row = F.struct(F.col("line_index").alias("i"), F.col("box_id").alias("id"), "text", *geo.EDGES)
     prev = skew.shift(lines, key, ["line_index", "box_id"], {"p": row}, -1, F.floor(F.col("line_index") / 4096))
     agg = prev.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.min("x0").alias("lo"), F.max("x1").alias("hi"), F.bool_and("bold").alias("all_bold"),
-        F.min(F.struct("line_index", "box_id", "text", "x0")).alias("first"), F.max(F.struct("line_index", "box_id", "text", "x0", "x1", "p")).alias("final"),
+        F.min(F.struct("line_index", "box_id", "text", "x0")).alias("first"), F.max(F.struct("line_index", "box_id", "text", *geo.EDGES, "p")).alias("final"),
         F.min(F.when(F.col("p").isNotNull(), F.struct("line_index", "box_id", "x0"))).alias("second"))
     joined = agg.where(F.col("n") >= 2).join(pages.select(*PAGE_KEY, "width"), PAGE_KEY)
     card = (F.length(tx.strip(F.col("first.text"))) <= 12) & (F.abs(F.col("first.x0") - F.col("second.x0")) > 20)
     bullet = tx.strip_left(F.col("first.text")).rlike("^[•・-]")
-    skip = F.col("all_bold") | card | bullet | (F.col("hi") - F.col("lo") < F.col("width") * narrow_ratio)
+    return joined.where(~(F.col("all_bold") | card | bullet | (F.col("hi") - F.col("lo") < F.col("width") * narrow_ratio))).select(*key, "width", "final")
+
+
+def _union_box(a: str, b: str) -> list[Column]:
+    return [f(F.col(a + e), F.col(b + e)).alias(e) for e, f in zip(geo.EDGES, (F.least, F.least, F.greatest, F.greatest), strict=True)]
+
+
+def split_candidates(lines: DataFrame, pages: DataFrame, narrow_ratio: float = 0.40) -> DataFrame:
+    """Two short Latin fragments across a line end of a judged block, with the box of both lines."""
+    key = [*PAGE_KEY, "block_id"]
+    row = F.struct(F.col("box_id").alias("id"), F.col("text").alias("next_text"), *geo.EDGES)
+    nxt = skew.shift(lines, key, ["line_index", "box_id"], {"n": row}, 1, F.floor(F.col("line_index") / 4096)).where(F.col("n").isNotNull())
+    found = nxt.where(_fragments(F.col("text"), F.col("n.next_text")))
+    judged = wrap_blocks(lines, pages, narrow_ratio).select(*key)
+    return found.join(judged, key, "left_semi").select(*key, F.col("box_id").alias("previous_id"), F.col("n.id").alias("current_id"), *_union_box("", "n."))
+
+
+def short_final(lines: DataFrame, pages: DataFrame, limit: int = 4, auto_ratio: float = 0.60, narrow_ratio: float = 0.40) -> DataFrame:
+    """Judged blocks that end in a very short line, with the box of the last two lines: one row for that, one for how the wrap looks."""
+    joined = wrap_blocks(lines, pages, narrow_ratio)
     end, before = tx.strip(F.col("final.text")), tx.strip(F.col("final.p.text"))
     fw = F.greatest(F.lit(0.0), F.col("final.x1") - F.col("final.x0"))
     pw = F.greatest(F.lit(0.0), F.col("final.p.x1") - F.col("final.p.x0"))
     hit = ~before.rlike(r"[。！？.!?]\z") & (F.length(end) <= limit) & (F.length(before) >= max(12, limit * 2)) & (fw <= pw * 0.45)
-    return joined.where(~skip & hit).select(
-        *key, F.col("final.p.id").alias("previous_id"), F.col("final.box_id").alias("final_id"),
-        F.when(pw >= F.col("width") * auto_ratio, "automatic_wrap_anomaly_candidate").otherwise("manual_break_anomaly_candidate").alias("rule"))
+    mode = F.when(pw >= F.col("width") * auto_ratio, "automatic_wrap_anomaly_candidate").otherwise("manual_break_anomaly_candidate")
+    return joined.where(hit).select(*PAGE_KEY, "block_id", F.col("final.p.id").alias("previous_id"), F.col("final.box_id").alias("final_id"),
+                                    F.explode(F.array(F.lit("short_final_line_candidate"), mode)).alias("rule"), *_union_box("final.", "final.p."))
 
 
 def list_style(lines: DataFrame) -> DataFrame:

@@ -340,17 +340,28 @@ def t19(spark, d):
     return ot.split_words(lines, ["doc_id"], ["line_no"], F.floor(F.col("line_no") / 4096))
 
 
-SFL = ("artifact_id, page, CAST(block_id % 2 AS INT) AS block_id, line_index, box_id, x0 / 4 AS x0, x1 / 4 + CASE WHEN line_index <= 3 THEN 300 ELSE 0 END AS x1, bold AND curves % 2 = 0 AS bold, "
+SFL = ("artifact_id, page, CAST(block_id % 2 AS INT) AS block_id, line_index, box_id, x0 / 4 AS x0, y0, x1 / 4 + CASE WHEN line_index <= 3 THEN 300 ELSE 0 END AS x1, y1, bold AND curves % 2 = 0 AS bold, "
        "substr('abcdefghijklmnopqrstuvwxyz', 1, CAST(CASE WHEN line_index > 4 THEN curves ELSE 13 + curves END AS INT)) AS text")
 
 
-@query("t20_short_final_line", f"""
-WITH b AS (SELECT {SFL} FROM v_boxes),
-o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY artifact_id, page, block_id) AS n, lag(box_id) OVER w AS pid, lag(text) OVER w AS pt, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, min(x0) OVER (PARTITION BY artifact_id, page, block_id) AS lo,
+JUDGED = f"""b AS (SELECT {SFL} FROM v_boxes),
+o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY artifact_id, page, block_id) AS n, lag(box_id) OVER w AS pid, lag(text) OVER w AS pt, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1, min(x0) OVER (PARTITION BY artifact_id, page, block_id) AS lo,
   max(x1) OVER (PARTITION BY artifact_id, page, block_id) AS hi, bool_and(bold) OVER (PARTITION BY artifact_id, page, block_id) AS ab, first_value(text) OVER w AS ft, first_value(x0) OVER w AS fx, nth_value(x0, 2) OVER (PARTITION BY artifact_id, page, block_id ORDER BY line_index, box_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sx
-  FROM b WINDOW w AS (PARTITION BY artifact_id, page, block_id ORDER BY line_index, box_id))
-SELECT o.artifact_id, o.page, block_id, pid AS previous_id, box_id AS final_id, CASE WHEN px1 - px0 >= width * 0.6 THEN 'automatic_wrap_anomaly_candidate' ELSE 'manual_break_anomaly_candidate' END AS rule
-FROM o JOIN v_pages p ON p.artifact_id = o.artifact_id AND p.page = o.page WHERE i = n AND n >= 2 AND NOT ab AND NOT (length(ft) <= 12 AND abs(fx - sx) > 20) AND NOT (hi - lo < width * 0.4) AND length(text) <= 4 AND length(pt) >= 12 AND x1 - x0 <= (px1 - px0) * 0.45""")
+  FROM b WINDOW w AS (PARTITION BY artifact_id, page, block_id ORDER BY line_index, box_id)),
+k AS (SELECT o.*, width, least(x0, px0) AS ux0, least(y0, py0) AS uy0, greatest(x1, px1) AS ux1, greatest(y1, py1) AS uy1 FROM o JOIN v_pages p ON p.artifact_id = o.artifact_id AND p.page = o.page
+  WHERE n >= 2 AND NOT ab AND NOT (length(ft) <= 12 AND abs(fx - sx) > 20) AND NOT (hi - lo < width * 0.4))"""
+
+
+@query("t19_split_in_blocks", f"""
+WITH {JUDGED} SELECT artifact_id, page, block_id, pid AS previous_id, box_id AS current_id, ux0 AS x0, uy0 AS y0, ux1 AS x1, uy1 AS y1 FROM k
+WHERE pt IS NOT NULL AND length(pt) BETWEEN 2 AND 4 AND length(text) BETWEEN 2 AND 4""")
+def t19_blocks(spark, d):
+    return ot.split_candidates(view(spark, d, "v_boxes").selectExpr(*_split(SFL)), view(spark, d, "v_pages"))
+
+
+@query("t20_short_final_line", f"""
+WITH {JUDGED} SELECT artifact_id, page, block_id, pid AS previous_id, box_id AS final_id, unnest(['short_final_line_candidate', CASE WHEN px1 - px0 >= width * 0.6 THEN 'automatic_wrap_anomaly_candidate' ELSE 'manual_break_anomaly_candidate' END]) AS rule,
+  ux0 AS x0, uy0 AS y0, ux1 AS x1, uy1 AS y1 FROM k WHERE i = n AND length(text) <= 4 AND length(pt) >= 12 AND x1 - x0 <= (px1 - px0) * 0.45""")
 def t20(spark, d):
     return ot.short_final(view(spark, d, "v_boxes").selectExpr(*_split(SFL)), view(spark, d, "v_pages"))
 
