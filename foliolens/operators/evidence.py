@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..functions.common import first_reason, multiset_digest, reasons
+from .text import PII
 
 EPS = 1e-9
 # fixed values: media types by suffix
@@ -34,6 +35,12 @@ LEDGER_SCHEMA, CANDIDATE_SCHEMA = "docs-delivery-candidate-ledger-1", "docs-deli
 REPAIR_ADAPTER = "docs-local-repair-adapter-1"
 REPAIR_OPERATIONS = ["geometry_adjustment", "spacing_adjustment", "alignment_adjustment", "wrap_adjustment", "coverage_adjustment", "identity_rebind"]
 
+# fixed values: fields of a ledger entry and of a file handle, and field names that hold bodies
+ENTRY_FIELDS = ["schema_version", "candidate_id", "entry_hash", "workflow_id", "task_id", "issue_family", "target_ids", "source_sha256", "artifact_before_sha256", "artifact_after_sha256",
+                "before_geometry", "after_geometry", "repair", "renderer_readback", "genericization_candidate", "previous_entry_hash"]
+HANDLE_FIELDS = ["path", "sha256", "size_bytes"]
+BODY_FIELDS = ["text", "body", "content", "raw", "payload", "original", "rewritten", "response_text", "actual_value", "expected_value", "user", "name", "email", "phone", "address", "campaign"]
+
 
 def _no(c: Column) -> Column:
     return ~F.coalesce(c, F.lit(False))
@@ -297,6 +304,35 @@ def ledger_entry_rules(entries: DataFrame, workflows: DataFrame) -> DataFrame:
         (_no(F.col("candidate_id") == F.col("core_digest")), "candidate_identity_mismatch"))).alias("reason"))
 
 
+# one string token of a JSON text: the value of a path with its name, a name with its colon, or a value
+JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
+JSON_TOKEN = rf'("path"\s*:\s*{JSON_STRING}|{JSON_STRING}\s*:?)'
+
+
+def ledger_entry_shape(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Rules on the JSON text of ledger entries: exact field names, no body field or personal data at any depth, a live readback.
+
+    ``entries``: ``workflow_id, seq, entry``. ``files``: ``path, sha256, size_bytes`` of what is there now. An entry of the wrong
+    fields or schema has no further findings. Values of ``path`` and hashes are no personal data. Names and values are told
+    apart by the strings of the text in order, so depth does not matter and no document is parsed into columns.
+    """
+    entry = F.col("entry")
+    fields = lambda c, names: F.coalesce(F.array_sort(F.json_object_keys(c)) == F.array(*map(F.lit, sorted(names))), F.lit(False))
+    tokens = F.regexp_extract_all(entry, F.lit(JSON_TOKEN), 1)
+    body = F.exists(tokens, lambda t: t.rlike(r":\s*\z") & F.lower(F.regexp_extract(t, r'^"(.*)"\s*:\s*\z', 1)).isin(BODY_FIELDS))
+    personal = F.exists(tokens, lambda t: ~t.rlike(r':\s*\z|^"path"\s*:') & ~t.rlike('^"[0-9a-f]{64}"$') & t.rlike(PII))
+    readback = F.get_json_object(entry, "$.renderer_readback")
+    part = lambda n: F.get_json_object(readback, f"$.{n}")
+    rows = entries.select("workflow_id", "seq", (fields(entry, ENTRY_FIELDS) & F.coalesce(F.get_json_object(entry, "$.schema_version") == CANDIDATE_SCHEMA, F.lit(False))).alias("shaped"),
+                          (body | personal).alias("body"), fields(readback, HANDLE_FIELDS).alias("handle"), part("path").alias("path"), part("sha256").alias("is_sha"), part("size_bytes").alias("is_size"))
+    live = files.select(F.col("path").alias("f_path"), F.col("sha256").alias("f_sha"), F.col("size_bytes").cast("string").alias("f_size"))
+    both = rows.join(live, rows["path"] == live["f_path"], "left")
+    same = F.startswith("path", F.lit("/")) & (F.col("is_sha") == F.col("f_sha")) & (F.col("is_size") == F.col("f_size"))
+    found = F.when(~F.col("shaped"), F.array(F.lit("schema_mismatch"))).otherwise(reasons(
+        (F.col("body"), "body_or_personal_data"), (~F.col("handle"), "readback_fields_mismatch"), (F.col("handle") & _no(same), "readback_drift")))
+    return both.select("workflow_id", "seq", F.explode(found).alias("reason"))
+
+
 def ledger_final(ledger: DataFrame, submitted: DataFrame) -> DataFrame:
     """Workflows whose last recorded hash is not the submitted artifact's. ``submitted``: ``workflow_id, sha256``."""
     last = ledger.groupBy("workflow_id").agg(F.max_by("entry_hash", "seq").alias("last_hash"))

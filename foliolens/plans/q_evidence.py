@@ -268,6 +268,22 @@ def e16_rules(spark, d):
     return ev.ledger_entry_rules(rows, _workflows(spark, d))
 
 
+@query("e16_entry_shape", """
+SELECT user_id AS workflow_id, event_id AS seq, CASE CAST(event_id % 13 AS INT) WHEN 0 THEN 'schema_mismatch' WHEN 1 THEN 'schema_mismatch' WHEN 2 THEN 'schema_mismatch' WHEN 3 THEN 'body_or_personal_data' WHEN 4 THEN 'body_or_personal_data'
+  WHEN 6 THEN 'readback_fields_mismatch' ELSE 'readback_drift' END AS reason FROM events WHERE event_id % 13 IN (0, 1, 2, 3, 4, 6, 7, 8, 9) UNION ALL SELECT user_id, event_id, 'readback_drift' FROM events WHERE event_id % 13 = 4""")
+def e16_shape(spark, d):
+    """Entries as JSON, with one kind of damage for each remainder of the event's number; a telephone number in a path is none."""
+    k = "CAST(event_id % 13 AS INT)"
+    events = load(spark, d, "events")
+    entry = f"""to_json(named_struct('schema_version', IF({k} = 2, 'other', '{ev.CANDIDATE_SCHEMA}'), 'candidate_id', sha2(props, 256), 'entry_hash', sha2(event_type, 256), 'workflow_id', CAST(user_id AS STRING), 'task_id', 't_1',
+      'issue_family', IF({k} = 4, 'mail a.b@example.org', 'spacing'), 'target_ids', array(sha2(props, 256)), 'source_sha256', sha2('s', 256), 'artifact_before_sha256', sha2('a', 256), 'artifact_after_sha256', IF({k} = 0, NULL, sha2('b', 256)),
+      'before_geometry', IF({k} = 3, map('note "body": ', map('Body', 1)), map('box', map('x0', 1))), 'after_geometry', array(1D, 2D), 'repair', map('adapter_id', 'body'), 'renderer_readback',
+      named_struct('path', concat(IF({k} = 9, 'f/', '/f/'), IF({k} IN (4, 8), 'gone-0312345678', CAST(event_id AS STRING))), 'sha256', IF({k} = 7, sha2('x', 256), sha2(props, 256)), 'size_bytes', IF({k} = 6, NULL, length(props))),
+      'genericization_candidate', true, 'previous_entry_hash', sha2('p', 256), 'extra', IF({k} = 1, 1, NULL)))"""
+    files = events.selectExpr("concat('/f/', event_id) AS path", "sha2(props, 256) AS sha256", "length(props) AS size_bytes")
+    return ev.ledger_entry_shape(events.selectExpr("user_id AS workflow_id", "event_id AS seq", f"{entry} AS entry"), files)
+
+
 @query("e16_ledger_final", """
 WITH l AS (SELECT workflow_id, arg_max(entry_hash, seq) AS last_hash FROM v_ledger GROUP BY 1), s AS (SELECT user_id AS workflow_id, arg_max(sha256(concat_ws('~', CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR), concat_ws('~', CAST(event_id AS VARCHAR), event_type, props))), event_id) AS h FROM events WHERE NOT (user_id % 5 = 0 AND event_type = 'view') GROUP BY 1)
 SELECT workflow_id, last_hash FROM s LEFT JOIN l USING (workflow_id) WHERE h IS DISTINCT FROM last_hash""")
