@@ -84,7 +84,6 @@ class Encoder:
     """The encoder and decoder of one task."""
 
     def __init__(self, data: bytes):
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.pieces: dict[str, tuple[float, int]] = {}
         self.bytes: dict[int, int] = {}
         kind = None
@@ -104,6 +103,7 @@ class Encoder:
                 kind = dict(fields(value)).get(3, 1)
         if kind != BPE or len(self.bytes) != 256:
             raise ValueError("the agenda needs a merge-type vocabulary with all byte pieces")
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         # symbols by number: pieces, single characters of pieces, and last what occurs in no piece
         self.texts = list(dict.fromkeys([*self.pieces, *sorted(set("".join(self.pieces))), ""]))
         number = {t: i for i, t in enumerate(self.texts)}
@@ -129,7 +129,7 @@ class Encoder:
         """Ids of units by their agendas, as 32-bit integers."""
         brief = [u for u in units if len(u) <= SHORT]
         found = dict(zip(brief, self.short(brief), strict=True)) if brief else {}
-        return [found[u] if u in found else self.long(u) for u in units] if len(brief) < len(units) else list(found.values())
+        return [found[u] if u in found else self.long(u) for u in units] if len(found) < len(units) else list(found.values())
 
     def ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each pair of symbol numbers in the order of scores (``NEVER`` for no piece), and the piece's number."""
