@@ -187,7 +187,8 @@ def negatives_in(top: int, least: int, most: int):
             at = np.flatnonzero(meets & (rows.labels != anchors.labels[i]))
             scores = rows.scores(anchors.q[i], anchors.norm[i], at)
             for w in wanted:
-                inside = np.flatnonzero((100 * scores >= least * w["score"]) & (100 * scores <= most * w["score"]))
+                # the limits are rounded as whole numbers of any size, so no product leaves 64 bits
+                inside = np.flatnonzero((scores >= -(-least * w["score"] // 100)) & (scores <= most * w["score"] // 100))
                 for k in rows.best(at[inside], scores[inside], top):
                     out.append({"anchor_id": anchors.ids[i], "anchor_key": anchors.keys[i], "positive_id": w["id"], "positive_key": w["key"], "positive_score": w["score"],
                                 "negative_id": rows.ids[at[inside[k]]], "negative_key": rows.keys[at[inside[k]]], "negative_score": scores[inside[k]]})
