@@ -14,6 +14,7 @@ from ..functions import skew
 from ..functions.common import py_round, reasons
 
 EPS = 1e-9
+INK_CELL = 64.0
 TOKEN_KINDS = ["foreground", "surface", "border"]
 # fixed values: rule ids in report order
 READABILITY_RULES = ["AQ-CONTRAST-01", "AQ-LEGIBILITY-01", "AQ-HIERARCHY-01", "AQ-VISUAL-01", "AQ-PRINT-01"]
@@ -200,15 +201,16 @@ def visible_ink(pixels: DataFrame, regions: DataFrame, boxes: DataFrame, strokes
     back = corner.groupBy("region_id").agg(*[
         F.element_at(F.array_sort(F.collect_list(c)), 3).alias("bg_" + c) for c in "rgb"])  # four values per region
 
-    def as_box(df: DataFrame, p: str) -> DataFrame:
-        return df.select("region_id", *[F.col(e).cast("double").alias(p + e) for e in ("x0", "y0", "x1", "y1")])
+    def covers(df: DataFrame) -> DataFrame:
+        box = df.select(F.col("region_id").alias("a_region"), *[F.col(e).cast("double").alias("a_" + e) for e in ("x0", "y0", "x1", "y1")])
+        return skew.grown(skew.to_cells(box, "a_", cell_w=INK_CELL, cell_h=INK_CELL).withColumnsRenamed({"cx": "a_cx", "cy": "a_cy"}))
 
-    points = pixels.select("region_id", "x", "y", *[F.col(c).cast("double").alias("b_" + e) for c, e in
-                                                   (("x", "x0"), ("y", "y0"), ("x", "x1"), ("y", "y1"))])
-    key = ["region_id", "x", "y"]
-    inside = skew.box_pairs(as_box(boxes, "a_"), points, ["region_id"], cell_w=64.0, cell_h=64.0).select(*key).distinct()
-    struck = skew.box_pairs(as_box(strokes, "a_"), points, ["region_id"], cell_w=64.0, cell_h=64.0).select(*key).distinct()
-    allowed = pixels.join(inside, key, "left_semi").join(struck, key, "left_anti").join(back, "region_id")
+    # both joins keep the pixels where one shuffle by region and cell has put them
+    within = ((F.col("region_id") == F.col("a_region")) & (F.col("cx") == F.col("a_cx")) & (F.col("cy") == F.col("a_cy"))
+              & F.col("x").between(F.col("a_x0"), F.col("a_x1")) & F.col("y").between(F.col("a_y0"), F.col("a_y1")))
+    celled = pixels.select("region_id", "x", "y", *"rgb", *[F.floor(F.col(c) / INK_CELL).alias("c" + c) for c in ("x", "y")])
+    allowed = celled.join(covers(boxes), within, "left_semi").join(covers(strokes), within, "left_anti")
+    allowed = skew.grown(allowed.select("region_id", "x", "y", *"rgb")).join(back, "region_id")
     delta = col.luma8(*[F.abs(F.col(c) - F.col("bg_" + c)) for c in "rgb"])
     ink = delta >= threshold
     agg = allowed.groupBy("region_id").agg(
