@@ -106,7 +106,7 @@ def hanging_indent(lines: DataFrame, glyphs: DataFrame, tolerance: float = 2.5)
     colon = F.when((wide > 0) & (narrow > 0), F.least(wide, narrow)).otherwise(F.greatest(wide, narrow))
     keys = [*PAGE_KEY, "frame_id", "paragraph"]
     marked = lines.select(*keys, "box_id", "line_index", F.when(colon > 0, colon).alias("body_pos"))
-    measured = marked.join(ink.select(*PAGE_KEY, "box_id", "pos", "gx"), [*PAGE_KEY, "box_id"], "left").groupBy(
+    measured = marked.join(skew.grown(ink.select(*PAGE_KEY, "box_id", "pos", "gx")), [*PAGE_KEY, "box_id"], "left").groupBy(
         *keys, "box_id", "line_index").agg(
         F.min(F.struct("pos", "gx"))["gx"].alias("first_x"),
         F.min(F.when(F.col("pos") >= F.col("body_pos"), F.struct("pos", "gx")))["gx"].alias("body_x"))

@@ -29,6 +29,6 @@ def broadcast_rows_grown(text):
     return found
 
 
-@pytest.mark.parametrize("name", ["c12_visible_ink", "f24_applicability", "g13_match_table_row"])
+@pytest.mark.parametrize("name", ["c12_visible_ink", "f24_applicability", "g13_match_table_row", "g19_hanging_indent"])
 def test_exploded_tables_are_not_broadcast(spark, name):
     assert pathlib.Path(DATA).exists() and broadcast_rows_grown(plan(QUERIES[name](spark, DATA))) == 0
