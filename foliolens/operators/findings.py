@@ -45,11 +45,12 @@ def finding_id(names: list[str], prefix: str = "finding-") -> Column:
 def union_findings(sources: dict[str, DataFrame], covered: DataFrame | None = None) -> DataFrame:
     """Stack rule outputs with a source tag; drop rules another source already covers.
 
-    ``covered``: ``source, rule`` pairs to leave out.
+    ``covered``: ``source, rule`` pairs to leave out; there are no more of them than rule ids, so they go to the rows:
+    dealt by source and rule, all findings of a rule would meet in one task.
     """
     tagged = [df.withColumn("source", F.lit(name)) for name, df in sources.items()]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    return out if covered is None else out.join(covered.select("source", "rule").distinct(), ["source", "rule"], "left_anti")
+    return out if covered is None else out.join(F.broadcast(covered.select("source", "rule").distinct()), ["source", "rule"], "left_anti")
 
 
 def bucket_severity(findings: DataFrame, review_rules: list[str] | None = None) -> DataFrame:

@@ -32,3 +32,7 @@ def broadcast_rows_grown(text):
 @pytest.mark.parametrize("name", ["c12_visible_ink", "f24_applicability", "g13_match_table_row", "g19_hanging_indent"])
 def test_exploded_tables_are_not_broadcast(spark, name):
     assert pathlib.Path(DATA).exists() and broadcast_rows_grown(plan(QUERIES[name](spark, DATA))) == 0
+
+
+def test_rules_do_not_meet_in_one_task(spark):
+    assert "hashpartitioning(source" not in plan(QUERIES["f2_union_findings"](spark, DATA))
