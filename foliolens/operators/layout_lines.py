@@ -185,8 +185,11 @@ def low_occupancy(regions: DataFrame, lines: DataFrame, pages: DataFrame, key: s
 
 def line_spacing_projection(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Consecutive lines of a page in reading order, with their gaps and roles."""
-    roles = regions.select(*PAGE_KEY, "region_id", F.col("role").alias("region_role"))
-    placed = assign_region(lines, regions).join(roles, [*PAGE_KEY, "region_id"], "left")
+    return spacing_of(assign_region(lines, regions, {"role": "region_role"}))
+
+
+def spacing_of(placed: DataFrame) -> DataFrame:
+    """The rows of ``line_spacing_projection`` from lines that carry the role of their region."""
     row = F.struct("box_id", "block_id", "baseline_y", "y0", "y1", "region_role")
     pairs = skew.shift(placed, PAGE_KEY, ["y0", "x0", "box_id"], {"nxt": row}, 1, _line_band())
     gap = py_round(F.greatest(F.lit(0.0), F.col("nxt.y0") - F.col("y1")), 3)
@@ -211,8 +214,12 @@ def _margins(inner: str, outer: list[Column]) -> list[Column]:
 
 def inner_margins(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Margins between a text region and the lines placed in it."""
-    placed = assign_region(lines, regions).where(F.col("region_id").isNotNull())
-    inner = prefixed(union_box(placed, [*PAGE_KEY, "region_id"]), "l_", [*PAGE_KEY, "region_id"])
+    return margins_of(assign_region(lines, regions), regions)
+
+
+def margins_of(placed: DataFrame, regions: DataFrame) -> DataFrame:
+    """The rows of ``inner_margins`` from lines that carry their region."""
+    inner = prefixed(union_box(placed.where(F.col("region_id").isNotNull()), [*PAGE_KEY, "region_id"]), "l_", [*PAGE_KEY, "region_id"])
     return regions.select(*PAGE_KEY, "region_id", *geo.EDGES).join(inner, [*PAGE_KEY, "region_id"]).select(
         *PAGE_KEY, "region_id", F.col("l_n").alias("line_count"), *_margins("l_", geo.cols()))
 
@@ -250,10 +257,12 @@ def artifact_minima(lines: DataFrame, regions: DataFrame, pages: DataFrame) -> D
     outer = placed.groupBy("artifact_id").agg(py_round(F.min(F.least(
         "x0", "y0", F.greatest(zero, F.col("width") - F.col("x1")),
         F.greatest(zero, F.col("height") - F.col("y1")))), 3).alias("outer_margin"))
-    spacing = line_spacing_projection(lines, regions).groupBy("artifact_id").agg(
+    # placed once: the pairs of lines and regions are the larger part of the work
+    in_region = assign_region(lines, regions, {"role": "region_role"})
+    spacing = spacing_of(in_region).groupBy("artifact_id").agg(
         F.min("baseline_distance").alias("minimum_baseline_distance"), F.min("box_gap").alias("minimum_box_gap"),
         F.min("paragraph_gap").alias("minimum_paragraph_gap"))
-    inner = inner_margins(lines, regions).groupBy("artifact_id").agg(
+    inner = margins_of(in_region, regions).groupBy("artifact_id").agg(
         F.min("minimum_margin").alias("minimum_inner_margin"))
     margins = outer_margins(lines, pages).groupBy("artifact_id").agg(
         F.min("minimum_margin").alias("minimum_outer_margin"))
