@@ -42,3 +42,8 @@ def test_rules_do_not_meet_in_one_task(spark):
 def test_roles_come_with_the_region(spark):
     """Placed lines are not joined by region to fetch its role."""
     assert not re.search(r"Join \[[^\]]*region_id", plan(QUERIES["g24_line_spacing_projection"](spark, DATA)))
+
+
+def test_boxes_are_dealt_by_artifact_once(spark):
+    """Groups, neighbours and joins of a page's boxes need no shuffle beyond the one that deals the boxes."""
+    assert plan(QUERIES["t19_split_in_blocks"](spark, DATA)).count("Exchange hashpartitioning") <= 6
