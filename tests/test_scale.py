@@ -1,10 +1,15 @@
 """Plans at scale: what grows with the input must not pass through the driver, one task or one group."""
 
 import pathlib
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from foliolens.functions import skew
+from foliolens.functions.common import PAGE_KEY, prefixed
+from foliolens.operators import layout_pairs as lp
 from foliolens.plans import load_all
 
 DATA = "/root/testdata/sf0.01"
@@ -44,6 +49,43 @@ def test_roles_come_with_the_region(spark):
     assert not re.search(r"Join \[[^\]]*region_id", plan(QUERIES["g24_line_spacing_projection"](spark, DATA)))
 
 
+BOX = "artifact_id int, page int, box_id string, x0 double, y0 double, x1 double, y1 double"
+
+
+def some_boxes(spark, seed):
+    """Pages of 3 to 60 boxes that often meet."""
+    rng = random.Random(seed)
+    rows = []
+    for artifact in range(6):
+        for i in range(rng.randint(3, 60)):
+            x, y = rng.randint(0, 12) * 50.0, rng.randint(0, 60) * 5.0
+            rows.append((artifact, 1 + artifact % 2, f"b{i:02}", x, y, x + rng.randint(5, 200), y + rng.randint(5, 90)))
+    return spark.createDataFrame(rows, BOX)
+
+
+def elements(boxes, prefix, shift):
+    return boxes.select(*PAGE_KEY, F.lit("k").alias("kind"), F.lit("bbox").alias("edge_basis"), F.concat(F.lit(prefix), "box_id").alias("element_id"),
+                        F.substring("box_id", 2, 2).cast("int").alias("ord"), F.floor(F.col("x0") / 100).cast("double").alias("x0"),
+                        (F.floor(F.col("y0") / 60) + shift).alias("y0"), F.lit(9.0).alias("x1"), F.lit(9.0).alias("y1"))
+
+
+def same(one, other):
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
+@pytest.mark.parametrize("crowd", [0, 20])
+def test_coverage_of_crowded_pages_equals_that_of_others(spark, crowd):
+    boxes = some_boxes(spark, 5)
+    d, a = elements(boxes, "d", 0.0), elements(boxes, "a", 0.5)
+    same(lp.coverage_match(d, a, crowd=crowd), lp.coverage_match(d, a, crowd=1000))
+
+
+def test_coverage_moves_elements_once(spark):
+    """Declared and actual elements of ordinary pages are shuffled by page, once each, without checkpointed rounds."""
+    text = plan(QUERIES["g14_declared_twice"](spark, DATA))
+    assert text.count("Exchange hashpartitioning") == 2 and "ExistingRDD" not in text
+
+
 def test_boxes_are_dealt_by_artifact_once(spark):
     """Groups, neighbours and joins of a page's boxes need no shuffle beyond the one that deals the boxes."""
     assert plan(QUERIES["t19_split_in_blocks"](spark, DATA)).count("Exchange hashpartitioning") <= 6
