@@ -89,3 +89,16 @@ def test_coverage_moves_elements_once(spark):
 def test_boxes_are_dealt_by_artifact_once(spark):
     """Groups, neighbours and joins of a page's boxes need no shuffle beyond the one that deals the boxes."""
     assert plan(QUERIES["t19_split_in_blocks"](spark, DATA)).count("Exchange hashpartitioning") <= 6
+
+
+@pytest.mark.parametrize("crowd", [0, 20])
+def test_lines_of_crowded_pages_are_placed_as_others(spark, crowd):
+    boxes = some_boxes(spark, 6)
+    regions = some_boxes(spark, 7).withColumnRenamed("box_id", "region_id").withColumn("shape_kind", F.lit("text_region"))
+    same(lp.assign_region(boxes, regions, crowd=crowd), lp.assign_region(boxes, regions, crowd=1000))
+
+
+@pytest.mark.parametrize("name,exchanges", [("g10_assign_region", 2), ("g25_inner_margins", 4)])
+def test_ordinary_pages_are_not_cut_into_cells(spark, name, exchanges):
+    text = plan(QUERIES[name](spark, DATA))
+    assert "cx#" not in text and text.count("Exchange hashpartitioning") <= exchanges
