@@ -111,3 +111,11 @@ def test_pairs_of_crowded_pages_equal_those_of_others(spark):
         crowd = skew.crowds(PAGE_KEY, a, b, limit=limit)
         assert crowd.count() > 0
         same(skew.page_pairs(a, b, PAGE_KEY, crowd, pad_x=2.0), whole)
+
+
+@pytest.mark.parametrize("name", ["f27_layer_rollup", "f8_spacing_members", "f21_review_coverage"])
+def test_boxes_are_not_grouped_before_they_are_dealt(spark, name):
+    """A file may be one split of any number of rows: its task must not hold a group for each of them."""
+    lines = plan(QUERIES[name](spark, DATA)).splitlines()
+    dealt = [i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line]
+    assert dealt and not any("Aggregate" in lines[i + 1] for i in dealt)
