@@ -239,9 +239,9 @@ def list_style(lines: DataFrame) -> DataFrame:
     """Circled-number lists that mix font families or weights."""
     items = lines.where(F.left("text", F.lit(1)).rlike(f"[{CIRCLED}]"))
     agg = items.groupBy(*PAGE_KEY, "block_id").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("font").alias("font_count"), F.countDistinct("bold").alias("weight_count")).where(F.col("n") >= 2)
+        F.count(F.lit(1)).alias("n"), (F.min("font") < F.max("font")).alias("fonts"), (F.min("bold") < F.max("bold")).alias("weights")).where(F.col("n") >= 2)
     return agg.select(*PAGE_KEY, "block_id", F.explode_outer(reasons(
-        (F.col("font_count") > 1, "font_family_inconsistent"), (F.col("weight_count") > 1, "font_weight_inconsistent"))).alias("rule")).where(
+        (F.col("fonts"), "font_family_inconsistent"), (F.col("weights"), "font_weight_inconsistent"))).alias("rule")).where(
         F.col("rule").isNotNull())
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliolens.functions import skew
 from foliolens.functions.common import PAGE_KEY, prefixed
 from foliolens.operators import layout_pairs as lp
+from foliolens.operators import text as ot
 from foliolens.plans import load_all
 
 DATA = "/root/testdata/sf0.01"
@@ -119,3 +120,10 @@ def test_boxes_are_not_grouped_before_they_are_dealt(spark, name):
     lines = plan(QUERIES[name](spark, DATA)).splitlines()
     dealt = [i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line]
     assert dealt and not any("Aggregate" in lines[i + 1] for i in dealt)
+
+
+def test_list_styles_need_no_copy_of_each_line_per_style(spark):
+    assert "Expand" not in plan(QUERIES["t21_list_style_consistency"](spark, DATA))
+    rows = [(1, 1, 1, "①a", "x", True), (1, 1, 1, "②b", None, True), (1, 1, 2, "①a", "x", True), (1, 1, 2, "②b", "y", None), (1, 1, 3, "①a", "x", True), (1, 1, 3, "②b", "x", False)]
+    items = spark.createDataFrame(rows, "artifact_id int, page int, block_id int, text string, font string, bold boolean")
+    assert {(r.block_id, r.rule) for r in ot.list_style(items).collect()} == {(2, "font_family_inconsistent"), (3, "font_weight_inconsistent")}
