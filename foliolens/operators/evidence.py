@@ -294,14 +294,16 @@ def ledger_entry_rules(entries: DataFrame, workflows: DataFrame) -> DataFrame:
     targets = F.col("target_ids")
     sorted_ok = (F.size(targets) > 0) & (targets == F.array_sort(F.array_distinct(targets))) & F.forall(targets, lambda t: t.rlike(HASH))
     repair_ok = (F.col("adapter_id") == REPAIR_ADAPTER) & F.col("operation").isin(REPAIR_OPERATIONS) & ~F.col("producer_mutation")
-    return entries.join(own, "workflow_id", "left").select("workflow_id", "seq", F.explode(reasons(
+    # what needs no workflow is decided before the join, so rows meet theirs without their hashes and boxes
+    alone = entries.select("workflow_id", "seq", "task_id", "source_sha256", reasons(
         (_no(F.col("schema_version") == CANDIDATE_SCHEMA), "schema_mismatch"),
-        (_no(F.col("task_id") == F.col("w_task_id")), "cross_task_identity"), (_no(F.col("source_sha256") == F.col("w_source")), "source_drift"),
         (_no(F.col("issue_family").isin(ISSUE_FAMILIES)), "issue_family_unknown"), (_no(sorted_ok), "targets_not_anonymised"),
         (_no(F.col("before_sha256").rlike(HASH) & F.col("after_sha256").rlike(HASH)), "artifact_hash_invalid"),
         (_no(_geometry_ok(F.col("before_box")) & _geometry_ok(F.col("after_box"))), "geometry_invalid"), (_no(repair_ok), "repair_invalid"),
         (_no(F.col("genericization_candidate").isin("true", "false")), "genericization_flag_invalid"),
-        (_no(F.col("candidate_id") == F.col("core_digest")), "candidate_identity_mismatch"))).alias("reason"))
+        (_no(F.col("candidate_id") == F.col("core_digest")), "candidate_identity_mismatch")).alias("_alone"))
+    met = reasons((_no(F.col("task_id") == F.col("w_task_id")), "cross_task_identity"), (_no(F.col("source_sha256") == F.col("w_source")), "source_drift"))
+    return alone.join(own, "workflow_id", "left").select("workflow_id", "seq", F.explode(F.concat("_alone", met)).alias("reason"))
 
 
 # one string token of a JSON text: the value of a path with its name, a name with its colon, or a value

@@ -257,7 +257,8 @@ UNION ALL SELECT user_id, event_id, 'candidate_identity_mismatch' FROM events WH
 def e16_rules(spark, d):
     """One kind of damage for each remainder of the event's number."""
     k = "CAST(event_id % 31 AS INT)"
-    rows = load(spark, d, "events").selectExpr(
+    # dealt over tasks, as a file may be one split of any number of rows
+    rows = load(spark, d, "events").repartition("event_id").selectExpr(
         "user_id AS workflow_id", "event_id AS seq", f"IF({k} = 0, NULL, '{ev.CANDIDATE_SCHEMA}') AS schema_version", f"IF({k} = 1, 't_x', concat('t_', CAST(user_id AS STRING))) AS task_id",
         f"IF({k} = 2, sha2('moved', 256), sha2(CAST(user_id AS STRING), 256)) AS source_sha256", "IF(event_type = 'error', 'other', 'safe-wrap') AS issue_family",
         "CASE WHEN event_id % 7 = 0 THEN filter(array(''), x -> false) WHEN event_id % 11 = 0 THEN array('name') WHEN event_id % 5 = 0 THEN array(sha2(props, 256), sha2(event_type, 256)) ELSE array(sha2(props, 256)) END AS target_ids",

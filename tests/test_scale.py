@@ -127,3 +127,9 @@ def test_list_styles_need_no_copy_of_each_line_per_style(spark):
     rows = [(1, 1, 1, "①a", "x", True), (1, 1, 1, "②b", None, True), (1, 1, 2, "①a", "x", True), (1, 1, 2, "②b", "y", None), (1, 1, 3, "①a", "x", True), (1, 1, 3, "②b", "x", False)]
     items = spark.createDataFrame(rows, "artifact_id int, page int, block_id int, text string, font string, bold boolean")
     assert {(r.block_id, r.rule) for r in ot.list_style(items).collect()} == {(2, "font_family_inconsistent"), (3, "font_weight_inconsistent")}
+
+
+def test_ledger_rules_of_a_row_come_before_the_join(spark):
+    """Entries meet their workflow without hashes and boxes, and are dealt over tasks first."""
+    text = plan(QUERIES["e16_ledger_entry_rules"](spark, DATA))
+    assert text.index("Join") < text.index("issue_family_unknown") and "REPARTITION_BY_COL" in text
