@@ -25,30 +25,40 @@ def union_box(boxes: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def coalesce_baselines(lines: DataFrame, tolerance: float = 0.75) -> DataFrame:
+def coalesce_baselines(lines: DataFrame, tolerance: float = 0.75, crowd: int = skew.CROWD) -> DataFrame:
     """Merge fragments on one visual baseline, measured from the group's first baseline.
 
-    Distinct baselines are first cut where two neighbours are further apart
-    than the tolerance; only the short chains between cuts need the ordered
-    fold that anchors a group at its first member.
+    The distinct baselines of a page are folded in order in its row. On pages of more than ``crowd`` lines they
+    are first cut where two neighbours are further apart than the tolerance; only the short chains between cuts need
+    the ordered fold that anchors a group at its first member.
     """
-    levels = lines.groupBy(*PAGE_KEY, "baseline_y").agg(F.count(F.lit(1)).alias("_n"))
-    band = F.floor(F.col("baseline_y") / BAND)
-    levels = skew.shift(levels, PAGE_KEY, ["baseline_y"], {"_prev": F.col("baseline_y")}, -1, band)
-    cut = F.col("_prev").isNull() | (F.col("baseline_y") - F.col("_prev") > tolerance)
-    levels = skew.running(levels, PAGE_KEY, ["baseline_y"],
-                          {"chain": ("max", F.when(cut, F.col("baseline_y")))}, band)
-    chains = levels.groupBy(*PAGE_KEY, "chain").agg(F.array_sort(F.collect_list("baseline_y")).alias("ys"))
     anchored = F.aggregate(
         "ys", F.array().cast("array<struct<y:double,anchor:double>>"),
         lambda acc, y: F.concat(acc, F.array(F.struct(
             y.alias("y"),
             F.when((F.size(acc) > 0) & (y - F.element_at(acc, -1)["anchor"] <= tolerance),
                    F.element_at(acc, -1)["anchor"]).otherwise(y).alias("anchor")))))
-    anchors = chains.select(*PAGE_KEY, F.inline(F.when(
-        F.size("ys") == 1, F.array(F.struct(F.col("chain").alias("y"), F.col("chain").alias("anchor")))
-    ).otherwise(anchored))).withColumnRenamed("y", "baseline_y")
-    joined = lines.join(anchors, [*PAGE_KEY, "baseline_y"])
+
+    def plain(lines: DataFrame) -> DataFrame:
+        pages = lines.groupBy(*PAGE_KEY).agg(F.array_sort(F.collect_set("baseline_y")).alias("ys"))
+        own = F.col("baseline_y")
+        return lines.join(pages.select(*PAGE_KEY, anchored.alias("_anchors")), PAGE_KEY).withColumn(
+            "anchor", F.get(F.filter("_anchors", lambda s: s["y"] == own), F.lit(0))["anchor"]).drop("_anchors").where(F.col("anchor").isNotNull())
+
+    def spread(lines: DataFrame) -> DataFrame:
+        levels = lines.groupBy(*PAGE_KEY, "baseline_y").agg(F.count(F.lit(1)).alias("_n"))
+        band = F.floor(F.col("baseline_y") / BAND)
+        levels = skew.shift(levels, PAGE_KEY, ["baseline_y"], {"_prev": F.col("baseline_y")}, -1, band)
+        cut = F.col("_prev").isNull() | (F.col("baseline_y") - F.col("_prev") > tolerance)
+        levels = skew.running(levels, PAGE_KEY, ["baseline_y"],
+                              {"chain": ("max", F.when(cut, F.col("baseline_y")))}, band)
+        chains = levels.groupBy(*PAGE_KEY, "chain").agg(F.array_sort(F.collect_list("baseline_y")).alias("ys"))
+        anchors = chains.select(*PAGE_KEY, F.inline(F.when(
+            F.size("ys") == 1, F.array(F.struct(F.col("chain").alias("y"), F.col("chain").alias("anchor")))
+        ).otherwise(anchored))).withColumnRenamed("y", "baseline_y")
+        return lines.join(anchors, [*PAGE_KEY, "baseline_y"]).select(*lines.columns, "anchor")
+
+    joined = skew.by_crowd(PAGE_KEY, skew.crowds(PAGE_KEY, lines, limit=crowd), plain, spread, lines)
     ordered = F.array_sort(F.collect_list(F.struct("x0", "box_id", "text")))
     return joined.groupBy(*PAGE_KEY, "anchor").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),

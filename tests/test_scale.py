@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliolens.functions import skew
 from foliolens.functions.common import PAGE_KEY, prefixed
+from foliolens.operators import layout_lines as ll
 from foliolens.operators import layout_pairs as lp
 from foliolens.operators import text as ot
 from foliolens.plans import load_all
@@ -133,3 +134,13 @@ def test_ledger_rules_of_a_row_come_before_the_join(spark):
     """Entries meet their workflow without hashes and boxes, and are dealt over tasks first."""
     text = plan(QUERIES["e16_ledger_entry_rules"](spark, DATA))
     assert text.index("Join") < text.index("issue_family_unknown") and "REPARTITION_BY_COL" in text
+
+
+@pytest.mark.parametrize("crowd", [0, 20])
+def test_baselines_of_crowded_pages_are_merged_as_others(spark, crowd):
+    lines = some_boxes(spark, 10).withColumns({"baseline_y": F.col("y1") / 8, "font_size": F.lit(9.0), "text": F.col("box_id")})
+    same(ll.coalesce_baselines(lines, crowd=crowd), ll.coalesce_baselines(lines, crowd=1000))
+
+
+def test_baselines_of_a_page_are_merged_where_it_is(spark):
+    assert plan(QUERIES["g16_coalesce_baselines"](spark, DATA)).count("Exchange hashpartitioning") <= 2
