@@ -14,6 +14,7 @@ from .common import any_of, let, reasons
 
 MAX_REWRITES, MAX_DOCUMENT_REWRITES = 2, 8
 OPEN, CLOSE = "\ufdd0", "\ufdd1"  # noncharacters, never part of valid text
+CUT = "\ufdd2"  # a third one; texts that hold it are cut by pattern
 
 # ---- fixed values: patterns of the cleanup rules -------------------------------------------
 SENTENCE_PROTECTED = (r"(?U)\d|https?://|(?:^|\s)/[\w./~:-]+|(?:^|\s)[A-Za-z]:\\[\\\w. -]+|MEDIA:|`[^`]+`"
@@ -30,12 +31,14 @@ CONTRAST_RATHER = r"(?Ud)^([^。．!?！？\n]{1,80})というより[、,\s]*([^
 PROPER_NOUN = r"(?:株式会社|有限会社|合同会社|[都道府県]$|[市区町村]$|大学|病院|銀行)"
 INLINE_PROTECTED = (r"(?U)`[^`]*`|!?\[[^\]]*\]\([^)]*\)|https?://[^\s<>()]+"
                     r"|(?:^|(?<=\s))(?:/[\w.~:-]+(?:/[\w.~:-]+)*|[A-Za-z]:\\[^\s<>|]*)|MEDIA:\S*")
+INLINE_HINTS = ["`", "[", "/", "\\", "MEDIA:"]  # what stands in every protected span
 LINE_PREFIX = r"(?U)^(\s*(?:#{1,6}\s+|(?:[-*+] |\d+[.)] )))"
 FENCE = r"(?U)^\s*(`{3,}|~{3,})"
 BLOCKQUOTE, PIPE_TABLE, MEDIA_LINE = r"(?U)^\s*>", r"(?Ud)^\s*\|[^\n]*\|\s*$", r"(?U)^\s*MEDIA:"
 PROTECTED_LINE = r"(?Ud)^\s*(?:>|MEDIA:|\|[^\n]*\|\s*$)"
 SENTENCE = "[^。．!?！？]+[。．!?！？]?"
 LINE_END = r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
+LINE_ENDS, SENTENCE_ENDS = "\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", "。．!?！？"
 REWRITE_HINT = "必要なら|必要であれば|これは単なる|というより|だけでは|のみでは"
 # ---- fixed values: line-join characters and tokens -----------------------------------------
 OPENING = "（［【「『〈《〔｛([{<"
@@ -92,7 +95,16 @@ def line_hash(c: Column) -> Column:
 def split_lines(text: Column) -> Column:
     """Lines with their ends; an empty text is one line, a final end adds none."""
     parts = F.split(text, LINE_END)
-    return F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    parts = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    marked = F.replace(_marked(text, LINE_ENDS + "\r"), F.lit(f"\r{CUT}\n"), F.lit("\r\n"))
+    return F.when(F.contains(text, F.lit(CUT)), parts).otherwise(F.split(F.rtrim(marked, F.lit(CUT)), CUT))
+
+
+def _marked(text: Column, ends: str) -> Column:
+    """The text with a cut behind each of the characters; plain replacements take a small part of the time of a pattern."""
+    for c in ends:
+        text = F.replace(text, F.lit(c), F.lit(c + CUT))
+    return text
 
 
 def fence_spans(lines: Column) -> Column:
@@ -120,6 +132,10 @@ def fence_spans(lines: Column) -> Column:
     return F.aggregate(marks, start, step, finish)
 
 
+def _holds(c: Column, parts: list[str]) -> Column:
+    return any_of([F.contains(c, F.lit(p)) for p in parts])
+
+
 def line_kind(line: Column) -> Column:
     return (F.when(line.rlike(BLOCKQUOTE), "blockquote").when(line.rlike(PIPE_TABLE), "pipe_table")
             .when(line.rlike(MEDIA_LINE), "media").otherwise("normal"))
@@ -132,9 +148,11 @@ def inline_parts(line: Column) -> Column:
 
     def with_prefix(prefix: Column) -> Column:
         rest = F.substring(line, F.length(prefix) + 1, F.length(line))
-        marked = F.when(rest.rlike("[`\\[/\\\\]|MEDIA:"), F.regexp_replace(rest, pattern, f"{OPEN}$1{CLOSE}")).otherwise(rest)
-        parts = F.transform(F.split(marked, f"(?={OPEN})|(?<={CLOSE})"), lambda p: F.struct(
+        marked = F.when(_holds(rest, INLINE_HINTS), F.regexp_replace(rest, pattern, f"{OPEN}$1{CLOSE}")).otherwise(rest)
+        cut = F.transform(F.split(marked, f"(?={OPEN})|(?<={CLOSE})"), lambda p: F.struct(
             F.startswith(p, F.lit(OPEN)).alias("protected"), F.translate(p, OPEN + CLOSE, "").alias("text")))
+        # most lines hold nothing to protect and are one piece
+        parts = F.when(_holds(rest, [*INLINE_HINTS, OPEN, CLOSE]), cut).otherwise(F.array(F.struct(F.lit(False).alias("protected"), rest.alias("text"))))
         head = F.when(prefix != "", F.array(F.struct(F.lit(True).alias("protected"), prefix.alias("text")))).otherwise(F.array().cast(kinds))
         both = F.concat(head, F.filter(parts, lambda p: p["text"] != ""))
         whole = F.array(F.struct(F.lit(False).alias("protected"), line.alias("text")))
@@ -157,9 +175,22 @@ def segments(lines: Column, spans: Column) -> Column:
 
 # ---- sentence rules ------------------------------------------------------------------------
 def split_sentences(text: Column) -> Column:
+    """The sentences of a text, by pattern; end marks at the start or behind another one belong to none."""
     return F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), 1)
 
 
+def whole_sentences(text: Column) -> Column:
+    """The sentences of a text if they join back to it, else null."""
+    def by_cuts(parts: Column) -> Column:
+        alone = F.arrays_overlap(parts, F.array(*map(F.lit, SENTENCE_ENDS)))
+        return F.when(~alone, parts)
+
+    found = split_sentences(text)
+    by_pattern = F.when(F.array_join(found, "") == text, found)
+    by_mark = let(F.split(F.rtrim(_marked(text, SENTENCE_ENDS), F.lit(CUT)), CUT), by_cuts)
+    return (F.when(text == "", F.array().cast("array<string>")).when(F.contains(text, F.lit(CUT)), by_pattern).otherwise(by_mark))
+
+
 def is_protected(sentence: Column) -> Column:
     return sentence.rlike(SENTENCE_PROTECTED)
 
@@ -217,10 +248,10 @@ def sentence_results(text: Column) -> Column:
 
     def judge(sents: Column) -> Column:
         def one(s: Column, i: Column) -> Column:
-            found = F.when(s.rlike(REWRITE_HINT), rules(s, i, sents))
+            found = F.when(_holds(s, REWRITE_HINT.split("|")), rules(s, i, sents))
             return let(found, lambda r: F.struct(s.alias("sentence"), r["text"].alias("result"), r["rule"].alias("rule")))
-        return F.when(F.array_join(sents, "") == text, F.transform(sents, one))
-    return let(split_sentences(text), judge)
+        return F.transform(sents, one)
+    return let(whole_sentences(text), judge)
 
 
 def prose_result(results: Column, text: Column, limit: int) -> Column:

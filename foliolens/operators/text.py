@@ -50,9 +50,10 @@ def split_segments(docs: DataFrame) -> DataFrame:
 # filter on the generated array below, which would compute the array twice.
 def sentences(segs: DataFrame) -> DataFrame:
     """Sentences of prose segments whose sentences join back to the segment."""
-    sents = tx.split_sentences(F.col("text"))
-    return segs.where(~F.col("protected")).withColumn("_s", sents).where(F.array_join("_s", "") == F.col("text")).select(
-        *[c for c in segs.columns if c not in ("protected", "text")], F.posexplode_outer("_s").alias("sent_no", "sentence"))
+    # the sentences come out of the outer generator and are filtered there, else a filter would compute them once more
+    keep = [c for c in segs.columns if c not in ("protected", "text")]
+    return segs.where(~F.col("protected")).select(*keep, F.posexplode_outer(tx.whole_sentences(F.col("text"))).alias("sent_no", "sentence")).where(
+        F.col("sentence").isNotNull())
 
 
 def judge_sentences(segs: DataFrame) -> DataFrame:
