@@ -75,12 +75,21 @@ ALIASED = ["protected-token", "opening-bracket-end", "forbidden-line-head", "ver
            "contiguous-hiragana", "ambiguous-japanese", "ambiguous"]
 
 
+def blank_right(c: Column) -> Column:
+    return F.right(c, F.lit(1)).rlike(r"(?U)\s")
+
+
+def blank_left(c: Column) -> Column:
+    return F.left(c, F.lit(1)).rlike(r"(?U)\s")
+
+
+# a pattern looks at every character, so only texts with a blank at their end are given to it
 def strip_right(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.when(blank_right(c), F.regexp_replace(c, r"(?U)\s+$", "")).otherwise(c)
 
 
 def strip_left(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+", "")
+    return F.when(blank_left(c), F.regexp_replace(c, r"(?U)^\s+", "")).otherwise(c)
 
 
 def strip(c: Column) -> Column:
@@ -308,7 +317,7 @@ def _count(c: Column, ch: str) -> Column:
 
 
 def only_brackets(c: Column) -> Column:
-    return F.regexp_replace(c, "[^" + "".join("\\" + x if x in "[]" else x for pair in BRACKETS for x in pair) + "]", "")
+    return F.regexp_replace(c, "[^" + "".join("\\" + x if x in "[]" else x for pair in BRACKETS for x in pair) + "]++", "")
 
 
 def boundary_aliases(left: Column, right: Column, trimmed: bool = False, brackets: tuple[Column, Column] | None = None) -> Column:
@@ -316,7 +325,8 @@ def boundary_aliases(left: Column, right: Column, trimmed: bool = False, bracket
     if not trimmed:
         left, right = strip_right(left), strip_left(right)
     last, first = F.right(left, F.lit(1)), F.left(right, F.lit(1))
-    url = F.concat(left, right).rlike(r"(?U)^https?://[^\s]+$")
+    both = F.concat(left, right)
+    url = F.startswith(both, F.lit("http")) & both.rlike(r"(?U)^https?://[^\s]+$")
     letters = last.rlike("^[A-Za-z]$") & first.rlike("^[A-Za-z]$")
     polite = _starts(right, POLITE[0]) | _ends(left, POLITE[1])
     verb = _starts(right, VERB_AUX[0]) | _ends(left, VERB_AUX[1])
@@ -368,7 +378,7 @@ def boundary_kind(text: Column, index: Column, left: Column | None = None, right
     right = strip_left(F.substring(text, index + 1, F.length(text))) if right is None else right
     inside = inside_protected(text, index) if inside is None else inside
     last, first = F.right(left, F.lit(1)), F.left(right, F.lit(1))
-    particle = left.rlike("(?:" + "|".join(PARTICLES) + ")$")
+    particle = _ends(left, PARTICLES)
     around = F.substring(text, index, F.lit(2))
     return (F.when((index <= 0) | (index >= F.length(text)), "edge").when((left == "") | (right == ""), "empty")
             .when(inside, "protected-token").when(last.rlike(_chars(OPENING)), "opening-bracket-end")
@@ -393,7 +403,8 @@ def boundary_details(kind: Column, left: Column, right: Column, trimmed: bool =
     own = F.array(table[kind])
     both = F.when(kind.isin(ALIASED) & (F.size(aliases) > 0), aliases).otherwise(F.array_distinct(F.concat(aliases, own)))
     prefer = F.create_map(*[x for k, v in PREFERENCE.items() for x in (F.lit(k), F.lit(v))])
-    attributive = (kind == "particle-ending") & (F.regexp_extract(left if trimmed else strip_right(left), "(" + "|".join(PARTICLES) + ")$", 1) == "の")
+    # no longer particle ends with this one
+    attributive = (kind == "particle-ending") & F.endswith(left if trimmed else strip_right(left), F.lit("の"))
     score = F.when(attributive, F.lit(6.0)).otherwise(F.coalesce(prefer[kind], F.lit(30.0)))
     return allowed, F.when(allowed, F.array().cast("array<string>")).otherwise(both), score
 
@@ -409,13 +420,15 @@ def classify_join(left: Column, right: Column) -> Column:
     return let(boundary_kind(text, index), outcome)
 
 
-def with_join(df: DataFrame, left: Column, right: Column, inside: Column | None = None) -> DataFrame:
+def with_join(df: DataFrame, left: Column, right: Column, inside: Column | None = None, brackets: tuple[Column, Column] | None = None) -> DataFrame:
     """Add ``allowed, kind, rule_ids, preference`` in stages, so that each text is trimmed once.
 
-    ``inside`` may give the answer of ``inside_protected`` where it is known; null means unknown.
+    ``inside`` may give the answer of ``inside_protected`` where it is known; null means unknown. ``brackets`` may give
+    the brackets of both texts.
     """
+    bl, br = brackets or (only_brackets(F.col("_l")), only_brackets(F.col("_r")))
     out = df.withColumn("_l", strip_right(left)).withColumn("_r", strip_left(right))
-    out = out.withColumns({"_t": F.concat("_l", "_r"), "_x": F.length("_l"), "_bl": only_brackets(F.col("_l")), "_br": only_brackets(F.col("_r"))})
+    out = out.withColumns({"_t": F.concat("_l", "_r"), "_x": F.length("_l"), "_bl": bl, "_br": br})
     own = inside_protected(F.col("_t"), F.col("_x"))
     out = out.withColumn("_in", own if inside is None else F.coalesce(inside, own))
     out = out.withColumn("kind", boundary_kind(F.col("_t"), F.col("_x"), F.col("_l"), F.col("_r"), F.col("_in")))

@@ -141,17 +141,19 @@ def break_lint(paragraphs: DataFrame) -> DataFrame:
     """
     breaks = F.filter(F.sequence(F.lit(0), F.size("segments") - 1), lambda i: F.element_at("segments", i + 1).isNull())
     whole = F.array_join("segments", "")
-    rows = paragraphs.where(F.exists("segments", lambda s: s.isNull())).withColumn("tokens", tx.token_spans(whole)).select(
-        "paragraph_id", "segments", "tokens", F.explode_outer(breaks).alias("break_index"))
+    rows = paragraphs.where(F.exists("segments", lambda s: s.isNull())).withColumn("tokens", tx.token_spans(whole)).withColumn(
+        "brackets", F.transform("segments", tx.only_brackets)).select("paragraph_id", "segments", "tokens", "brackets", F.explode_outer(breaks).alias("break_index"))
     n = F.size("segments")
-    rows = rows.withColumn("left", F.array_join(F.slice("segments", F.lit(1), F.col("break_index")), "")).withColumn(
-        "right", F.array_join(F.when(F.col("break_index") + 1 < n, F.slice("segments", F.col("break_index") + 2, n)), "")).drop("segments")
+    before = lambda c: F.array_join(F.slice(c, F.lit(1), F.col("break_index")), "")
+    after = lambda c: F.array_join(F.when(F.col("break_index") + 1 < n, F.slice(c, F.col("break_index") + 2, n)), "")
+    # brackets are looked for once per paragraph, not in all of it for every break
+    rows = rows.withColumns({"left": before("segments"), "right": after("segments"), "lb": before("brackets"), "rb": after("brackets")}).drop("segments", "brackets")
     # without blanks at the break the joined text is the paragraph itself, whose tokens are known
-    blank = F.col("left").rlike(r"(?U)\s\z") | F.col("right").rlike(r"(?U)^\s")
+    blank = tx.blank_right(F.col("left")) | tx.blank_left(F.col("right"))
     at = F.length("left")
     known = F.when(~blank, tx.let(at, lambda x: F.exists("tokens", lambda t: (t["lo"] < x) & (x < t["hi"]))))
     rows = rows.where((tx.strip_right(F.col("left")) != "") & (tx.strip_left(F.col("right")) != "")).withColumn("known", known).drop("tokens")
-    rows = tx.with_join(rows, F.col("left"), F.col("right"), F.col("known"))
+    rows = tx.with_join(rows, F.col("left"), F.col("right"), F.col("known"), (F.col("lb"), F.col("rb")))
     has = lambda *ids: F.arrays_overlap(F.col("rule_ids"), F.array(*map(F.lit, ids)))
     circled = F.right("left", F.lit(1)).rlike(f"[{CIRCLED}]") | F.left("right", F.lit(1)).rlike(f"[{CIRCLED}]")
     rule = first_reason(
@@ -159,7 +161,9 @@ def break_lint(paragraphs: DataFrame) -> DataFrame:
         (has("SAFE-WRAP-URL-SPLIT-01", "SAFE-WRAP-ENGLISH-SPLIT-01"), "manual_break_word_split"), (circled, "manual_break_circled_number_split"),
         (has("SAFE-WRAP-OPENING-BRACKET-END-01", "SAFE-WRAP-FORBIDDEN-LINE-HEAD-01", "SAFE-WRAP-BRACKET-PAIR-BOUNDARY-01"), "manual_break_bracket_or_punctuation_split"),
         (has("SAFE-WRAP-STRANDED-PARTICLE-01"), "manual_break_particle_split"), default="manual_break_inside_japanese_phrase")
-    return rows.where(~F.col("allowed")).select("paragraph_id", "break_index", rule.alias("rule"), "kind")
+    # out of an outer generator, as a filter on ``allowed`` would move down and judge every break twice
+    found = F.explode_outer(F.when(~F.col("allowed"), F.array(F.struct(rule.alias("rule"), "kind")))).alias("r")
+    return rows.select("paragraph_id", "break_index", found).where(F.col("r").isNotNull()).select("paragraph_id", "break_index", "r.rule", "r.kind")
 
 
 def line_lint(lines: DataFrame, keys: list[str]) -> DataFrame:
