@@ -214,15 +214,18 @@ def project_candidates(candidates: DataFrame, regions: DataFrame) -> DataFrame:
     """Measurements and missing information a reviewer needs, by candidate type.
 
     ``candidates``: ``candidate_id, rule, artifact_id, page, overlap, first_id, second_id, has_bbox,
-    line_ids, units, has_roles, has_relationship``; ``regions`` may carry ``source_order``.
+    line_ids, units, has_roles, has_relationship``; ``regions`` may carry ``source_order``, their ids are unique in an artifact.
     """
     def side(p: str) -> DataFrame:
         return regions.select("artifact_id", F.col("region_id").alias(p + "id"), *[F.col(e).alias(p + e) for e in geo.EDGES],
                               F.col("source_order").alias(p + "order"), F.col("known_occlusion").alias(p + "occ"))
 
-    joined = candidates.join(side("first_"), ["artifact_id", "first_id"], "left").join(
-        side("second_"), ["artifact_id", "second_id"], "left")
     a, b = "first_", "second_"
+    # only overlapping candidates are measured, so only they are dealt by region, with their keys alone; the others stay where they are
+    measured = (F.col("rule") == "unclassified_source_overlap_or_gutter") & (F.col("overlap") > 0)
+    needed = candidates.where(measured).select("artifact_id", "candidate_id", "rule", "overlap", "first_id", "second_id")
+    needed = needed.join(side(a), ["artifact_id", "first_id"], "left").join(side(b), ["artifact_id", "second_id"], "left")
+    joined = needed.unionByName(candidates.where(~F.coalesce(measured, F.lit(False))), allowMissingColumns=True)
     area = geo.intersection_area(a, b)
     smaller = F.least(geo.area(a), geo.area(b))
     kind = F.when(F.col("rule") == "unclassified_source_overlap_or_gutter", "source_overlap").when(

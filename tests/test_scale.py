@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliolens.functions import skew
 from foliolens.functions.common import PAGE_KEY, prefixed
+from foliolens.operators import findings
 from foliolens.operators import layout_lines as ll
 from foliolens.operators import layout_pairs as lp
 from foliolens.operators import text as ot
@@ -144,3 +145,22 @@ def test_baselines_of_crowded_pages_are_merged_as_others(spark, crowd):
 
 def test_baselines_of_a_page_are_merged_where_it_is(spark):
     assert plan(QUERIES["g16_coalesce_baselines"](spark, DATA)).count("Exchange hashpartitioning") <= 2
+
+
+def test_only_measured_candidates_meet_regions(spark):
+    columns = ("artifact_id int, candidate_id string, rule string, page int, overlap double, first_id string, second_id string, has_bbox boolean, "
+               "line_ids string, units string, has_roles boolean, has_relationship boolean")
+    over, gap = "unclassified_source_overlap_or_gutter", "line_spacing_candidate"
+    tail = (True, "l", "pt", True, True)
+    rows = [(1, "a", over, 1, 2.0, "r", "s", *tail), (1, "b", over, 1, 0.0, "r", "s", *tail), (1, "c", over, None, None, "r", "s", *tail),
+            (1, "d", over, 1, 2.0, "r", None, *tail), (1, "e", gap, 1, 2.0, "r", "s", *tail), (1, "f", gap, None, None, None, "s", *tail), (1, "g", None, 1, 2.0, "r", "s", *tail)]
+    regions = spark.createDataFrame([(1, "r", 0.0, 0.0, 4.0, 4.0, 1, None), (1, "s", 2.0, 2.0, 6.0, 6.0, None, True)],
+                                    "artifact_id int, region_id string, x0 double, y0 double, x1 double, y1 double, source_order int, known_occlusion boolean")
+    found = findings.project_candidates(spark.createDataFrame(rows, columns), regions)
+    got = {r.candidate_id: (r.candidate_type, r.overlap_area, r.overlap_ratio, r.missing_information, r.complete, r.reason) for r in found.collect()}
+    assert got == {
+        "a": ("source_overlap", 4.0, 0.25, "source_stacking_order,rendered_stacking_order", True, None), "b": ("source_overlap", None, None, None, False, "non_overlap_candidate"),
+        "c": ("source_overlap", None, None, None, False, "non_overlap_candidate"), "d": ("source_overlap", None, None, None, False, "member_geometry_missing"),
+        "e": ("measured_spacing", None, None, "", True, None), "f": ("measured_spacing", None, None, "page,source_shape_ids", False, None),
+        "g": (None, None, None, None, False, "unsupported_candidate_type")}
+    assert "Union" in found._jdf.queryExecution().executedPlan().toString()
