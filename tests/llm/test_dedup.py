@@ -335,3 +335,18 @@ def test_line_dedup_strip(spark):
     assert line_dedup.strip(docs.limit(0)).count() == 0
     report = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed_lines"]) for r in line_dedup.report(docs).collect()}
     assert report == {1: (1, 0, ""), 2: (2, 1, "0"), 3: (1, 1, "0"), 4: (0, 0, ""), 5: (1, 0, ""), 6: (1, 0, "")}
+
+
+def test_left_lines_of_a_block_are_compared_in_its_join(spark):
+    rng = random.Random(5)
+    base_bits = [rng.getrandbits(31) for _ in range(8)]
+    bits = {i: [x ^ (rng.getrandbits(31) & (rng.getrandbits(31) if i % 2 else 0)) for x in base_bits] for i in range(12)}
+    hashed = spark.createDataFrame([(i, 0, *v) for i, v in bits.items()], "id bigint, kind int, " + ", ".join(f"{s} int" for s in line_dedup.HASHES))
+    rest = spark.createDataFrame([(i % 2, 0, i, i) for i in range(12)], "block bigint, kind int, a bigint, ra bigint")
+    other = spark.createDataFrame([(i % 2, 0, i, i, i < 4) for i in range(12)], "block bigint, kind int, b bigint, rb bigint, mb boolean")
+    found = line_dedup.left_pairs(rest, other, hashed)
+    near = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(bits[a], bits[b], strict=True)) <= line_dedup.DISTANCE
+    expected = [(a, b) for a in range(12) for b in range(12) if a % 2 == b % 2 and a != b and (b < 4 or a < b) and near(a, b)]
+    assert sorted((r.a, r.b) for r in found.collect()) == expected and expected
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x]
+    assert "bit_count" in joins[0]
