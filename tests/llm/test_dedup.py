@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliolens.llm import components, line_dedup, ngram_join, suffix_dedup
+from foliolens.llm import base, components, line_dedup, ngram_join, suffix_dedup
 
 SCHEMA = "doc_id bigint, text string, n int, key string, cid string, line int, _id string, component string"
 
@@ -350,3 +351,40 @@ def test_left_lines_of_a_block_are_compared_in_its_join(spark):
     assert sorted((r.a, r.b) for r in found.collect()) == expected and expected
     joins = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x]
     assert "bit_count" in joins[0]
+
+
+def test_short_lines_left_in_a_block_leave_its_join_as_links_only(spark):
+    texts = {i: f"line {i % 2} of some words that tell nothing else {'abcdefghij'[i] * 14}" for i in range(8)} | {8: "z" * 300, 9: "z" * 299 + "y"}
+    texts[1] = texts[0].replace("words", "wards")
+    each = spark.createDataFrame([(str(i).encode(), t) for i, t in texts.items()], "key binary, norm string")
+    ids = {r.i: r.id for r in each.select(F.col("key").cast("string").cast("int").alias("i"), F.xxhash64("key").alias("id")).collect()}
+    # all lie in one block and have equal hashes, so only their texts tell them apart
+    hashed = spark.createDataFrame([(v, 0, *[1] * 8) for v in ids.values()], "id bigint, kind int, " + ", ".join(f"{s} int" for s in line_dedup.HASHES))
+    rest = spark.createDataFrame([(1, 0, v, v) for v in ids.values()], "block bigint, kind int, a bigint, ra bigint")
+    other = spark.createDataFrame([(1, 0, v, v, False) for v in ids.values()], "block bigint, kind int, b bigint, rb bigint, mb boolean")
+    found = line_dedup.left_pairs(rest, other, hashed, line_dedup.short_texts(rest, other, each)).collect()
+    assert {(frozenset((r.a, r.b)), r.sure) for r in found} == {(frozenset((ids[0], ids[1])), True), (frozenset((ids[8], ids[9])), False)}
+
+
+def test_staged_tables_of_a_step_go_and_its_results_stay(spark):
+    def folders(df):
+        return {f.rsplit("/", 2)[0].removeprefix("file://").removeprefix("file:") for f in df.inputFiles()}
+
+    with base.passing(spark):
+        with base.passing(spark):
+            inner, step = base.staged(spark.range(3).toDF("x"), "inner"), base.staged(spark.range(4).toDF("x"), "step", keep=True)
+            gone = folders(inner)
+        assert not any(os.path.exists(f) for f in gone) and step.count() == 4
+        result = base.staged(step, "result", keep=True)
+        gone = folders(step)
+    assert not any(os.path.exists(f) for f in gone) and result.count() == 4
+
+
+@pytest.mark.parametrize("run", [line_dedup.report, line_dedup.strip, ngram_join.components, ngram_join.keep_one])
+def test_only_tables_that_a_result_reads_stay(spark, run):
+    rng = random.Random(8)
+    rows = [(i, words(rng, 30) + "\n" + words(rng, 9)) for i in range(12)]
+    docs = table(spark, [*rows, *[(100 + i, t) for i, t in rows[:5]]])
+    before = set(os.listdir(base.work_dir(spark).removeprefix("file://")))
+    assert run(docs).count() > 0
+    assert len(set(os.listdir(base.work_dir(spark).removeprefix("file://"))) - before) <= 2
