@@ -362,10 +362,15 @@ def homes_of(entries: DataFrame, rounds: int = 3) -> DataFrame:
 
 def class_links(rows: DataFrame, marked: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, component) of linked classes; ids as in ``_class_key``."""
-    entries = base.staged(shared_groups(marked, percent), "entries")
-    homes = base.staged(homes_of(entries).join(classes, ["cid", "n"]), "homes")
-    full = class_sets(rows, homes.select("cid", "n", "rep"), size).join(homes.drop("rep"), ["cid", "n"])
-    nodes = base.staged(pack(full, percent), "nodes")
+    spark = rows.sparkSession
+    with base.passing(spark):
+        with base.passing(spark):
+            entries = base.staged(shared_groups(marked, percent), "entries", keep=True)
+        homes = base.staged(homes_of(entries).join(classes, ["cid", "n"]), "homes")
+        base.drop_staged(entries)
+        base.free_shuffles(spark)
+        full = class_sets(rows, homes.select("cid", "n", "rep"), size).join(homes.drop("rep"), ["cid", "n"])
+        nodes = base.staged(pack(full, percent), "nodes", keep=True)
     at = lambda side: [F.get("n", f"l.link_{side}"), F.get("cid", f"l.link_{side}")]
     inside = nodes.select("cid", "n", F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select(_class_key(*at("a")).alias("a"), _class_key(*at("b")).alias("b"))
     inside = base.staged(inside, "links")
@@ -391,13 +396,17 @@ def class_links(rows: DataFrame, marked: DataFrame, classes: DataFrame, size: in
 def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for every row of ``docs``."""
     rows = base.id_text(docs, id_col, text_col)
-    marked = base.staged(directory(rows, size, percent), "directory")
-    classes = base.staged(marked.where("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    found = class_links(rows, marked, classes, size, percent)
-    named = classes.withColumn("id", _class_key(F.col("n"), F.col("cid"))).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    label = base.salted_join(named.select("cid", "n", "component"), least, ["component"], "inner").select("cid", "n", "component_id", F.col("component").alias("class_id"))
-    out = base.salted_join(marked.select("doc_id", "n", "cid"), label, ["cid", "n"], "left")
+    with base.passing(docs.sparkSession):
+        marked = base.staged(directory(rows, size, percent), "directory")
+        base.free_shuffles(docs.sparkSession)
+        classes = base.staged(marked.where("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep")), "classes")
+        found = class_links(rows, marked, classes, size, percent)
+        named = classes.withColumn("id", _class_key(F.col("n"), F.col("cid"))).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = base.staged(named.select("cid", "n", "rep", "component"), "named")
+        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        label = base.salted_join(named.select("cid", "n", "component"), least, ["component"], "inner").select("cid", "n", "component_id", F.col("component").alias("class_id"))
+        label, each = base.staged(label, "labels", keep=True), base.staged(marked.select("doc_id", "n", "cid"), "members", keep=True)
+    out = base.salted_join(each, label, ["cid", "n"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id")
 
@@ -409,11 +418,12 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     both one stays.
     """
     key = F.xxhash64("doc_id", "text")
-    found = components(docs.select(key.alias("doc_id"), "text"), size, percent).where("n_shingles > 0")
-    each = base.staged(found.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed("doc_id", "_key"), "grouped")
-    ids = docs.select(key.alias("_key"), F.col("doc_id").alias("_id")).distinct()
-    firsts = each.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("stays"))
-    judged = base.staged(base.salted_join(each, firsts, ["component_id"], "inner").select("_key", "copies", (F.col("_key") == F.col("stays._key")).alias("stays")), "judged")
+    with base.passing(docs.sparkSession):
+        found = components(docs.select(key.alias("doc_id"), "text"), size, percent).where("n_shingles > 0")
+        each = base.staged(found.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed("doc_id", "_key"), "grouped")
+        ids = docs.select(key.alias("_key"), F.col("doc_id").alias("_id")).distinct()
+        firsts = each.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("stays"))
+        judged = base.staged(base.salted_join(each, firsts, ["component_id"], "inner").select("_key", "copies", (F.col("_key") == F.col("stays._key")).alias("stays")), "judged", keep=True)
     marked = docs.withColumn("_key", key)
     left = marked.join(judged.where(~F.col("stays") | (F.col("copies") > 1)).select("_key"), "_key", "left_anti")
     once = marked.join(judged.where(F.col("stays") & (F.col("copies") > 1)).select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
