@@ -288,6 +288,27 @@ def test_one_edit_is_found_at_any_length(spark):
         assert len(near) > 60 and sum(near) >= 0.95 * len(near), kind
 
 
+def test_pieces_of_long_lines_bound_their_edit_distance(spark):
+    rng = random.Random(5)
+    prose = [f"{rng.choice('abcdefgh')}{rng.randrange(10 ** rng.randrange(1, 6))}" for _ in range(160)]
+    near = [w if rng.random() > 0.05 else "other" for w in prose]
+    far = [w if rng.random() > 0.6 else "other" for w in prose]
+    pairs = [(prose, prose), (prose, near), (prose, far), (prose, prose[:60] + prose[80:]), (prose[:60] + prose[80:], near), (prose, near[20:]),
+             (["thor"] * 200, ["thor"] * 90 + ["other"] + ["thor"] * 80), (prose, list(reversed(prose))), (["é"] * 200, ["é"] * 199 + ["x"])]
+    pairs = [(" ".join(a), " ".join(b)) for a, b in pairs] + [("a" * 300, "b" * 300), ("ab" * 200, "ba" * 200), ("x", "x" * 300), ("", "y")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, ta string, tb string").repartition(3)
+    most = F.floor(F.greatest(F.length("ta"), F.length("tb")) * 0.2 + 1e-9).cast("int")
+    rows = df.select("i", F.levenshtein("ta", "tb").alias("whole"), most.alias("most"), line_dedup.in_pieces(F.col("ta"), F.col("tb"), most).alias("pieces"),
+                     line_dedup.alike(F.col("ta"), F.col("tb"), 0.8).alias("alike")).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        # cut off beyond what is allowed, but never below the distance where that counts
+        assert r["pieces"] >= min(r["whole"], r["most"] + 1)
+        assert r["alike"] == (r["whole"] <= r["most"])
+    # near copies, with a passage left out, and repeated words with some left out are linked by their pieces alone
+    assert {r["i"] for r in rows if r["pieces"] <= r["most"]} >= {0, 1, 3, 5, 6, 8}
+
+
 def test_long_lines_are_judged_like_short_ones(spark):
     rng = random.Random(6)
     most = spelled(rng, 9000)
