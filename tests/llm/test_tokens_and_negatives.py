@@ -167,6 +167,18 @@ def test_ranges_read_whole_units_and_stay_near(aligner):
     assert all(a <= low < high <= b for a, b, low, high in parts) and sum(b - a for a, b, _, _ in parts) < 3 * len(text)
 
 
+def test_wide_rows_of_fragments_are_not_read_from_files(spark, monkeypatch):
+    files = token_alignment.Vocabularies(spark, BYTES, PIECES)
+    written = []
+    monkeypatch.setattr(token_alignment.base, "staged", lambda df, name, keep=False: written.append(name) or df)
+    text = "some words, déjà vu 12 " * 40
+    rows = frame(spark, [(1, text), (2, text + "end"), (3, "short"), (4, None)])
+    cut = {r["doc_id"]: (r["n_a"], r["n_b"], r["groups"], *zip(*sorted(zip(r["pairs"], r["counts"], strict=True)), strict=True)) for r in token_alignment.align(rows, files, 20).collect()}
+    assert written == []
+    whole = {r["doc_id"]: (r["n_a"], r["n_b"], r["groups"], *zip(*sorted(zip(r["pairs"], r["counts"], strict=True)), strict=True)) for r in token_alignment.align(rows, files, 10_000).collect()}
+    assert cut == whole and len(cut) == 4
+
+
 def test_alignment_of_no_rows_and_string_ids(spark):
     files = token_alignment.Vocabularies(spark, BYTES, PIECES)
     assert token_alignment.report(frame(spark, []), files).count() == 0
